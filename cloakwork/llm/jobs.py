@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_cloakwork_sent", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/cloakwork", "zip", root, "cloakwork"))
+    context._cloakwork_sent = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches, whose rows can be very long texts, and lets Spark delete
+    """Sends the package to the executors, bounds Arrow batches, whose rows can be very long texts, and lets Spark delete
     the shuffle files of a finished query, so that jobs of several queries need the disk
     of the largest only."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
