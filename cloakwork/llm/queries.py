@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from cloakwork.llm import quality_rules
+from cloakwork.llm import quality_classifier, quality_rules, toxicity
 
 QUERIES = {
+    "op5_quality_classifier": quality_classifier.op5,
+    "op4_toxicity": toxicity.op4,
     "op3_quality_rules": quality_rules.op3,
 }
 
