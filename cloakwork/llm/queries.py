@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from cloakwork.llm import quality_classifier, quality_rules, toxicity
+from cloakwork.llm import quality_classifier, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
+    "op8_substring_dedup": substring_dedup.op8,
     "op5_quality_classifier": quality_classifier.op5,
     "op4_toxicity": toxicity.op4,
     "op3_quality_rules": quality_rules.op3,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_substring_dedup": substring_dedup.SQL,
+}
