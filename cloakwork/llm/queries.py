@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from cloakwork.llm import quality_classifier, quality_rules, substring_dedup, toxicity
+from cloakwork.llm import chat_format, mixing, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.op1,
+    "op7_token_counts": token_counts.op7,
+    "op9_chat_format": chat_format.op9,
     "op8_substring_dedup": substring_dedup.op8,
     "op5_quality_classifier": quality_classifier.op5,
     "op4_toxicity": toxicity.op4,
@@ -12,5 +15,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op9_chat_format": chat_format.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
 }
