@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from cloakwork.llm import chat_format, mixing, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from cloakwork.llm import chat_format, decontamination, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op2_secret_scan": secret_scan.op2,
+    "op6_decontamination": decontamination.op6,
     "op1_mixing": mixing.op1,
     "op7_token_counts": token_counts.op7,
     "op9_chat_format": chat_format.op9,
