@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cloakwork.llm import chat_format, decontamination, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
+from cloakwork.llm import chat_format, decontamination, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op10_near_dedup": near_dedup.op10,
     "op2_secret_scan": secret_scan.op2,
     "op6_decontamination": decontamination.op6,
     "op1_mixing": mixing.op1,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op10_near_dedup": near_dedup.SQL,
     "op9_chat_format": chat_format.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
 }
