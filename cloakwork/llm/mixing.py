@@ -57,8 +57,12 @@ def targets(sizes: list[int], weights=WEIGHTS, share: float = SHARE, limit: floa
     return out.tolist()
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), "text").alias("row"), "text")
+
+
 def count_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, row, size, text): ``row`` tells equal documents apart."""
+    """(doc_id, source, row, size): ``row`` is a hash of the id, source and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,8 +70,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 own = batch.slice(chunk.first_row, chunk.rows)
                 yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(chunk.words().counts, pa.int64())], ["doc_id", "source", "row", "size"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", "text").alias("row"), "text")
-    return rows.mapInArrow(run, "doc_id long, source string, row long, size long")
+    return keyed(docs).mapInArrow(run, "doc_id long, source string, row long, size long")
 
 
 def with_offsets(sized: DataFrame) -> DataFrame:
@@ -245,3 +248,41 @@ def op1(spark, sf_dir: str) -> DataFrame:
     jobs.prepare(spark)
     placed, mixed, plan = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return taken(placed, mixed, plan)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each block takes of each document."""
+    for batch in batches:
+        out: dict[str, list] = {k: [] for k in ("s", "block", "start", "piece")}
+        size = 0
+        for s, at, text in zip(batch.column("s").to_pylist(), batch.column("at").to_pylist(), batch.column("text"), strict=True):
+            words = text.as_buffer().to_pybytes().split() if text.is_valid else []
+            done = 0
+            while done < len(words):
+                start = (at + done) % BLOCK
+                own = words[done : done + BLOCK - start]
+                for k, v in zip(out, (s, (at + done) // BLOCK, start, b" ".join(own)), strict=True):
+                    out[k].append(v)
+                done += len(own)
+                size += 1
+                if size >= 4096:
+                    yield _piece_rows(out)
+                    out, size = {k: [] for k in out}, 0
+        if size:
+            yield _piece_rows(out)
+
+
+def _piece_rows(out: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(out["s"], pa.int32()), pa.array(out["block"], pa.int64()), pa.array(out["start"], pa.int64()), pa.array(out["piece"], pa.binary()).cast(pa.string())], list(out))
+
+
+def assemble(docs: DataFrame, placed: DataFrame, mixed: DataFrame, plan: Plan) -> DataFrame:
+    """(shard, slot, source, block, n_words, text): the mix itself, a row for each slot; words
+    are joined by one space. Blocks are made once and joined with their slots by number."""
+    rows = numbered(placed, plan).where("size > 0").select("s", "row", "at")
+    texts = keyed(docs).select("row", "text").dropDuplicates(["row"])
+    pieces = rows.join(texts, "row").select("s", "at", "text").mapInArrow(_pieces, "s int, block long, start long, piece string")
+    blocks = pieces.groupBy("s", "block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "piece"))), lambda x: x["piece"]), " ").alias("text"))
+    names = docs.sparkSession.createDataFrame(list(enumerate(plan.names)), "s int, source string")
+    out = mixed.join(blocks, ["s", "block"]).join(F.broadcast(names), "s")
+    return out.select("shard", "slot", "source", "block", F.col("words").alias("n_words"), F.when(F.col("words") == BLOCK, F.col("text")).otherwise(F.array_join(F.slice(F.split("text", " "), 1, F.col("words").cast("int")), " ")).alias("text"))

@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from cloakwork.llm import chat_format, decontamination, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
 
+
+
+def pipeline(spark, sf_dir: str):
+    """The stages of corpus_pipeline.py, one after the other."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op10_near_dedup": near_dedup.op10,
     "op2_secret_scan": secret_scan.op2,
     "op6_decontamination": decontamination.op6,
