@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from cloakwork.plans import detection
+
+PARTS = (detection,)
+QUERIES: dict = {k: f for part in PARTS for k, f in part.QUERIES.items()}
+SQL: dict[str, str] = {k: s for part in PARTS for k, s in part.SQL.items()}
