@@ -70,7 +70,7 @@ CANONICAL_SQL = f"""with c as ({CORPUS}), raw as (select src, doc_id, {duck.find
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The resolved entities of every text, with masks."""
-    rows = _entities(spark, sf_dir).select("src", "doc_id", F.posexplode("entities").alias("pos", "e"))
+    rows = _entities(spark, sf_dir).select("src", "doc_id", F.posexplode_outer("entities").alias("pos", "e")).where("pos is not null")
     return rows.select("src", "doc_id", "pos", *(F.col(f"e.{n}").alias(n) for n in ("id", "category", "value", "mask", "risk", "source", "confidence")))
 
 
