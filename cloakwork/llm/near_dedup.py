@@ -10,12 +10,15 @@ at least 75%; the result is the connected components of the links.
    each class in one global order, rarest first by a table of hashed counts of fixed size,
    two linked classes share one of their first POSTED - MATCHES + 1 pairs: the prefix. The
    frequent pairs that shared passages bring are thus skipped.
-3. Lists are merged by pivots, never by all pairs: the members of a list are held against
-   one member of it; the collisions of such a pair are counted over all coordinates and
-   pairs under COLLISIONS (missed by a link once in 10**8) are dropped. The best partner of
-   each class is confirmed on the full sets first, then those that are still in
-   different components.
-4. While a list has members of several components, members outside its largest component
+3. Shingles that no other class of any list has are counted; they bound every similarity
+   from above. Classes of which more than a quarter is their own can't be linked and leave
+   the lists; so documents that share a passage only are never compared.
+4. Lists are merged by pivots, never by all pairs: the members of a list are held against
+   the member with the least share of its own; the collisions of such a pair are counted
+   over all coordinates, and pairs under COLLISIONS (missed by a link once in 10**8), or
+   whose own shingles exclude a link, are dropped. The best partner of each class is
+   confirmed on the full sets first, then those that are still in different components.
+5. While a list has members of several components, members outside its largest component
    become pivots, more in each round, until every two members of a list are in one component
    or have been held against each other. So no link between different texts is lost, and a
    large group of near copies costs a few comparisons for each member.
@@ -39,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakwork.llm import jobs, textops
+from cloakwork.llm import jobs, substring_dedup, textops
 
 SHINGLE, PERCENT = 5, 75
 COORDINATES, POSTED, MATCHES, COLLISIONS = 128, 48, 18, 69
@@ -166,17 +169,42 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in ("sa", "sb"))
         m = (x == y).sum(1)
-        na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-        keep = (m >= COLLISIONS) & (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb))
+        na, nb, oa, ob = (batch.column(k).to_numpy() for k in ("na", "nb", "oa", "ob"))
+        shared = np.minimum(na - oa, nb - ob)
+        keep = (m >= COLLISIONS) & (100 * shared >= PERCENT * (na + nb - shared))
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep)), pa.array(m[keep].astype(np.int32))], ["a", "b", "m"])
 
 
 def collisions(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b, m): the pairs of enough collisions."""
-    own = nodes.select("node", "n", "signature")
-    rows = pairs.join(own.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa")), "a")
-    rows = rows.join(own.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb")), "b")
-    return rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_collide, "a long, b long, m int")
+    own = nodes.select("node", "n", "own", "signature")
+    rows = pairs.join(own.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("signature").alias("sa")), "a")
+    rows = rows.join(own.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("signature").alias("sb")), "b")
+    return rows.select("a", "b", "na", "nb", "oa", "ob", "sa", "sb").mapInArrow(_collide, "a long, b long, m int")
+
+
+def _shingle_items(chunk: textops.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    h, first = distinct(*shingles(chunk))
+    return h, np.diff(first)
+
+
+def _shared(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of each class of a block are found elsewhere."""
+    p, head = substring_dedup.read_block(batches)
+    edges = np.concatenate(([0], np.cumsum(head["windows"])))
+    counts = np.bincount(np.searchsorted(edges, p, "right") - 1, minlength=len(edges) - 1)
+    yield pa.RecordBatch.from_arrays([pa.array(head["ids"], pa.int64()), pa.array(counts.astype(np.int64))], ["node", "shared"])
+
+
+def own_shares(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The classes of the texts with ``own``, the number of their shingles that no other of
+    these classes has, and ``rank``, which is least for the most central."""
+    rows = texts.select(F.col("node").alias("id"), F.lit(0).cast("long").alias("hash"), "text")
+    shared = substring_dedup.repeated(rows, _shingle_items).groupBy("block").applyInArrow(_shared, "node long, shared long")
+    shared = shared.groupBy("node").agg(F.max("shared").alias("shared"))
+    own = (F.col("n") - F.least("shared", "n")).alias("own")
+    rows = nodes.select("node", "n", "signature").join(shared, "node").select("node", "n", "signature", own)
+    return rows.where(100 * (F.col("n") - F.col("own")) >= PERCENT * F.col("n")).withColumn("rank", F.floor(F.col("own") * 1000 / F.col("n")))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,27 +269,31 @@ def _across(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
 def link_components(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
     """(node, component) of all classes that are linked with another."""
     posted = jobs.stored(postings(nodes, frequency_levels(nodes)))
-    # A list's members are held against the one whose id is least in some order.
-    lists = posted.groupBy("pair").agg(F.count("*").alias("k"), F.min("node").alias("pivot")).where("k > 1")
-    met = jobs.stored(posted.join(lists, "pair").select("pair", "node", "pivot"))
+    lists = posted.groupBy("pair").agg(F.count("*").alias("k")).where("k > 1")
+    met = jobs.stored(posted.join(lists, "pair").select("pair", "node"))
     active = met.select("node").distinct().join(nodes.select("node", "n", "d1", "d2"), "node")
     texts = jobs.stored(active.select(F.col("node").alias("doc_id"), "n", "d1", "d2").join(with_digests(docs, nodes), ["doc_id", "n", "d1", "d2"]).select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"]))
+    nodes = jobs.stored(own_shares(texts, nodes))
+    met = met.join(nodes.select("node", "rank"), "node")
+    # A list's members are held against its most central one.
+    lists = met.groupBy("pair").agg(F.count("*").alias("k"), F.min(F.struct("rank", "node")).alias("least")).where("k > 1")
+    met = jobs.stored(met.join(lists.select("pair", F.col("least.node").alias("pivot")), "pair").select("pair", "node", "rank", "pivot"))
     found = None
     pairs = jobs.stored(collisions(_ordered(met.select(F.col("node").alias("a"), F.col("pivot").alias("b"))), nodes))
     either = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "m"))
     best = either.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     found = _joined(found, confirm(_ordered(best), texts))
     found = _joined(found, confirm(_across(pairs.select("a", "b"), found), texts))
-    lists = met.select("pair", "node", (F.col("node") == F.col("pivot")).alias("done"))
+    lists = met.select("pair", "node", "rank", (F.col("node") == F.col("pivot")).alias("done"))
     pivots = FIRST_PIVOTS
     while True:
         rows = with_component(lists, found, "node", "component")
         # One row for each component of a list: its size, and a member that was no pivot yet.
-        by = rows.groupBy("pair", "component").agg(F.count("*").alias("k"), F.min(F.when(~F.col("done"), F.col("node"))).alias("next"))
+        by = rows.groupBy("pair", "component").agg(F.count("*").alias("k"), F.min(F.when(~F.col("done"), F.struct("rank", "node"))).alias("next"))
         top = by.groupBy("pair").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component")).alias("top")).where("parts > 1")
         open_ = by.join(top, "pair").where((F.col("component") != F.col("top.component")) & F.col("next").isNotNull())
         order = Window.partitionBy("pair").orderBy("next")
-        chosen = jobs.stored(open_.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots).select("pair", F.col("next").alias("pivot"), F.col("component").alias("own")))
+        chosen = jobs.stored(open_.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots).select("pair", F.col("next.node").alias("pivot"), F.col("component").alias("own")))
         if chosen.isEmpty():
             return found
         met_now = rows.join(chosen, "pair").where("component <> own").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
@@ -269,7 +301,7 @@ def link_components(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
         if not pairs.isEmpty():
             found = _joined(found, confirm(pairs, texts))
         used = chosen.select("pair", F.col("pivot").alias("node"), F.lit(True).alias("now"))
-        lists = jobs.stored(lists.join(chosen.select("pair").distinct(), "pair", "left_semi").join(used, ["pair", "node"], "left").select("pair", "node", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")))
+        lists = jobs.stored(lists.join(chosen.select("pair").distinct(), "pair", "left_semi").join(used, ["pair", "node"], "left").select("pair", "node", "rank", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")))
         pivots *= MORE
 
 

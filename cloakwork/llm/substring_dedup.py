@@ -53,8 +53,21 @@ def _table(kind: str, rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], types[t]) for n, t in fields], [n for n, _ in fields])
 
 
-def _deal(window: int, bits: int):
-    """Blocks of window hashes by range, and what is needed to read positions back."""
+def window_items(window: int):
+    """(hashes, number of each row) of a chunk's windows."""
+
+    def items(chunk: textops.Chunk) -> tuple[np.ndarray, np.ndarray]:
+        words = chunk.words()
+        at = words.windows(window)
+        h = textops.window_hashes(textops.span_hashes(chunk.data, words.starts, words.ends), window)
+        return h[at] if len(at) else h[:0], np.maximum(words.counts - window + 1, 0)
+
+    return items
+
+
+def deal(items, bits: int):
+    """Blocks of the items' hashes by range, and what is needed to read positions back; for
+    rows (id, hash, text)."""
 
     def block_rows(block: int, ids: list, texts: list, windows: list, hashes: list) -> Iterator[pa.RecordBatch]:
         h = np.concatenate(hashes)
@@ -87,12 +100,9 @@ def _deal(window: int, bits: int):
             missing = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             ids = np.where(missing, None, ids)
             for chunk in textops.chunks(batch.column(2)):
-                words = chunk.words()
-                n = np.maximum(words.counts - window + 1, 0)
-                at = words.windows(window)
-                if not len(at):
+                h, n = items(chunk)
+                if not len(h):
                     continue
-                h = textops.window_hashes(textops.span_hashes(chunk.data, words.starts, words.ends), window)[at]
                 own = chunk.first_row + np.flatnonzero(n)
                 for x, y in zip(pending, (ids[own], texts[own], n[n > 0], h), strict=True):
                     x.append(y)
@@ -139,15 +149,20 @@ def _count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     yield _table(_HITS, rows)
 
 
+def read_block(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, dict]:
+    """Positions of a block, in order, and its rows."""
+    found, head = [], None
+    for batch in batches:
+        for r in batch.to_pylist():
+            found.append(np.frombuffer(r["positions"], "<u4"))
+            head = r if r["ids"] is not None else head
+    return np.sort(np.concatenate(found)).astype(np.int64), head
+
+
 def _intervals(window: int):
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Maximal intervals of covered words of each document of a block."""
-        found, head = [], None
-        for batch in batches:
-            for r in batch.to_pylist():
-                found.append(np.frombuffer(r["positions"], "<u4"))
-                head = r if r["ids"] is not None else head
-        p = np.sort(np.concatenate(found)).astype(np.int64)
+        p, head = read_block(batches)
         if len(p):
             edges = np.concatenate(([0], np.cumsum(head["windows"])))
             doc = np.searchsorted(edges, p, "right") - 1
@@ -166,13 +181,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("hash"), "text")
 
 
+def repeated(rows: DataFrame, items) -> DataFrame:
+    """By block: the positions of items that are found elsewhere, and the block's rows."""
+    bits = max(8, (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    return jobs.stored(rows.mapInArrow(deal(items, bits), _ROWS).groupBy("range").applyInArrow(_count, _HITS))
+
+
 def removal_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(id, hash, starts, ends): the intervals of words to remove, [start, end), of the
     documents that have any; one row for each distinct id and text."""
-    spark = docs.sparkSession
-    bits = max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    dealt = keyed(docs).mapInArrow(_deal(window, bits), _ROWS)
-    hits = jobs.stored(dealt.groupBy("range").applyInArrow(_count, _HITS))
+    hits = repeated(keyed(docs), window_items(window))
     found = hits.groupBy("block").applyInArrow(_intervals(window), "id long, hash long, starts array<long>, ends array<long>")
     return found.dropDuplicates(["id", "hash"])
 

@@ -62,7 +62,7 @@ def protect(rows: DataFrame, text: str = "text", mode: str = BALANCED) -> DataFr
 def sanitize_element(e: Column, entities: Column, ordered: Column) -> Column:
     """An element without its secrets: a sensitive one shows placeholders, another has its
     texts redacted."""
-    secret = F.coalesce(e["is_sensitive"], F.lit(False)) | F.exists(entities, lambda x: (x["element"] == e["index"]) & (x["category"] != "NAME"))
+    secret = F.coalesce(e["is_sensitive"], F.lit(False)) | F.exists(entities, lambda x: x["element"].eqNullSafe(e["index"]) & (x["category"] != "NAME"))
     clean = lambda c: F.when(F.coalesce(c, F.lit("")) != "", redact(c, ordered))
     return F.struct(
         e["index"].alias("index"),

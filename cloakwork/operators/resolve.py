@@ -95,7 +95,7 @@ def merge(found: Column) -> Column:
 
     def put(acc: Column, e: Column) -> Column:
         same = F.filter(acc, lambda x: x["key"] == e["key"])
-        old = same[0]
+        old = F.get(same, F.lit(0))
         apart = old["box"].isNotNull() & e["box"].isNotNull() & moved(old["box"], e["box"])
         richer = (F.length(e["value"]) > F.length(old["value"])) & e["value"].rlike(r"[+@ \-]")
         better = F.coalesce(e["confidence"], F.lit(0.0)) > F.coalesce(old["confidence"], F.lit(0.0))
@@ -126,7 +126,7 @@ def give_boxes(entities: Column) -> Column:
 
     def heir(o: Column) -> Column:
         donors = F.filter(entities, lambda c: (c["category"] == o["category"]) & c["box"].isNotNull() & (F.length(low(c)) < F.length(low(o))) & F.contains(low(o), low(c)))
-        return F.struct(*[(F.coalesce(o["box"], donors[0]["box"]) if f == "box" else o[f]).alias(f) for f in ("category", "value", "risk", "source", "confidence", "box", "element", "selector", "key")])
+        return F.struct(*[(F.coalesce(o["box"], F.get(donors, F.lit(0))["box"]) if f == "box" else o[f]).alias(f) for f in ("category", "value", "risk", "source", "confidence", "box", "element", "selector", "key")])
 
     return F.transform(entities, heir)
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cloakwork.plans import detection, goals
+from cloakwork.plans import boxes, detection, goals, pages
 
-PARTS = (detection, goals)
+PARTS = (detection, goals, pages, boxes)
 QUERIES: dict = {k: f for part in PARTS for k, f in part.QUERIES.items()}
 SQL: dict[str, str] = {k: s for part in PARTS for k, s in part.SQL.items()}
