@@ -11,7 +11,8 @@ The test side is broadcast in slices of at most SLICE tokens, a larger item by i
 tokens mean more passes over the documents, never a larger broadcast. There is no shuffle
 of documents.
 
-Defined results: null and empty texts and items match nothing; of several places of one
+Defined results: null and empty texts and items match nothing; an item without an id is
+reported with a null; of several places of one
 item in a document the one with most matches is reported, the first on a tie; equal rows
 are reported once each; extra columns are ignored, and ``drop_contaminated`` keeps them.
 """
@@ -135,9 +136,10 @@ def slices(items: DataFrame, bound: int = SLICE) -> Iterator[Items]:
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = -(-2 * total // bound) if total > bound else 1
     for k in range(parts):
-        got = rows.where(F.pmod(F.xxhash64("item_id", "tokens"), F.lit(parts)) == k).select("item_id", "tokens").toPandas().sort_values("item_id")
-        if len(got):
-            yield Items.of(got["item_id"].tolist(), [np.asarray(x, np.int64).view(np.uint64) for x in got["tokens"]])
+        got = rows.where(F.pmod(F.xxhash64("item_id", "tokens"), F.lit(parts)) == k).select("item_id", "tokens").collect()
+        if got:
+            got.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["tokens"]))
+            yield Items.of([r["item_id"] for r in got], [np.array(r["tokens"], np.int64).view(np.uint64) for r in got])
 
 
 SCHEMA = "doc_id long, item_id long, n_matched long, first_token long, end_token long"
@@ -170,6 +172,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, bound: int = SLICE) -> Data
 def drop_contaminated(docs: DataFrame, items: DataFrame, bound: int = SLICE) -> DataFrame:
     """The documents, with their columns, that overlap no item."""
     context, at = docs.sparkSession.sparkContext, docs.columns.index("text")
+    rows = jobs.numbered(docs)
 
     def clean(held) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +185,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, bound: int = SLICE) ->
         return run
 
     for part in slices(items, bound):
-        docs = docs.mapInArrow(clean(context.broadcast(part)), docs.schema)
-    return docs
+        rows = rows.mapInArrow(clean(context.broadcast(part)), rows.schema)
+    return rows.toDF(*docs.columns)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

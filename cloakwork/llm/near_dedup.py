@@ -337,10 +337,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, with their columns, less all but one of each component; of equal ids
     the row of the smallest text hash stays. Rows of empty texts all stay."""
     found = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    names = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
-    rows = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    order = Window.partitionBy(F.col("doc_id")).orderBy(F.xxhash64("text"), "text")
-    return rows.withColumn("__r", F.row_number().over(order)).where((F.col("__r") == 1) | F.col("doc_id").isNull()).select(*names)
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    rows = jobs.numbered(docs).join(found, doc_id.cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    # Rows without an id are dealt out by text; none of them goes.
+    order = Window.partitionBy(doc_id, F.when(doc_id.isNull(), F.xxhash64(text))).orderBy(F.xxhash64(text), text)
+    return rows.withColumn("__r", F.row_number().over(order)).where((F.col("__r") == 1) | doc_id.isNull()).drop("__r").toDF(*docs.columns)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -197,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with their columns, whose score reaches the threshold."""
-    return with_statistics(docs).where(model.score() >= threshold).select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+    rows = with_statistics(jobs.numbered(docs), f"c{docs.columns.index('text')}")
+    return rows.where(model.score() >= threshold).drop("__s").toDF(*docs.columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
