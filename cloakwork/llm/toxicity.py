@@ -1,14 +1,13 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine.
 
-A bounded sample of labelled rows gives the examples and the vocabulary (the terms whose
-document counts differ most between the labels by the chi-square statistic). Inverse
-document frequencies are counted over all documents. The examples' inverted index is cut
-into blocks, each with the largest weight of every term; a query reads blocks in order of
-their bounds and stops when no other block can reach its k-th neighbour, so the neighbours
-are exact. Distance-weighted votes are calibrated by a logistic curve fitted to
-leave-one-out votes of the examples.
-
-Defined results: a text without any vocabulary term (null and empty ones too) gets the
+A bounded sample of labelled rows gives the examples, and all their terms the vocabulary.
+Inverse document frequencies are counted over all documents; a term weighs the more, the
+more its counts differ between the labels (one and the chi-square statistic), and none is
+dropped. An inverted index over the examples, whose longest lists are columns of a matrix,
+gives every cosine of a query, so the neighbours are exact. Distance-weighted votes are
+calibrated by a logistic curve fitted to leave-one-out votes of the examples.
+
+Defined results: a text without any term of an example (null and empty ones too) gets the
 smoothed rate of such examples; ties in the cosine go to the smaller example id; equal
 rows get equal results; extra columns are ignored; without labelled rows every score is
 0.5; a null id is never held out.
@@ -18,18 +17,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.llm import jobs, textops
 
-LABELLED_ROWS, TERMS, LEAST_DOCS, STEM = 8_000, 256, 5, 6
-#: Of one degree of freedom: terms under it differ by chance.
-LEAST_CHI = 30.0
-NEIGHBOURS, BLOCK = 25, 64
+LABELLED_ROWS, STEM = 8_000, 6
+NEIGHBOURS = 25
+#: Of the index's matrix: the most columns, and the part of the examples that holds its terms.
+COLUMNS, LONG = 384, 64
+#: Above the error of a cosine of single precision.
+SINGLE = 1e-4
+#: Queries that are multiplied with the matrix at once.
+QUERIES = 256
 THRESHOLD, NEAR, PRIOR_MASS = 0.5, 0.1, 1.0
 
 
@@ -50,8 +55,9 @@ def terms_of(chunk: textops.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r[edge], v[edge], np.diff(np.append(edge, len(r)))
 
 
-def vocabulary(examples: DataFrame) -> np.ndarray:
-    """Hashes of the TERMS terms of the largest chi-square, in ascending order."""
+def vocabulary(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all terms of the examples, in ascending order, and their weights by label:
+    one and the chi-square statistic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,31 +68,38 @@ def vocabulary(examples: DataFrame) -> np.ndarray:
 
     totals = {r["y"]: r["n"] for r in examples.groupBy("y").agg(F.count("*").alias("n")).collect()}
     one, zero = totals.get(1, 0), sum(v for k, v in totals.items() if k != 1)
+    counts = examples.select("text", "y").mapInArrow(run, "term long, y int").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("a"), F.count("*").alias("n")).toArrow()
+    terms, a, n = (counts.column(c).to_numpy() for c in ("term", "a", "n"))
+    order = np.argsort(terms)
+    terms, a, n, total = terms[order], a[order].astype(float), n[order].astype(float), float(one + zero)
     if not one or not zero:
-        return np.empty(0, np.int64)
-    counts = examples.select("text", "y").mapInArrow(run, "term long, y int").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("a"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
-    a, n, total = F.col("a"), F.col("n"), one + zero
-    gap = a * F.lit(float(zero)) - (n - a) * F.lit(float(one))
-    chi = gap * gap * F.lit(float(total)) / (n * (F.lit(float(total)) - n + 1) * F.lit(float(one) * zero))
-    return np.sort(np.array([r["term"] for r in counts.where(chi >= LEAST_CHI).orderBy(chi.desc(), "term").limit(TERMS).collect()], np.int64))
+        return terms, np.ones(len(terms))
+    gap = a * zero - (n - a) * one
+    return terms, 1 + gap * gap * total / (n * (total - n + 1) * one * zero)
 
 
 def document_counts(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term is, and how many documents there are."""
+    """In how many of all documents each term is, and how many documents there are. A task
+    gives a row for each term that it met."""
+    held = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(terms) + 1, np.int64)
+        own = held.value
+        total = np.zeros(len(own) + 2, np.int64)  # terms, others, documents
         for batch in batches:
             total[-1] += batch.num_rows
             for chunk in textops.chunks(batch.column(0)):
-                total += np.bincount(lookup(terms, terms_of(chunk)[1]), minlength=len(terms) + 1) * np.append(np.ones(len(terms), np.int64), 0)
-        yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(total)), pa.int32()), "n": total})
+                total[:-1] += np.bincount(lookup(own, terms_of(chunk)[1]), minlength=len(own) + 1)
+        met = np.flatnonzero(total)
+        for at in range(0, len(met), 100_000):
+            k = met[at : at + 100_000]
+            yield pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int32()), "n": total[k]})
 
-    rows = docs.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(terms) + 1, np.int64)
-    for r in rows:
-        out[r["k"]] = r["n"]
-    return out[:-1], int(out[-1])
+    rows = docs.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    held.destroy()
+    out = np.zeros(len(terms) + 2, np.int64)
+    out[rows.column("k").to_numpy()] = rows.column("n").to_numpy()
+    return out[:-2], int(out[-1])
 
 
 def lookup(terms: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -108,65 +121,85 @@ def vectors(chunk: textops.Chunk, terms: np.ndarray, idf: np.ndarray) -> tuple[n
     return np.searchsorted(row, np.arange(chunk.rows + 1)), at, w / norm[row]
 
 
+def ranges(starts: np.ndarray, ends: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions in all the ranges, and for each its range's value."""
+    n = ends - starts
+    return np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n), np.repeat(value, n)
+
+
 @dataclass
 class Index:
-    """Inverted index over examples in blocks, with the largest weights by block."""
+    """Inverted index over examples. The terms of the longest lists are held as a matrix, and
+    many queries are multiplied with it at once."""
 
-    ids: np.ndarray  # of the examples, in the order of the blocks
+    ids: np.ndarray  # of the examples, in order
     labels: np.ndarray
     postings: np.ndarray  # examples by term
     weights: np.ndarray
-    cuts: np.ndarray  # [term, block]: where the block's part of the term's list starts
-    tops: np.ndarray  # [term, block]: largest weight
+    first: np.ndarray  # where each term's list starts, and the end
+    column: np.ndarray  # of the matrix by term, or -1
+    matrix: np.ndarray  # [example, column]
 
     @classmethod
     def build(cls, ids, labels, first, term, weight, n_terms: int) -> Index:
-        """Examples are ordered by their heaviest term, so that blocks hold alike ones."""
         n = len(ids)
-        lead = np.full(n, n_terms)
-        for i in range(n):
-            own = slice(first[i], first[i + 1])
-            if first[i] < first[i + 1]:
-                lead[i] = term[own][weight[own].argmax()]
-        order = np.lexsort((ids, lead))
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
         example = place[np.repeat(np.arange(n), np.diff(first))]
         by_term = np.lexsort((example, term))
         t, e, w = term[by_term], example[by_term], weight[by_term]
-        blocks = -(-n // BLOCK)
-        cuts = np.searchsorted(t * (n + 1) + e, (np.arange(n_terms)[:, None] * (n + 1) + np.minimum(np.arange(blocks + 1) * BLOCK, n)[None, :]).ravel()).reshape(n_terms, blocks + 1)
-        tops = np.zeros((n_terms, blocks))
-        np.maximum.at(tops, (t, e // BLOCK), w)
-        return cls(ids[order], labels[order].astype(float), e, w, cuts, tops)
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without=None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosines above 0 and those; ``without``: an id."""
-        bounds = weight @ self.tops[term]
-        order = np.argsort(-bounds, kind="stable")
-        found, sims, least = [], [], 0.0
-        have = 0
-        for b in order:
-            if bounds[b] <= 0 or have >= k and bounds[b] < least - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, q in zip(term, weight, strict=True):
-                s, e = self.cuts[t, b], self.cuts[t, b + 1]
-                if s < e:
-                    scores[self.postings[s:e] - b * BLOCK] += q * self.weights[s:e]
-            at = np.flatnonzero(scores > 0)
-            if without is not None:
-                at = at[self.ids[at + b * BLOCK] != without]
-            found.append(at + b * BLOCK)
-            sims.append(scores[at])
-            have += len(at)
-            if have >= k:
-                least = np.partition(np.concatenate(sims), -k)[-k]
-        if not found:
-            return np.empty(0, np.int64), np.empty(0)
-        f, s = np.concatenate(found), np.concatenate(sims)
-        best = np.lexsort((self.ids[f], -np.round(s, 12)))[:k]
-        return f[best], s[best]
+        counts = np.bincount(t, minlength=n_terms)
+        long = np.argsort(-counts, kind="stable")[:COLUMNS]
+        long = long[counts[long] * LONG >= n]
+        column = np.full(n_terms, -1)
+        column[long] = np.arange(len(long))
+        dense = column[t] >= 0
+        matrix = np.zeros((n, len(long)))
+        matrix[e[dense], column[t[dense]]] = w[dense]
+        t, e, w = t[~dense], e[~dense], w[~dense]
+        return cls(ids[order], labels[order].astype(float), e, w, np.searchsorted(t, np.arange(n_terms + 1)), column, matrix)
+
+    def common(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """[query, example]: what the matrix's terms give to the cosines, in single precision."""
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        own = self.column[term] >= 0
+        queries = np.zeros((len(first) - 1, self.matrix.shape[1]), np.float32)
+        queries[row[own], self.column[term[own]]] = weight[own]
+        return queries @ self.single.T
+
+    def commons(self, rows: np.ndarray, first: np.ndarray, term: np.ndarray, weight: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The rows, which have terms, each with its part of ``common``."""
+        for at in range(0, len(rows), QUERIES):
+            own = rows[at : at + QUERIES]
+            cuts = np.append(first[own], first[own[-1] + 1])  # rows between have no terms
+            yield from zip(own.tolist(), self.common(cuts - cuts[0], term[cuts[0] : cuts[-1]], weight[cuts[0] : cuts[-1]]), strict=True)
+
+    @cached_property
+    def single(self) -> np.ndarray:
+        return self.matrix.astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "single"}
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without=None, common=None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of the largest cosines above 0 and those; ``without``: an id. What
+        may be among the k by its score of single precision is scored in double."""
+        if common is None:
+            common = self.common(np.array([0, len(term)]), term, weight)[0]
+        place, pull = ranges(self.first[term], self.first[term + 1], weight)
+        scores = np.bincount(self.postings[place], pull * self.weights[place], len(self.ids))
+        rough = scores + common
+        if without is not None:
+            rough[self.ids == without] = 0
+        least = np.partition(rough, -k)[-k] if len(rough) > k else 0
+        read = np.flatnonzero((rough > 0) & (rough >= least - 2 * SINGLE))
+        column = self.column[term]
+        q, column = weight[column >= 0], column[column >= 0]
+        # A sum for each row alone, so that it doesn't depend on what else is read.
+        sims = scores[read] + (self.matrix[np.ix_(read, column)] * q).sum(1)
+        best = np.lexsort((self.ids[read], -np.round(sims, 12)))[:k]
+        return read[best], sims[best]
 
 
 @dataclass
@@ -175,12 +208,12 @@ class Model:
     idf: np.ndarray
     index: Index | None
     base: float  # the rate of label 1 among the examples
-    bare: float  # and among those without a vocabulary term
+    bare: float  # and among those without a term
     slope: float = 1.0
     shift: float = 0.0
 
-    def vote(self, term, weight, without=None) -> tuple[float, np.ndarray, np.ndarray]:
-        at, sims = self.index.nearest(term, weight, NEIGHBOURS, without)
+    def vote(self, term, weight, without=None, common=None) -> tuple[float, np.ndarray, np.ndarray]:
+        at, sims = self.index.nearest(term, weight, NEIGHBOURS, without, common)
         pull = 1 / (NEAR + 1 - np.minimum(sims, 1))
         return float((pull @ self.index.labels[at] + PRIOR_MASS * self.base) / (pull.sum() + PRIOR_MASS)), at, sims
 
@@ -210,33 +243,36 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = LABELLED_ROWS) -> Model:
     """At most ``bound`` examples' vectors over the vocabulary reach the driver."""
     examples = jobs.stored(jobs.with_labels(docs, jobs.labelled(labels, label, bound)).dropDuplicates(["doc_id"]))
-    terms = vocabulary(examples)
+    terms, by_label = vocabulary(examples)
     counts, n = document_counts(docs, terms)
-    idf = np.log((1 + n) / (1 + counts)) + 1e-6
+    idf = (np.log((1 + n) / (1 + counts)) + 1e-6) * by_label
+    held = docs.sparkSession.sparkContext.broadcast((terms, idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in textops.chunks(batch.column(1)):
-                first, term, weight = vectors(chunk, terms, idf)
+                first, term, weight = vectors(chunk, *held.value)
                 rows = batch.slice(chunk.first_row, chunk.rows)
                 cut = pa.array(first.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.ListArray.from_arrays(cut, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(weight))], ["doc_id", "y", "term", "weight"])
 
-    got = examples.select("doc_id", "text", "y").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, term array<int>, weight array<double>").toPandas().sort_values("doc_id")
-    y = (got["y"].to_numpy() == 1).astype(float)
+    got = examples.select("doc_id", "text", "y").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, term array<int>, weight array<double>").toArrow().sort_by("doc_id").combine_chunks()
+    y = (got.column("y").to_numpy() == 1).astype(float)
     if not len(y):
         return Model(terms, idf, None, 0.5, 0.5)
-    lengths = got["term"].map(len).to_numpy()
+    lengths = pc.list_value_length(got.column("term")).to_numpy()
     first = np.concatenate(([0], np.cumsum(lengths)))
     model = Model(terms, idf, None, _rate(y), _rate(y[lengths == 0]) if (lengths == 0).any() else _rate(y))
     if not lengths.any():
         return model
-    term, weight = np.concatenate(got["term"].to_numpy()).astype(np.int64), np.concatenate(got["weight"].to_numpy())
-    ids = got["doc_id"].to_numpy()
+    term, weight = (pc.list_flatten(got.column(c)).to_numpy() for c in ("term", "weight"))
+    ids = got.column("doc_id").to_numpy()
     model.index = Index.build(ids, y, first, term, weight, len(terms))
     full = np.flatnonzero(lengths)
-    votes = np.array([model.vote(term[first[i] : first[i + 1]], weight[first[i] : first[i + 1]], ids[i])[0] for i in full])
+    votes = np.array([model.vote(term[first[i] : first[i + 1]], weight[first[i] : first[i + 1]], ids[i], common)[0] for i, common in model.index.commons(full, first, term, weight)])
     model.slope, model.shift = _logistic(np.log(votes / (1 - votes)), y[full])
+    del model.index.single, got, term, weight
+    pa.default_memory_pool().release_unused()
     return model
 
 
@@ -256,9 +292,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 scores, evidence = np.full(chunk.rows, m.bare), [[]] * chunk.rows
                 if m.index is not None:
                     first, term, weight = vectors(chunk, m.terms, m.idf)
-                    for i in np.flatnonzero(np.diff(first)):
+                    for i, common in m.index.commons(np.flatnonzero(np.diff(first)), first, term, weight):
                         own = slice(first[i], first[i + 1])
-                        vote, at, sims = m.vote(term[own], weight[own])
+                        vote, at, sims = m.vote(term[own], weight[own], common=common)
                         scores[i] = m.calibrated(vote)
                         evidence[i] = [{"doc_id": int(m.index.ids[a]), "cosine": float(s), "label": int(m.index.labels[a])} for a, s in zip(at[:EVIDENCE], sims[:EVIDENCE], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first_row, chunk.rows), pa.array(scores), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])

@@ -121,3 +121,14 @@ def test_pipeline_stages(spark):
         else:
             assert out.dtypes == source.dtypes
         docs = out
+
+
+def test_toxicity_reads_every_text_with_a_term_of_an_example(spark):
+    """Terms that are in one example only, or in both labels alike, give neighbours too."""
+    words = [f"rare{i}" for i in range(40)]
+    docs = spark.createDataFrame([*((i, f"common {w}") for i, w in enumerate(words)), *((100 + i, f"{w} beside") for i, w in enumerate(words)), (200, "nothing alike"), (201, "")], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, None, int(i % 4 == 0)) for i in range(40)], LABELS))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    examples = set(model.index.ids.tolist())
+    assert examples and all([e["doc_id"] for e in got[100 + i]["evidence"]][:1] == [i] for i in examples)
+    assert not got[200]["evidence"] and not got[201]["evidence"]
