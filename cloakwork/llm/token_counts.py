@@ -29,23 +29,24 @@ from cloakwork.llm import jobs, textops
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SHIFT, BYTE_SCORE = 16.0, -14.0
-#: Longer pieces aren't used; a parameter of the vocabulary.
+#: Pre-tokens share a trie's nodes up to 64 times so many bytes; no bound of the pieces.
 LONGEST = 24
 CACHED = 1 << 18
 
 
 @dataclass
 class Vocabulary:
-    """Piece hashes in order, and their scores."""
+    """Piece hashes in order, their scores, and which lengths pieces have."""
 
     hashes: np.ndarray
     scores: np.ndarray
+    lengths: np.ndarray
 
     @classmethod
     def of(cls, pieces: list[bytes]) -> Vocabulary:
         ranks: dict[bytes, int] = {}
         for r, p in enumerate(pieces):
-            if 0 < len(p) <= LONGEST:
+            if p:
                 ranks.setdefault(p, r)
         for b in range(256):
             ranks.setdefault(bytes([b]), -1)
@@ -54,7 +55,7 @@ class Vocabulary:
         h = prefix_free_hashes(joined, ends - [len(p) for p in ranks], ends)
         r = np.array(list(ranks.values()))
         order = np.argsort(h)
-        return cls(h[order], np.where(r < 0, BYTE_SCORE, -np.log(np.maximum(r, 0) + SHIFT))[order])
+        return cls(h[order], np.where(r < 0, BYTE_SCORE, -np.log(np.maximum(r, 0) + SHIFT))[order], np.bincount([len(p) for p in ranks]) > 0)
 
     def score(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
@@ -108,11 +109,13 @@ def trie_counts(tokens: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
         letters.append(data[starts[first] + d - 1])
         best, fewest = np.full(len(first), -np.inf), np.zeros(len(first), np.int64)
         h, above = np.zeros(len(first), np.uint64), np.arange(len(first))
-        for back in range(1, min(d, LONGEST) + 1):
+        for back in range(1, min(d, len(vocabulary.lengths) - 1) + 1):
             # The piece's hash grows at its front: value of the letter plus base times what follows.
             level = d - back + 1
             h = textops.BYTE_VALUE[letters[level][above]] + h * np.uint64(textops._BASE)
             above = parents[level][above]
+            if not vocabulary.lengths[back]:
+                continue
             s = vocabulary.score(textops.mix(h + np.uint64(back))) + scores[d - back][above]
             n = counts[d - back][above] + 1
             better = (s > best + 1e-9) | (s > best - 1e-9) & (n < fewest)

@@ -132,3 +132,9 @@ def test_toxicity_reads_every_text_with_a_term_of_an_example(spark):
     examples = set(model.index.ids.tolist())
     assert examples and all([e["doc_id"] for e in got[100 + i]["evidence"]][:1] == [i] for i in examples)
     assert not got[200]["evidence"] and not got[201]["evidence"]
+
+
+def test_token_counts_use_pieces_of_any_length(spark):
+    vocabulary = token_counts.Vocabulary.of(["▁".encode(), "▁самостоятельность".encode(), b"x" * 60])
+    rows = spark.createDataFrame([(1, "самостоятельность"), (2, "x" * 60), (3, "x" * 59)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(rows, vocabulary).collect()} == {1: 1, 2: 2, 3: 60}
