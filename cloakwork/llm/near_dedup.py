@@ -10,32 +10,36 @@ at least 75%; the result is the connected components of the links.
    each class in one global order, rarest first by a table of hashed counts of fixed size,
    two linked classes share one of their first POSTED - MATCHES + 1 pairs: the prefix. The
    frequent pairs that shared passages bring are thus skipped.
-3. Shingles that no other class of any list has are counted; they bound every similarity
-   from above. Classes of which more than a quarter is their own can't be linked and leave
-   the lists; so documents that share a passage only are never compared.
-4. Lists are merged by pivots, never by all pairs: the members of a list are held against
-   the member with the least share of its own; the collisions of such a pair are counted
-   over all coordinates, and pairs under COLLISIONS (missed by a link once in 10**8), or
-   whose own shingles exclude a link, are dropped. The best partner of each class is
-   confirmed on the full sets first, then those that are still in different components.
-5. While a list has members of several components, members outside its largest component
-   become pivots, more in each round, until every two members of a list are in one component
-   or have been held against each other. So no link between different texts is lost, and a
-   large group of near copies costs a few comparisons for each member.
+3. Lists are merged in tasks, never as rows of pairs: the members of a list are in order of
+   size, a member is held against those that its size allows, skipping what is joined with
+   it, and their collisions are counted over all coordinates. Pairs of at least COLLISIONS
+   (missed by a link once in 10**8) are candidates; a task emits a forest of them.
+4. A list of more than LIST members comes from a large group of near copies or from a
+   passage that many documents share. Members of which more than a quarter of the shingles
+   is in no other such list can't be linked with a member and leave; what then still is
+   longer than LIST becomes a star of candidates, without comparison.
+5. The components of the candidates are verified on the full sets, again in tasks that skip
+   what is joined. One of at most GROUP members and GROUP_SHINGLES shingles is one task's
+   work. A larger one is cut into blocks: neighbouring blocks are joined first, which makes
+   a component of most members; then the members outside of the largest component are held
+   against all blocks. So no link between different texts is lost, no row stands for a
+   pair, and a large group of near copies costs a few comparisons for each member.
 
 Components are found by alternating large-star and small-star steps on tables in the shared
-folder. Nothing but counts and the fixed-size table reaches the driver.
+folder. Nothing but counts and tables of fixed size reaches the driver.
 
 Defined results: a null, empty or blank text has an empty set, size 0, and is linked with
-nothing; fewer than 5 words are one shingle; rows of one id are one document, and equal
-rows are all returned; a null id is never the smallest, and the component of null ids alone
-is null; ``keep_one`` keeps one row of each component also where ids repeat; extra columns
-are ignored by ``near_duplicates`` and kept by ``keep_one``; an empty table gives no rows.
+nothing; fewer than 5 words are one shingle; every row is a document of its own, also where
+ids repeat: equal rows are all returned, and rows of one id with unlike texts are in
+components of their own; a null id is never the smallest, and the component of null ids alone
+is null; ``keep_one`` keeps one row of each component: that of the least id, null last, then of
+the least text hash, and all rows of empty sets; extra columns are ignored by
+``near_duplicates`` and kept by ``keep_one``; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +51,11 @@ from cloakwork.llm import jobs, substring_dedup, textops
 SHINGLE, PERCENT = 5, 75
 COORDINATES, POSTED, MATCHES, COLLISIONS = 128, 48, 18, 69
 TABLE, SLICES = 1 << 20, 16
-FIRST_PIVOTS, MORE = 4, 4
+#: Members of a list that one task compares; members and shingles of a component that one task verifies, and of its blocks.
+LIST = 1024
+GROUP, GROUP_SHINGLES = 2048, 1 << 22
+#: Bits of the filter by which the second scan skips documents that are in no list.
+FILTER_BITS = 1 << 25
 
 _FACTORS = textops.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64), 77) | np.uint64(1)
 
@@ -98,20 +106,21 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = [pa.array(np.diff(first).astype(np.int64)), *(pa.array(_sums(textops.mix(h, s), first).view(np.int64)) for s in (20, 21))]
             posted = pa.array([x.tobytes() for x in minima[:, :POSTED]], pa.binary())
             signature = pa.array([x.tobytes() for x in textops.mix(minima.astype(np.uint64)).astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first_row, chunk.rows), *columns, posted, signature], ["doc_id", "n", "d1", "d2", "posted", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first_row, chunk.rows), batch.column(2).slice(chunk.first_row, chunk.rows), *columns, posted, signature], ["doc_id", "x", "n", "d1", "d2", "posted", "signature"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, d1, d2, posted, signature): the minima of the posted coordinates, and a
-    byte for each of all."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures, "doc_id long, n long, d1 long, d2 long, posted binary, signature binary")
+    """(doc_id, x, n, d1, d2, posted, signature): a hash of the text, the set's size and digest,
+    the minima of the posted coordinates, and a byte for each of all."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("x"))
+    return rows.mapInArrow(_signatures, "doc_id long, x long, n long, d1 long, d2 long, posted binary, signature binary")
 
 
 def classes(signed: DataFrame) -> DataFrame:
-    """(node, n, d1, d2, posted, signature): one row for each distinct set; the node is the
-    smallest id."""
-    ids = signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.min("posted").alias("posted"), F.min("signature").alias("signature"))
-    return ids.select(F.coalesce("id", F.xxhash64("n", "d1", "d2")).alias("node"), "n", "d1", "d2", "posted", "signature")
+    """(node, id, n, d1, d2, posted, signature): one row for each distinct set with its smallest
+    id. The node is a number that holds for the stored table only."""
+    rows = signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.min("posted").alias("posted"), F.min("signature").alias("signature"))
+    return jobs.stored(rows.withColumn("node", F.monotonically_increasing_id()))
 
 
 def _pairs_of(column: pa.Array) -> np.ndarray:
@@ -121,28 +130,62 @@ def _pairs_of(column: pa.Array) -> np.ndarray:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(TABLE, np.int64)
+    total = np.zeros(TABLE, np.uint32)
     for batch in batches:
-        total += np.bincount((_pairs_of(batch.column(0)) % np.uint64(TABLE)).astype(np.int64).ravel(), minlength=TABLE)
-    yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "counts": [x.tobytes() for x in np.split(total, SLICES)]})
+        total += np.bincount((_pairs_of(batch.column(0)) % np.uint64(TABLE)).astype(np.int64).ravel(), minlength=TABLE).astype(np.uint32)
+    if total.any():
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "bytes": [x.tobytes() for x in np.split(total, SLICES)]})
 
 
-def _add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _levels(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(TABLE // SLICES, np.int64)
     for batch in batches:
-        for x in batch.column("counts"):
-            total += np.frombuffer(x.as_py(), np.int64)
-    yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": [total.tobytes()]})
+        for x in batch.column("bytes"):
+            total += np.frombuffer(x.as_py(), np.uint32)
+    yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "bytes": [np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()]})
+
+
+def _gathered(slices: DataFrame, size: int) -> np.ndarray:
+    """The slices of a table of fixed size, one after the other."""
+    out = np.zeros((SLICES, size // SLICES), np.uint8)
+    for r in slices.collect():
+        out[r["slice"]] = np.frombuffer(r["bytes"], np.uint8)
+    return out.ravel()
 
 
 def frequency_levels(nodes: DataFrame) -> np.ndarray:
     """The bit length of the count of each of TABLE hash buckets of pairs."""
-    kind = "slice int, counts binary"
-    rows = nodes.select("posted").mapInArrow(_tally, kind).groupBy("slice").applyInArrow(_add, kind).collect()
-    counts = np.zeros(TABLE, np.int64)
-    for r in rows:
-        counts[r["slice"] * (TABLE // SLICES) : (r["slice"] + 1) * (TABLE // SLICES)] = np.frombuffer(r["counts"], np.int64)
-    return np.ceil(np.log2(counts + 1)).astype(np.uint8)
+    kind = "slice int, bytes binary"
+    return _gathered(nodes.select("posted").mapInArrow(_tally, kind).groupBy("slice").applyInArrow(_levels, kind), TABLE)
+
+
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """Two places of the filter for each id."""
+    h = textops.mix(ids.astype(np.int64).view(np.uint64), 40)
+    return np.stack([h % np.uint64(FILTER_BITS), (h >> np.uint64(32)) * np.uint64(5) % np.uint64(FILTER_BITS)]).astype(np.int64)
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    marked = np.zeros(FILTER_BITS, bool)
+    for batch in batches:
+        marked[_bits(batch.column(0).drop_null().to_numpy()).ravel()] = True
+    parts = [(i, x) for i, x in enumerate(np.split(marked, SLICES)) if x.any()]
+    yield pa.RecordBatch.from_pydict({"slice": pa.array([i for i, _ in parts], pa.int32()), "bytes": pa.array([np.packbits(x).tobytes() for _, x in parts], pa.binary())})
+
+
+def _either(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(FILTER_BITS // 8 // SLICES, np.uint8)
+    for batch in batches:
+        for x in batch.column("bytes"):
+            total |= np.frombuffer(x.as_py(), np.uint8)
+    yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "bytes": [total.tobytes()]})
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits that passes all of the ids; when it is too small for them it passes
+    others too, which a join drops."""
+    kind = "slice int, bytes binary"
+    return _gathered(ids.mapInArrow(_mark, kind).groupBy("slice").applyInArrow(_either, kind), FILTER_BITS // 8)
 
 
 def postings(nodes: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -162,68 +205,164 @@ def postings(nodes: DataFrame, levels: np.ndarray) -> DataFrame:
     return nodes.select("node", "posted").mapInArrow(run, "pair long, node long")
 
 
-def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes that agree on enough coordinates and may be alike by size."""
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, size: int = 1 << 23) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, and where each group begins, of rows that are in order of the key;
+    of about ``size`` bytes, or one group where that is larger."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+
+    def cut(rest: bool) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        nonlocal held, total
+        table = pa.Table.from_batches(held).combine_chunks()
+        k = table.column(key).to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        if rest:
+            held, total = [], 0
+            yield table, np.append(first, len(k))
+        elif len(first) > 1:
+            end = int(first[-1])
+            held = table.slice(end).to_batches()
+            total = sum(b.nbytes for b in held)
+            yield table.slice(0, end), first
+
+    limit = size
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in ("sa", "sb"))
-        m = (x == y).sum(1)
-        na, nb, oa, ob = (batch.column(k).to_numpy() for k in ("na", "nb", "oa", "ob"))
-        shared = np.minimum(na - oa, nb - ob)
-        keep = (m >= COLLISIONS) & (100 * shared >= PERCENT * (na + nb - shared))
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep)), pa.array(m[keep].astype(np.int32))], ["a", "b", "m"])
-
-
-def collisions(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, m): the pairs of enough collisions."""
-    own = nodes.select("node", "n", "own", "signature")
-    rows = pairs.join(own.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("signature").alias("sa")), "a")
-    rows = rows.join(own.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("signature").alias("sb")), "b")
-    return rows.select("a", "b", "na", "nb", "oa", "ob", "sa", "sb").mapInArrow(_collide, "a long, b long, m int")
+        if batch.num_rows:
+            held.append(batch)
+            total += batch.nbytes
+            if total >= limit:
+                yield from cut(False)
+                limit = size if total < size // 2 else 2 * total
+    if held:
+        yield from cut(True)
+
+
+def spread(sizes: np.ndarray, alike: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Numbers of the components of members in order of size. ``alike(i, others)`` marks the
+    members that are linked with i; those that are joined already are not asked for."""
+    labels = np.full(len(sizes), -1)
+    left, label = np.arange(len(sizes)), 0
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        labels[queue] = label
+        while queue and len(left):
+            i = queue.pop()
+            low, high = np.searchsorted(100 * sizes[left], PERCENT * sizes[i], "left"), np.searchsorted(PERCENT * sizes[left], 100 * sizes[i], "right")
+            found = left[low:high][alike(i, left[low:high])] if high > low else left[:0]
+            if len(found):
+                labels[found] = label
+                queue += found.tolist()
+                left = left[labels[left] < 0]
+        label += 1
+    return labels
+
+
+def _stars(nodes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): each member with the least of its component."""
+    least = np.full(labels.max() + 1, nodes.max())
+    np.minimum.at(least, labels, nodes)
+    v = least[labels]
+    return nodes[nodes != v], v[nodes != v]
+
+
+def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1).reshape(-1, 2), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
 
-def _shingle_items(chunk: textops.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    h, first = distinct(*shingles(chunk))
-    return h, np.diff(first)
-
+def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of the candidates of each list; rows by pair, then size."""
+    for table, first in whole_groups(batches, "pair"):
+        node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        k = np.diff(first)
+        a = first[:-1][k == 2]
+        a = a[((signature[a] == signature[a + 1]).sum(1) >= COLLISIONS) & (PERCENT * n[a + 1] <= 100 * n[a])]
+        u, v = [node[a]], [node[a + 1]]
+        for begin, end in zip(first[:-1][k > 2], first[1:][k > 2], strict=True):
+            own = signature[begin:end]
+            x, y = _stars(node[begin:end], spread(n[begin:end], lambda i, others, own=own: (own[others] == own[i]).sum(1) >= COLLISIONS))
+            u.append(x)
+            v.append(y)
+        yield _edges(np.concatenate(u), np.concatenate(v))
+
+
+def candidates(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): forests of the classes that collide often enough in the lists (pair, node)."""
+    rows = lists.select("pair", "node").join(nodes.select("node", "n", "signature"), "node")
+    return rows.select("pair", "node", "n", "signature").repartition("pair").sortWithinPartitions("pair", "n").mapInArrow(_collide, "u long, v long")
+
+
+def _sets(keep: Callable[[], np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = keep()
+        for batch in batches:
+            ids = batch.column(0)
+            place = _bits(ids.fill_null(0).to_numpy())
+            hit = (marked[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).all(0) | ids.is_null().to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(hit))
+            for chunk in textops.chunks(batch.column(1)):
+                h, first = distinct(*shingles(chunk))
+                sets = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                columns = [pa.array(np.diff(first).astype(np.int64)), *(pa.array(_sums(textops.mix(h, s), first).view(np.int64)) for s in (20, 21)), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first_row, chunk.rows), *columns], ["id", "n", "d1", "d2", "set"])
 
-def _shared(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles of each class of a block are found elsewhere."""
-    p, head = substring_dedup.read_block(batches)
-    edges = np.concatenate(([0], np.cumsum(head["windows"])))
-    counts = np.bincount(np.searchsorted(edges, p, "right") - 1, minlength=len(edges) - 1)
-    yield pa.RecordBatch.from_arrays([pa.array(head["ids"], pa.int64()), pa.array(counts.astype(np.int64))], ["node", "shared"])
+    return run
 
 
-def own_shares(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The classes of the texts with ``own``, the number of their shingles that no other of
-    these classes has, and ``rank``, which is least for the most central."""
-    rows = texts.select(F.col("node").alias("id"), F.lit(0).cast("long").alias("hash"), "text")
-    shared = substring_dedup.repeated(rows, _shingle_items).groupBy("block").applyInArrow(_shared, "node long, shared long")
-    shared = shared.groupBy("node").agg(F.max("shared").alias("shared"))
-    own = (F.col("n") - F.least("shared", "n")).alias("own")
-    rows = nodes.select("node", "n", "signature").join(shared, "node").select("node", "n", "signature", own)
-    return rows.where(100 * (F.col("n") - F.col("own")) >= PERCENT * F.col("n")).withColumn("rank", F.floor(F.col("own") * 1000 / F.col("n")))
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, set): the hashes of the shingles, in order, of the wanted classes (node, id, n, d1, d2)."""
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select("id")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sets(lambda: held.value), "id long, n long, d1 long, d2 long, set binary")
+    rows = rows.drop("id").join(wanted.select("node", "n", "d1", "d2"), ["n", "d1", "d2"])
+    return rows.dropDuplicates(["n", "d1", "d2"]).select("node", "set")
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = batch.column("ta"), batch.column("tb")
-        keep = np.zeros(batch.num_rows, bool)
-        for at in range(0, batch.num_rows, 64):
-            sets = [[s for c in textops.chunks(x.slice(at, 64)) for h, f in [distinct(*shingles(c))] for s in np.split(h, f[1:-1])] for x in (a, b)]
-            for i, (x, y) in enumerate(zip(*sets, strict=True)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[at + i] = both and 100 * both >= PERCENT * (len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in ("a", "b")], ["u", "v"])
-
-
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v): the pairs that are linked by their full sets."""
-    rows = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    rows = rows.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return rows.select("a", "b", "ta", "tb").mapInArrow(_confirm, "u long, v long")
+        n = np.array([len(x.as_buffer()) // 8 for x in batch.column("set")])
+        at = np.concatenate(([0], np.cumsum(n)))
+        h = np.frombuffer(b"".join(batch.column("set").to_pylist()), np.int64)
+        for a in range(0, len(h), 1 << 18):
+            part = slice(a, a + (1 << 18))
+            row = np.searchsorted(at, np.arange(len(h))[part], "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(h[part]), batch.column("node").take(pa.array(row))], ["h", "node"])
+
+
+def shared_enough(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node): the classes of which at least PERCENT of the shingles are in another of these sets;
+    the others can't be linked with any of them."""
+    items = sets.mapInArrow(_items, "h long, node long")
+    # Of each shingle the number of classes and, where it is one, the class: nothing gathers a shingle's classes.
+    own = items.groupBy("h").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("own"))
+    rows = sets.select("node").join(own, "node", "left").join(nodes.select("node", "n"), "node")
+    return rows.where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= PERCENT * F.col("n")).select("node")
+
+
+def candidate_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): forests of the candidates of all lists."""
+    posted = jobs.stored(postings(nodes, frequency_levels(nodes)))
+    lists = posted.groupBy("pair").agg(F.count("*").alias("k")).where("k > 1")
+    met = jobs.stored(posted.join(lists, "pair").select("pair", "node", "k"))
+    jobs.drop(posted)
+    short = met.where(F.col("k") <= LIST)
+    long = met.where(F.col("k") > LIST)
+    if long.isEmpty():
+        edges = jobs.stored(candidates(short, nodes))
+        jobs.drop(met)
+        return edges
+    wanted = long.select("node").distinct().join(nodes, "node").select("node", "id", "n", "d1", "d2")
+    sets = jobs.stored(sets_of(docs, wanted))
+    kept = jobs.stored(shared_enough(sets, nodes))
+    jobs.drop(sets)
+    long = long.join(kept, "node", "left_semi")
+    left = long.groupBy("pair").agg(F.count("*").alias("left"), F.min("node").alias("least"))
+    long = jobs.stored(long.select("pair", "node").join(left, "pair"))
+    stars = long.where((F.col("left") > LIST) & (F.col("node") > F.col("least"))).select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
+    short = short.select("pair", "node").unionByName(long.where((F.col("left") > 1) & (F.col("left") <= LIST)).select("pair", "node"))
+    edges = jobs.stored(candidates(short, nodes).unionByName(stars))
+    jobs.drop(met, kept, long)
+    return edges
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,112 +375,156 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = jobs.stored(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        last, edges = edges, jobs.stored(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        jobs.drop(last)
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now == before or not now[0]:
             break
         before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-
-
-def with_component(rows: DataFrame, found: DataFrame | None, node: str, name: str) -> DataFrame:
-    if found is None:
-        return rows.withColumn(name, F.col(node))
-    out = rows.join(found.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left")
-    return out.withColumn(name, F.coalesce(name, node))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame | None:
-    if found is not None:
-        links = links.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
-    return components(links)
-
-
-def _across(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    return with_component(with_component(pairs, found, "a", "ca"), found, "b", "cb").where("ca <> cb").drop("ca", "cb")
-
-
-def link_components(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
-    """(node, component) of all classes that are linked with another."""
-    posted = jobs.stored(postings(nodes, frequency_levels(nodes)))
-    lists = posted.groupBy("pair").agg(F.count("*").alias("k")).where("k > 1")
-    met = jobs.stored(posted.join(lists, "pair").select("pair", "node"))
-    active = met.select("node").distinct().join(nodes.select("node", "n", "d1", "d2"), "node")
-    texts = jobs.stored(active.select(F.col("node").alias("doc_id"), "n", "d1", "d2").join(with_digests(docs, nodes), ["doc_id", "n", "d1", "d2"]).select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"]))
-    nodes = jobs.stored(own_shares(texts, nodes))
-    met = met.join(nodes.select("node", "rank"), "node")
-    # A list's members are held against its most central one.
-    lists = met.groupBy("pair").agg(F.count("*").alias("k"), F.min(F.struct("rank", "node")).alias("least")).where("k > 1")
-    met = jobs.stored(met.join(lists.select("pair", F.col("least.node").alias("pivot")), "pair").select("pair", "node", "rank", "pivot"))
-    found = None
-    pairs = jobs.stored(collisions(_ordered(met.select(F.col("node").alias("a"), F.col("pivot").alias("b"))), nodes))
-    either = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "m"))
-    best = either.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    found = _joined(found, confirm(_ordered(best), texts))
-    found = _joined(found, confirm(_across(pairs.select("a", "b"), found), texts))
-    lists = met.select("pair", "node", "rank", (F.col("node") == F.col("pivot")).alias("done"))
-    pivots = FIRST_PIVOTS
-    while True:
-        rows = with_component(lists, found, "node", "component")
-        # One row for each component of a list: its size, and a member that was no pivot yet.
-        by = rows.groupBy("pair", "component").agg(F.count("*").alias("k"), F.min(F.when(~F.col("done"), F.struct("rank", "node"))).alias("next"))
-        top = by.groupBy("pair").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component")).alias("top")).where("parts > 1")
-        open_ = by.join(top, "pair").where((F.col("component") != F.col("top.component")) & F.col("next").isNotNull())
-        order = Window.partitionBy("pair").orderBy("next")
-        chosen = jobs.stored(open_.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots).select("pair", F.col("next.node").alias("pivot"), F.col("component").alias("own")))
-        if chosen.isEmpty():
-            return found
-        met_now = rows.join(chosen, "pair").where("component <> own").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        pairs = jobs.stored(_across(collisions(_ordered(met_now), nodes).select("a", "b"), found))
-        if not pairs.isEmpty():
-            found = _joined(found, confirm(pairs, texts))
-        used = chosen.select("pair", F.col("pivot").alias("node"), F.lit(True).alias("now"))
-        lists = jobs.stored(lists.join(chosen.select("pair").distinct(), "pair", "left_semi").join(used, ["pair", "node"], "left").select("pair", "node", "rank", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")))
-        pivots *= MORE
-
-
-def with_digests(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The texts by id, with the digests by which a repeated id's text is told apart."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in textops.chunks(batch.column(1)):
-                h, first = distinct(*shingles(chunk))
-                own = batch.slice(chunk.first_row, chunk.rows)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.diff(first).astype(np.int64)), *(pa.array(_sums(textops.mix(h, s), first).view(np.int64)) for s in (20, 21))], ["doc_id", "text", "n", "d1", "d2"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string, n long, d1 long, d2 long")
-    return rows.withColumn("doc_id", F.coalesce("doc_id", F.xxhash64("n", "d1", "d2")))
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = jobs.stored(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()))
+    jobs.drop(edges)
+    return out
+
+
+class Sets:
+    """The sets of some classes, by which links are found exactly."""
+
+    def __init__(self, sets: list[bytes]):
+        self.sizes = np.array([len(x) // 8 for x in sets], np.int64)
+        self.at = np.concatenate(([0], np.cumsum(self.sizes)))
+        values, self.codes = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+        self.mask = np.zeros(len(values), bool)
+
+    def alike(self, i: int, others: np.ndarray) -> np.ndarray:
+        own = self.codes[self.at[i] : self.at[i + 1]]
+        self.mask[own] = True
+        if 4 * len(others) < len(self.sizes):
+            parts = np.concatenate([self.codes[self.at[j] : self.at[j + 1]] for j in others])
+            both = np.add.reduceat(self.mask[parts], np.concatenate(([0], np.cumsum(self.sizes[others])[:-1])), dtype=np.int64)
+        else:
+            both = np.add.reduceat(self.mask[self.codes], self.at[:-1], dtype=np.int64)[others]
+        self.mask[own] = False
+        return 100 * both >= PERCENT * (self.sizes[i] + self.sizes[others] - both)
+
+
+def _in_order(table: pa.Table) -> tuple[np.ndarray, Sets, pa.Table]:
+    """Nodes and sets of a group, each class once, in order of size."""
+    table = table.take(pa.array(np.unique(table.column("node").to_numpy(), return_index=True)[1]))
+    size = np.array([len(x.as_buffer()) for x in table.column("set")], np.int64)
+    table = table.take(pa.array(np.argsort(size, kind="stable")))
+    return table.column("node").to_numpy(), Sets(table.column("set").to_pylist()), table
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of the links of each group."""
+    for table, first in whole_groups(batches, "key"):
+        u, v = [], []
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            nodes, sets, _ = _in_order(table.slice(a, b - a))
+            x, y = _stars(nodes, spread(sets.sizes, sets.alike))
+            u.append(x)
+            v.append(y)
+        yield _edges(np.concatenate(u), np.concatenate(v))
+
+
+def _verify_outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the outer members of each group with members of other components."""
+    for table, first in whole_groups(batches, "key"):
+        u, v = [], []
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            group = table.slice(a, b - a)
+            # An outer member that is in the block as well counts as outer.
+            group = group.take(pa.array(np.argsort(~group.column("outer").to_numpy(), kind="stable")))
+            nodes, sets, group = _in_order(group)
+            label = np.unique(group.column("own").to_numpy(), return_inverse=True)[1]
+            for i in np.flatnonzero(group.column("outer").to_numpy()):
+                others = np.flatnonzero(label != label[i])
+                for j in others[sets.alike(i, others)] if len(others) else ():
+                    if label[j] != label[i]:
+                        u.append(nodes[i])
+                        v.append(nodes[j])
+                        label[label == label[j]] = label[i]
+        yield _edges(np.array(u, np.int64), np.array(v, np.int64))
+
+
+def _by_key(rows: DataFrame, run, *columns: str) -> DataFrame:
+    return rows.select("key", "node", *columns, "set").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+
+
+def verified(sets: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component) by the links on full sets, within the components (node, component) of
+    the candidates."""
+    found = found.join(nodes.select("node", "n"), "node")
+    size = found.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    whole = (F.col("members") <= GROUP) & (F.col("shingles") <= GROUP_SHINGLES)
+    blocks = F.greatest(F.ceil(F.col("members") / (GROUP // 2)), F.ceil(F.col("shingles") / (GROUP_SHINGLES // 2))).cast("int")
+    rows = found.drop("n").join(size.select("component", whole.alias("whole"), blocks.alias("blocks")), "component")
+    rows = jobs.stored(rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    links = jobs.stored(_by_key(rows.where("whole").select("node", F.col("component").alias("key")).join(sets, "node"), _verify))
+    large = rows.where("NOT whole")
+    if large.isEmpty():
+        out = components(links)
+        jobs.drop(rows, links)
+        return out
+    # Each block with the next one.
+    chain = F.array_distinct(F.array(F.greatest(F.col("block") - 1, F.lit(0)), F.least("block", F.col("blocks") - 2)))
+    pairs = large.select("node", "component", F.explode(chain).alias("b")).select("node", F.xxhash64("component", "b").alias("key"))
+    chained = jobs.stored(_by_key(pairs.join(sets, "node"), _verify))
+    own = components(chained)
+    large = large.join(own.withColumnRenamed("component", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
+    top = large.groupBy("component", "own").agg(F.count("*").alias("k")).groupBy("component").agg(F.max(F.struct("k", "own")).alias("top"), F.sum("k").alias("members"))
+    top = top.select("component", F.col("top.own").alias("top"), (F.col("members") - F.col("top.k")).alias("outside"))
+    large = large.join(top.where("outside > 0"), "component").withColumn("outer", F.col("own") != F.col("top"))
+    large = jobs.stored(large.withColumn("outers", F.greatest(F.lit(1), F.ceil(F.col("outside") / (GROUP // 2)).cast("int"))))
+    outer = large.where("outer").withColumn("a", F.pmod(F.xxhash64("node", F.lit(1)), F.col("outers"))).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    all_ = large.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("outers") - 1))).withColumn("b", F.col("block"))
+    pick = lambda rows, outer: rows.select("node", "own", F.lit(outer).alias("outer"), F.xxhash64("component", F.col("a").cast("int"), F.col("b").cast("int")).alias("key"))
+    crossed = jobs.stored(_by_key(pick(outer, True).unionByName(pick(all_, False)).join(sets, "node"), _verify_outer, "own", "outer"))
+    out = components(links.unionByName(chained).unionByName(crossed))
+    jobs.drop(rows, links, chained, own, large, crossed)
+    return out
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, x, n, component) of every row; the component is null for an empty set."""
+    signed = jobs.stored(signatures(docs))
+    nodes = classes(signed)
+    edges = candidate_edges(docs, nodes)
+    found = components(edges)
+    sets = jobs.stored(sets_of(docs, found.select("node").join(nodes, "node").select("node", "id", "n", "d1", "d2")))
+    links = verified(sets, found, nodes)
+    jobs.drop(edges, found, sets)
+    of = nodes.select("node", "n", "d1", "d2").join(links, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component"))
+    out = jobs.stored(signed.select("doc_id", "x", "n", "d1", "d2").join(of, ["n", "d1", "d2"], "left").select("doc_id", "x", "n", "component"))
+    jobs.drop(signed, nodes, links)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
-    signed = jobs.stored(signatures(docs))
-    nodes = jobs.stored(classes(signed))
-    found = link_components(docs, nodes)
-    rows = signed.select("doc_id", "n", "d1", "d2").join(nodes.select("n", "d1", "d2", "node"), ["n", "d1", "d2"], "left")
-    rows = with_component(rows, found, "node", "component")
-    # The label of classes of null ids only is no id.
-    alone = nodes.where(F.col("node") == F.xxhash64("n", "d1", "d2")).select(F.col("node").alias("component"), F.lit(True).alias("alone"))
-    rows = rows.join(alone, "component", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("alone"), F.lit(None)).otherwise(F.col("component"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = labelled(docs)
+    least = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    rows = rows.join(least, "component", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, with their columns, less all but one of each component; of equal ids
-    the row of the smallest text hash stays. Rows of empty texts all stay."""
-    found = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    """The documents, with their columns, less all but one of each component: the row of the
+    least id, null last, and the least text hash. Rows of empty sets all stay."""
+    rows = labelled(docs)
+    none, doc_id, x = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("x")
+    first = rows.where("n > 0").groupBy("component").agg(F.min(F.struct(none.alias("none"), doc_id.alias("id"), x.alias("x"))).alias("s"))
+    chosen = jobs.stored(first.select(F.col("s.none").alias("__none"), F.col("s.id").alias("__id"), F.col("s.x").alias("__x")))
+    jobs.drop(rows)
     doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
-    rows = jobs.numbered(docs).join(found, doc_id.cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    # Rows without an id are dealt out by text; none of them goes.
-    order = Window.partitionBy(doc_id, F.when(doc_id.isNull(), F.xxhash64(text))).orderBy(F.xxhash64(text), text)
-    return rows.withColumn("__r", F.row_number().over(order)).where((F.col("__r") == 1) | doc_id.isNull()).drop("__r").toDF(*docs.columns)
+    keys = {"__none": doc_id.isNull(), "__id": F.coalesce(doc_id.cast("long"), F.lit(0)), "__x": F.xxhash64(text)}
+    rows = jobs.numbered(docs)
+    full = F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    # Rows of the same id and text are one choice.
+    order = Window.partitionBy(*keys).orderBy(F.lit(0))
+    kept = rows.where(full).withColumns(keys).join(chosen, list(keys), "left_semi").withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r", *keys)
+    return kept.unionByName(rows.where(~full)).toDF(*docs.columns)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
