@@ -2,9 +2,10 @@
 
 The words of a source, its documents in an order by hash, form one stream that is cut into
 blocks of BLOCK words. The mix is a row of slots, a block each, cut into shards of SHARD
-slots. How many slots of a shard each source gets is a multinomial draw without
-replacement from what is left of its target, found for any shard on its own by halving the
-range of shards and drawing the counts of the left half; so no shard waits for another.
+slots. How many slots of a shard each source gets is a multinomial draw by the targets,
+seeded by the shard's number, so no shard waits for another. Sums over the shards before,
+by runs of RUN shards, number the slots of a source. Slots past a source's target stay
+free, and what a source still lacks after the last draw follows in closing shards.
 Slot k of a source reads block ``permutation(k)``, a keyed bijection of the block numbers,
 a new one for each pass over the source; blocks are then joined by number. The last slot of
 a source is cut to the words still owed, so that the words taken equal the target rounded
@@ -17,8 +18,9 @@ weight among the others until none is above.
 Defined results: a document without words is in the mix with 0 words taken; rows that are
 equal are documents of their own, and both are taken; null and empty ids and sources are
 values like others; sources without words get the target 0; an empty table gives no rows;
-extra columns are ignored by the mix. Only the words of each source and bucket, a number
-of rows that the number of sources bounds, are seen in one task.
+extra columns are ignored by the mix. The order of a source's documents is by BUCKETS ranges
+of their hashes, whatever the session's settings. A few numbers for each source reach the
+driver and every task: sources are named by who weighs them, thousands at most.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ from pyspark.sql import functions as F
 from cloakwork.llm import jobs, textops
 
 WEIGHTS, SHARE, LIMIT = (5.0, 2.0, 1.0), 1.5, 2.0
-BLOCK, SHARD = 256, 256
+BLOCK, SHARD, RUN = 256, 256, 1024
+BUCKETS = 4096
+STRIDE = 157  # prime to SHARD
 SEED = 20_240_607
 
 
@@ -76,8 +80,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 def with_offsets(sized: DataFrame) -> DataFrame:
     """Adds ``at``, the words of the source before the document, and the bucket that a
     source is cut into so that no source meets in one task."""
-    buckets = 16 * int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = sized.withColumn("bucket", F.pmod("row", F.lit(buckets)).cast("int"))
+    rows = sized.withColumn("bucket", F.pmod("row", F.lit(BUCKETS)).cast("int"))
     own = Window.partitionBy("source", "bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -102,18 +105,22 @@ class Plan:
         passes, left = divmod(round(target), size) if size else (0, 0)
         return passes * -(-size // BLOCK) + -(-left // BLOCK) + (1 if left and size % BLOCK else 0)
 
-    def shard_counts(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first, count): the source's slots before this shard and in it."""
-        low, high = 0, self.shards
-        first, left = np.zeros(len(self.slots), np.int64), np.array(self.slots, np.int64)
-        while high - low > 1:
-            mid = (low + high) // 2
-            take = draw(left, (mid - low) * SHARD, np.random.default_rng([self.seed, low, high]))
-            if shard < mid:
-                left, high = take, mid
-            else:
-                first, left, low = first + take, left - take, mid
-        return first, left
+    def draw(self, shard: int) -> np.ndarray:
+        """The slots of each source in a shard."""
+        total = sum(self.slots)
+        rng = np.random.default_rng([self.seed, shard])
+        return rng.multinomial(min(SHARD, total - shard * SHARD), np.array(self.slots) / total)
+
+    def closing(self, drawn: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
+        """(shard, s, before, first, n): what the sources lack after all draws."""
+        out, at = [], self.shards * SHARD
+        for s, wanted in enumerate(self.slots):
+            k = drawn.get(s, 0)
+            while k < wanted:
+                n = min(wanted - k, SHARD - at % SHARD)
+                out.append((at // SHARD, s, at % SHARD, k, n))
+                k, at = k + n, at + n
+        return out
 
     def permutation(self, source: int, k: np.ndarray) -> np.ndarray:
         """Block numbers of the source's slots: a bijection of each pass by a Feistel
@@ -134,23 +141,6 @@ class Plan:
         return out.astype(np.int64)
 
 
-def draw(left: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """A multivariate hypergeometric draw of n; beyond the generator's range each share is
-    a normal draw held to what is possible."""
-    out, total = np.zeros(len(left), np.int64), int(left.sum())
-    n = min(n, total)
-    for i, own in enumerate(left.tolist()):
-        rest = total - own
-        if total < 10**9:
-            got = int(rng.hypergeometric(own, rest, n)) if own and n else 0
-        else:
-            p = own / total
-            got = round(n * p + rng.standard_normal() * (n * p * (1 - p) * (1 - n / total)) ** 0.5)
-        out[i] = min(max(got, n - rest, 0), own, n)
-        n, total = n - int(out[i]), rest
-    return out
-
-
 def plan_for(sized: DataFrame, seed: int = SEED) -> Plan:
     """Sources by code point, null last; one row for each source reaches the driver."""
     rows = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
@@ -158,23 +148,44 @@ def plan_for(sized: DataFrame, seed: int = SEED) -> Plan:
     return Plan([r["source"] for r in rows], [r["n"] for r in rows], seed)
 
 
-def slots(spark, plan: Plan) -> DataFrame:
-    """(shard, slot, s, k, block): every slot of the mix; s is the source's number."""
+def shard_counts(spark, plan: Plan) -> DataFrame:
+    """(shard, s, before, first, n): the source's slots in a shard, which begin at ``before`` in
+    the shard and at ``first`` in the source."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for shard in frame["id"]:
-                first, count = plan.shard_counts(int(shard))
-                s = np.repeat(np.arange(len(count)), count)
-                k = np.concatenate([np.arange(f, f + c) for f, c in zip(first, count, strict=True)]) if len(s) else s
-                block = np.zeros(len(s), np.int64)
-                for i in np.flatnonzero(count):
-                    block[s == i] = plan.permutation(int(i), k[s == i])
-                place = np.random.default_rng([plan.seed, int(shard)]).permutation(len(s))
-                yield pd.DataFrame({"shard": int(shard), "slot": place, "s": s, "k": k, "block": block})
+                n = plan.draw(int(shard))
+                own = np.flatnonzero(n)
+                yield pd.DataFrame({"shard": int(shard), "s": own, "before": (np.cumsum(n) - n)[own], "n": n[own]})
 
     parts = max(1, min(plan.shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return spark.range(0, plan.shards, 1, parts).mapInPandas(run, "shard long, slot long, s int, k long, block long")
+    drawn = jobs.stored(spark.range(0, plan.shards, 1, parts).mapInPandas(run, "shard long, s int, before long, n long").withColumn("run", F.floor(F.col("shard") / RUN)))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    runs = drawn.groupBy("s", "run").agg(F.sum("n").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(before("s", "run")), F.lit(0)))
+    rows = drawn.join(runs.drop("m"), ["s", "run"]).withColumn("first", F.col("base") + F.coalesce(F.sum("n").over(before("s", "run", "shard")), F.lit(0)))
+    wanted = spark.createDataFrame(list(enumerate(plan.slots)), "s int, wanted long")
+    rows = rows.join(F.broadcast(wanted), "s").withColumn("n", F.least("n", F.col("wanted") - F.col("first"))).where("n > 0")
+    totals = {r["s"]: r["n"] for r in drawn.groupBy("s").agg(F.sum("n").alias("n")).collect()}
+    return rows.select("shard", "s", "before", "first", "n").unionByName(spark.createDataFrame(plan.closing(totals), "shard long, s int, before long, first long, n long"))
+
+
+def slots(spark, plan: Plan) -> DataFrame:
+    """(shard, slot, s, k, block): every slot of the mix; s is the source's number."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            n = frame["n"].to_numpy()
+            each = lambda c: np.repeat(frame[c].to_numpy(), n)
+            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            s, k, block = each("s"), each("first") + j, np.zeros(n.sum(), np.int64)
+            for i in np.unique(s):
+                block[s == i] = plan.permutation(int(i), k[s == i])
+            yield pd.DataFrame({"shard": each("shard"), "slot": each("before") + j, "s": s, "k": k, "block": block})
+
+    rows = shard_counts(spark, plan).mapInPandas(run, "shard long, slot long, s int, k long, block long")
+    # Within a shard the slots of all sources are shuffled, by a bijection of its places.
+    return rows.withColumn("slot", F.pmod(F.col("slot") * STRIDE + F.xxhash64(F.lit(plan.seed), "shard"), F.lit(SHARD)))
 
 
 def owed(rows: DataFrame, plan: Plan) -> DataFrame:
