@@ -4,8 +4,13 @@ Tokens are lower-cased alphanumeric runs. A mask fixes which positions of a span
 are hashed and which are ignored, so two spans that differ at ignored positions hash alike;
 several masks together let some substitutions fall anywhere. Hashes of the test items and
 of all documents are joined, and every hit is verified: along its diagonal, the segment of
-the best score (a match counts 1, a mismatch -3) must hold LEAST matches, or all tokens of a
-shorter item. Items of fewer tokens than the span are hashed whole.
+the best score (a match counts 1, a mismatch -3; of equal scores the last and shortest) must
+hold LEAST matches, all but one of a shorter item, or all tokens of an item shorter than the span.
+
+No overlap that the verification accepts goes unseeded: every beginning of its segment has
+a score over 0, so the first four tokens match, and of the first eight at most one doesn't;
+the masks leave out each of the last four places of eight in turn. Items of fewer tokens
+than that span are hashed whole.
 
 The test side is broadcast in slices of at most SLICE tokens, a larger item by itself; more
 tokens mean more passes over the documents, never a larger broadcast. There is no shuffle
@@ -14,7 +19,8 @@ of documents.
 Defined results: null and empty texts and items match nothing; an item without an id is
 reported with a null; of several places of one
 item in a document the one with most matches is reported, the first on a tie; equal rows
-are reported once each; extra columns are ignored, and ``drop_contaminated`` keeps them.
+are reported once each; an item of fewer than TELLING tokens is reported, but no document goes for
+it; extra columns are ignored, and ``drop_contaminated`` keeps them.
 """
 
 from __future__ import annotations
@@ -29,8 +35,9 @@ from pyspark.sql import functions as F
 
 from cloakwork.llm import jobs, textops
 
-MASKS = ("1110110101011", "1101011100111", "1011100111011")
-LEAST, PENALTY = 12, 3
+MASKS = ("11110111", "11111011", "11111101", "1111111")
+SPAN = 8
+LEAST, PENALTY, TELLING = 12, 3, 5
 SLICE = 200_000
 FILTER_BITS = 22
 
@@ -51,8 +58,19 @@ def masked_hashes(tokens: np.ndarray, places: list[int], seed: int) -> np.ndarra
 
 def seeds(shortest: set[int]) -> list[list[int]]:
     """Positions of each mask, and of the whole of each length under the span."""
-    span = len(MASKS[0])
-    return [[i for i, c in enumerate(m) if c == "1"] for m in MASKS] + [list(range(n)) for n in sorted(shortest) if 0 < n < span]
+    return [[i for i, c in enumerate(m) if c == "1"] for m in MASKS] + [list(range(n)) for n in sorted(shortest) if 0 < n < SPAN]
+
+
+def least_matches(n: int) -> int:
+    """How many matches an item of n tokens asks for."""
+    return min(LEAST, n - 1) if n >= SPAN else n
+
+
+def repeats(h: np.ndarray, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Marks the spans that hash as the one a token before them in the same text does."""
+    out = np.zeros(len(at), bool)
+    out[1:] = (at[1:] == at[:-1] + 1) & (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
+    return out
 
 
 @dataclass
@@ -63,8 +81,9 @@ class Items:
     first: np.ndarray
     tokens: np.ndarray
     places: list[list[int]]
-    hashes: np.ndarray
-    starts: np.ndarray  # of the span, in ``tokens``
+    #: Of all seeds, and of those that don't repeat the one before: (hashes, where the span starts in ``tokens``).
+    all: tuple[np.ndarray, np.ndarray]
+    heads: tuple[np.ndarray, np.ndarray]
     present: np.ndarray
 
     @classmethod
@@ -72,7 +91,7 @@ class Items:
         lengths = np.array([len(x) for x in lists], np.int64)
         first = np.concatenate(([0], np.cumsum(lengths)))
         tokens = np.concatenate([*lists, np.empty(0, np.uint64)])
-        places, hashes, starts = seeds(set(lengths.tolist())), [], []
+        places, hashes, starts, again = seeds(set(lengths.tolist())), [], [], []
         owner = np.repeat(np.arange(len(lists)), lengths)
         for k, p in enumerate(places):
             at = np.arange(max(len(tokens) - p[-1], 0))
@@ -81,25 +100,33 @@ class Items:
                 own = own[lengths[owner[own]] == len(p)]
             hashes.append(masked_hashes(tokens, p, k)[own])
             starts.append(own)
-        h, s = np.concatenate(hashes), np.concatenate(starts)
+            again.append(repeats(hashes[-1], own, owner[own]))
+        h, s, again = np.concatenate(hashes), np.concatenate(starts), np.concatenate(again)
         order = np.argsort(h, kind="stable")
+        heads = order[~again[order]]
         present = np.zeros(1 << FILTER_BITS, bool)
         present[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        return cls(ids, first, tokens, places, h[order], s[order], present)
+        return cls(ids, first, tokens, places, (h[order], s[order]), (h[heads], s[heads]), present)
+
+    def telling(self, item: int) -> bool:
+        return self.first[item + 1] - self.first[item] >= TELLING
 
     def find(self, chunk: textops.Chunk) -> list[tuple[int, int, int, int, int]]:
-        """(row, item, matches, start, end) of verified overlaps; tokens of the row."""
+        """(row, item, matches, start, end) of verified overlaps; tokens of the row. Where the
+        document and the item both repeat a token, one seed stands for each diagonal."""
         words, tokens = tokens_of(chunk)
         hits = []
         for k, p in enumerate(self.places):
             h = masked_hashes(tokens, p, k)
             at = np.flatnonzero(self.present[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             at = at[words.row[at] == words.row[at + p[-1]]]
-            a, b = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-            n = b - a
-            own = np.repeat(at, n)
-            place = self.starts[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            hits.append(np.column_stack([own - place, np.searchsorted(self.first, place, "right") - 1, words.row[own]]))
+            again = repeats(h[at], at, words.row[at])
+            for (hashes, starts), some in ((self.all, at[~again]), (self.heads, at[again])):
+                a, b = np.searchsorted(hashes, h[some], "left"), np.searchsorted(hashes, h[some], "right")
+                n = b - a
+                own = np.repeat(some, n)
+                place = starts[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                hits.append(np.column_stack([own - place, np.searchsorted(self.first, place, "right") - 1, words.row[own]]))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for diagonal, item, row in np.unique(np.concatenate(hits), axis=0).tolist():
             found = self.verify(tokens, words.first[row], words.first[row + 1], diagonal, item)
@@ -113,10 +140,10 @@ class Items:
         equal = tokens[a:b] == self.tokens[a - diagonal : b - diagonal]
         sums = np.concatenate(([0], np.cumsum(np.where(equal, 1, -PENALTY))))
         lowest = np.minimum.accumulate(sums)
-        end = int((sums - lowest).argmax())
-        start = int(sums[: end + 1].argmin())
+        end = len(sums) - 1 - int((sums - lowest)[::-1].argmax())
+        start = end - int(sums[: end + 1][::-1].argmin())
         matches = int(equal[start:end].sum())
-        if matches < min(LEAST, self.first[item + 1] - self.first[item]):
+        if matches < least_matches(self.first[item + 1] - self.first[item]):
             return None
         return matches, int(a + start - low), int(a + end - low)
 
@@ -170,7 +197,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, bound: int = SLICE) -> Data
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, bound: int = SLICE) -> DataFrame:
-    """The documents, with their columns, that overlap no item."""
+    """The documents, with their columns, that overlap no item of TELLING tokens or more."""
     context, at = docs.sparkSession.sparkContext, docs.columns.index("text")
     rows = jobs.numbered(docs)
 
@@ -179,7 +206,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, bound: int = SLICE) ->
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for chunk in textops.chunks(batch.column(at)):
-                    keep[[chunk.first_row + f[0] for f in held.value.find(chunk)]] = False
+                    keep[[chunk.first_row + f[0] for f in held.value.find(chunk) if held.value.telling(f[1])]] = False
                 yield batch.filter(pa.array(keep))
 
         return run
