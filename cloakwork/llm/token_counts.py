@@ -10,6 +10,11 @@ Pieces come from a public vocabulary whose path is a parameter; a piece of rank
 score -log(r + SHIFT). Any single byte is a piece too, with the score BYTE_SCORE, so every
 text has a segmentation. Of equal scores the one of fewer tokens counts.
 
+The scores are made from ranks, as no public vocabulary here has unigram scores and tokenizers are
+never trained; counts thus differ from those of the vocabulary's own merges. A pre-token over
+ALONE bytes shares no prefix worth a trie and is scored by itself, by the same recurrence, in
+time proportional to its length.
+
 Defined results: a null or empty text has 0 tokens; equal rows get equal results; extra
 columns are ignored.
 """
@@ -29,8 +34,7 @@ from cloakwork.llm import jobs, textops
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SHIFT, BYTE_SCORE = 16.0, -14.0
-#: Pre-tokens share a trie's nodes up to 64 times so many bytes; no bound of the pieces.
-LONGEST = 24
+ALONE = 256
 CACHED = 1 << 18
 
 
@@ -41,6 +45,7 @@ class Vocabulary:
     hashes: np.ndarray
     scores: np.ndarray
     lengths: np.ndarray
+    pieces: dict[bytes, float]
 
     @classmethod
     def of(cls, pieces: list[bytes]) -> Vocabulary:
@@ -55,7 +60,8 @@ class Vocabulary:
         h = prefix_free_hashes(joined, ends - [len(p) for p in ranks], ends)
         r = np.array(list(ranks.values()))
         order = np.argsort(h)
-        return cls(h[order], np.where(r < 0, BYTE_SCORE, -np.log(np.maximum(r, 0) + SHIFT))[order], np.bincount([len(p) for p in ranks]) > 0)
+        scores = np.where(r < 0, BYTE_SCORE, -np.log(np.maximum(r, 0) + SHIFT))
+        return cls(h[order], scores[order], np.bincount([len(p) for p in ranks]) > 0, dict(zip(ranks, scores.tolist(), strict=True)))
 
     def score(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
@@ -76,10 +82,32 @@ def load(path: str = VOCABULARY) -> Vocabulary:
     return Vocabulary.of([p.encode() for p in pieces])
 
 
+def count_alone(token: bytes, vocabulary: Vocabulary) -> int:
+    """The number of tokens of one byte string."""
+    lengths = np.flatnonzero(vocabulary.lengths).tolist()
+    best, fewest = [0.0], [0]
+    for end in range(1, len(token) + 1):
+        top, least = -np.inf, 0
+        for n in lengths:
+            if n > end:
+                break
+            s = vocabulary.pieces.get(token[end - n : end])
+            if s is not None:
+                s, k = s + best[end - n], fewest[end - n] + 1
+                if s > top + 1e-9 or s > top - 1e-9 and k < least:
+                    top, least = s, k
+        best.append(top)
+        fewest.append(least)
+    return fewest[-1]
+
+
 def trie_counts(tokens: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
     """Numbers of tokens of distinct byte strings, by forward scores over their trie."""
     out = np.zeros(len(tokens), np.int64)
-    order = sorted(range(len(tokens)), key=tokens.__getitem__)
+    for i, x in enumerate(tokens):
+        if len(x) > ALONE:
+            out[i] = count_alone(x, vocabulary)
+    order = sorted((i for i, x in enumerate(tokens) if len(x) <= ALONE), key=tokens.__getitem__)
     lengths = np.array([len(tokens[i]) for i in order])
     if not len(lengths) or not lengths.max():
         return out
@@ -87,9 +115,8 @@ def trie_counts(tokens: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
     data = np.frombuffer(b"".join(tokens[i] for i in order), np.uint8)
     # With the strings in order, a node of depth d starts at each string that differs from the one before within d bytes.
     shared = np.zeros(len(order), np.int64)
-    width = int(min(lengths.max(), LONGEST * 64))
     alive = np.ones(len(order) - 1, bool)
-    for d in range(width):
+    for d in range(int(lengths.max())):
         alive &= (lengths[1:] > d) & (lengths[:-1] > d)
         at = np.flatnonzero(alive)
         if not len(at):
