@@ -125,18 +125,27 @@ def test_secret_query_keeps_the_rules_findings(spark):
         assert set(want) <= set(r["spans"].split(","))
 
 
-@pytest.mark.xfail(reason="finds 64 of 100 secrets that no key word announces, trained on 400 rows; 80 are wanted")
-def test_secret_network_learns_and_calibrates(spark):
+@pytest.mark.parametrize("length", [24, 40, 150])
+def test_secret_network_learns_and_calibrates(spark, length):
+    """Fresh secrets that no key word announces, short and longer than the network's width."""
     rng = np.random.default_rng(1)
-    key = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 40))
-    rows = [(i, f'{" ".join(prose(i, 8))} token = "{key()}" and file-{i:04d}/{prose(i, 1)[0]}.report-2020 end') for i in range(400)]
+    key = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), n))
+    rows = [(i, f'{" ".join(prose(i, 8))} token = "{key(40)}" and file-{i:04d}/{prose(i, 1)[0]}.report-2020 end') for i in range(400)]
     network = secret_scan.fit(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert network is not None and network.threshold >= secret_scan.FLOOR
-    fresh = [(i, f'{" ".join(prose(i, 8))} {key()} and file-{i:04d}/{prose(i, 1)[0]}.report-2020 end') for i in range(500, 600)]
+    keys = {i: key(length) for i in range(500, 600)}
+    fresh = [(i, f'{" ".join(prose(i, 8))} {k} and file-{i:04d}/{prose(i, 1)[0]}.report-2020 end') for i, k in keys.items()]
     got = secret_scan.find(spark.createDataFrame(fresh, "doc_id long, text string"), network).collect()
-    found = [(r["doc_id"], s["start"]) for r in got for s in r["spans"]]
-    right = {(i, t.index(max(t.split(), key=len))) for i, t in fresh}
-    assert len(set(found) & right) >= 80 and len(set(found) - right) <= 5
+    found = {(r["doc_id"], s["start"]) for r in got for s in r["spans"]}
+    right = {(i, t.index(keys[i])) for i, t in fresh}
+    assert len(found & right) >= 90 and len(found - right) <= 5
+
+
+def test_secret_network_reads_all_of_a_long_candidate():
+    chunk = next(textops.chunks(pa.array(["é " + "a1" * 300 + " end", "b2c3d4e5"])))
+    x, first = secret_scan.encode(chunk, secret_scan.candidates(chunk))
+    assert len(first) == 2 and first[1] == len(x) - 1
+    inside = x[: first[1], secret_scan.BEFORE : secret_scan.BEFORE + secret_scan.WITHIN]
+    assert inside.all() and len(inside) * (secret_scan.WITHIN - secret_scan.WIDTH + 1) >= 600 - secret_scan.WITHIN
 
 
 def test_redaction_keeps_the_rest(wide):
@@ -146,6 +155,26 @@ def test_redaction_keeps_the_rest(wide):
     assert not any(base_spans(t) for t in texts) and " ".join(prose(1, 90)) in texts
 
 
+def tokens(text):
+    return re.findall("[a-z0-9]+", (text or "").lower())
+
+
+def overlap(a, b):
+    """Matches of the segment of the best score of all diagonals; of equal scores the last and shortest."""
+    most = 0
+    for d in range(-len(b) + 1, len(a)):
+        pairs = [a[i] == b[i - d] for i in range(max(0, d), min(len(a), len(b) + d))]
+        top, run, score, matches = 0, 0, 0, 0
+        for same in pairs:
+            score, run = (score + 1, run + 1) if same else (score - decontamination.PENALTY, run)
+            if score <= 0:
+                score = run = 0
+            if score >= top:
+                top, matches = score, run
+        most = max(most, matches)
+    return most
+
+
 def test_overlaps_against_all_diagonals(spark):
     items = [(1, " ".join(prose(20, 30))), (2, "Short ITEM here"), (3, None), (4, ""), (5, " ".join(prose(21, 40)))]
     swapped = prose(20, 30)
@@ -153,25 +182,29 @@ def test_overlaps_against_all_diagonals(spark):
     texts = [None, "", " ".join(prose(22, 50) + prose(20, 30) + prose(23, 10)), " ".join(swapped), "a short, item; HERE too", "short item", " ".join(prose(20, 30)[:11]), " ".join(prose(24, 500)), " ".join(prose(21, 40)[5:30] + prose(21, 40)), " ".join(prose(25, 20_000) + prose(21, 40))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     table = spark.createDataFrame(items, "item_id long, text string")
-    tokens = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
-
-    def best(a, b):
-        top = 0
-        for d in range(-len(b) + 1, len(a)):
-            run = score = 0
-            for i in range(max(0, d), min(len(a), len(b) + d)):
-                score, run = (score + 1, run + 1) if a[i] == b[i - d] else (score - decontamination.PENALTY, run)
-                if score <= 0:
-                    score = run = 0
-                top = max(top, run)
-        return top
-
-    want = {(i, k) for i, t in enumerate(texts) for k, x in items if tokens(x) and best(tokens(t), tokens(x)) >= min(decontamination.LEAST, len(tokens(x)))}
+    want = {(i, k) for i, t in enumerate(texts) for k, x in items if tokens(x) and overlap(tokens(t), tokens(x)) >= decontamination.least_matches(len(tokens(x)))}
     for bound in (decontamination.SLICE, 20):
         got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_overlaps(docs, table, bound).collect()}
         assert got == want == {(2, 1), (3, 1), (4, 2), (8, 5), (9, 5)}
     kept = {r["doc_id"] for r in decontamination.drop_contaminated(docs, table, 20).collect()}
-    assert kept == set(range(len(texts))) - {i for i, _ in want}
+    # The item of three tokens is told of, but takes no document.
+    assert kept == set(range(len(texts))) - {i for i, k in want if k != 2}
+
+
+def test_every_overlap_that_counts_is_found(spark):
+    """12 tokens verbatim, and copies of items of 8 to 30 tokens with random substitutions."""
+    rng = np.random.default_rng(6)
+    items = [(k, [f"t{k}x{j}" for j in range(n)]) for k, n in enumerate((8, 9, 11, 12, 13, 14, 20, 30, 40))]
+    texts = [["x", "y", *items[8][1][20:32], "z"], ["x", *items[8][1][20:31], "z"], ["same"] * 3_000]
+    for i in range(400):
+        own = [t if rng.random() > 0.12 else f"new{i}" for t in items[i % len(items)][1]]
+        texts.append(["before"] * (i % 3) + own + ["after"] * (i % 2))
+    items.append((99, ["same"] * 2_000))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    table = spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string")
+    want = {(i, k) for i, t in enumerate(texts) for k, x in items[:-1] if set(t) & set(x) and overlap(t, x) >= decontamination.least_matches(len(x))}
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_overlaps(docs, table).collect()}
+    assert got == want | {(2, 99)} and (0, 8) in got and (1, 8) not in got and 150 < len(got) < 400
 
 
 def test_token_counts_against_a_plain_table(odd):
@@ -187,7 +220,7 @@ def test_token_counts_against_a_plain_table(odd):
             return memo[word]
         raw, best = ("▁" + word).encode(), [(0.0, 0)]
         for e in range(1, len(raw) + 1):
-            found = [(best[s][0] + score(raw[s:e]), best[s][1] + 1) for s in range(max(0, e - token_counts.LONGEST), e)]
+            found = [(best[s][0] + score(raw[s:e]), best[s][1] + 1) for s in range(max(0, e - 24), e)]
             top = max(f[0] for f in found)
             best.append(min((f for f in found if f[0] > top - 1e-9), key=lambda f: f[1]))
         memo[word] = best[-1][1]
@@ -221,7 +254,15 @@ def test_targets(sizes):
 @pytest.mark.parametrize("sizes", [[1], [255], [256], [257, 4000, 70_000], [10**6, 300]])
 def test_slots_are_dealt_whole(sizes):
     plan = mixing.Plan([str(i) for i in range(len(sizes))], sizes)
-    assert np.array_equal(sum(plan.shard_counts(k)[1] for k in range(plan.shards)), plan.slots)
+    drawn = [plan.draw(k) for k in range(plan.shards)]
+    assert sum(int(d.sum()) for d in drawn) == sum(plan.slots) and all(d.sum() == mixing.SHARD for d in drawn[:-1])
+    totals = dict(enumerate(sum(drawn).tolist()))
+    closing = plan.closing(totals)
+    for s, wanted in enumerate(plan.slots):
+        own = sorted((k, n) for _, i, _, k, n in closing if i == s)
+        assert min(totals[s], wanted) + sum(n for _, n in own) == wanted and all(k == totals[s] + sum(n for _, n in own[:j]) for j, (k, _) in enumerate(own))
+    places = [(shard, at + j) for shard, _, at, _, n in closing for j in range(n)]
+    assert len(set(places)) == len(places) and all(x >= plan.shards and at < mixing.SHARD for x, at in places)
     for s, n in enumerate(plan.blocks):
         for epoch in range(2):
             assert sorted(plan.permutation(s, np.arange(epoch * n, (epoch + 1) * n))) == list(range(n))
@@ -268,3 +309,56 @@ def test_chat_round_trip(spark):
 def test_chat_main_path_is_native(spark):
     plan = queries.QUERIES["op9_chat_format"](spark, DATA)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|MapInArrow|MapPartitions", plan)
+
+
+@pytest.mark.parametrize("conf", [9, 211])
+def test_mixes_agree_whatever_the_settings(spark, odd, conf):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", conf)
+        got = sorted(map(repr, mixing.taken(*mixing.mix(odd)).collect()))
+        spark.conf.set("spark.sql.shuffle.partitions", 5)
+        assert got == sorted(map(repr, mixing.taken(*mixing.mix(odd)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_token_counts_of_the_vocabulary_itself(spark):
+    """Every distinct word of the table by the plain recurrence, and a very long word in linear time."""
+    vocabulary = token_counts.load()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()} | {-1: "ab1é" * 20_000, -2: "x" * 256}
+    count = {w: token_counts.count_alone((token_counts.MARK + w).encode(), vocabulary) for w in {w for t in texts.values() for w in words(t)}}
+    got = token_counts.count_tokens(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), vocabulary).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: sum(count[w] for w in words(t)) for i, t in texts.items()}
+
+
+def near_copies(n, edits):
+    base = prose(8, 60)
+    rng = np.random.default_rng(9)
+    out = []
+    for i in range(n):
+        own = [*base]
+        for at in rng.integers(0, 60, edits):
+            own[at] = f"w{rng.integers(n)}"
+        out.append((i, " ".join(own)))
+    return out
+
+
+@pytest.mark.parametrize(("edits", "bounds"), [(2, (4, 8, 40)), (3, (4, 8, 40))])
+def test_near_dedup_by_blocks(spark, monkeypatch, edits, bounds):
+    """Long lists, stars and components of many blocks, in groups around the threshold."""
+    for name, value in zip(("LIST", "GROUP", "GROUP_SHINGLES"), bounds, strict=True):
+        monkeypatch.setattr(near_dedup, name, value)
+    rows = near_copies(70, edits)
+    table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]})
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(duck(documents=table).sql(queries.SQL["op10_near_dedup"]).fetchall())
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Whatever their ids; rows of empty sets all stay."""
+    a, b = " ".join(prose(30, 40)), " ".join(prose(31, 40))
+    kept = lambda rows: sorted(map(tuple, near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert kept([(1, a), (None, a), (None, b)]) == [(1, a), (None, b)]
+    assert kept([(5, a), (5, b)]) == sorted([(5, a), (5, b)])
+    assert kept([(5, a), (5, a), (4, a + " end"), (5, None), (5, None), (None, "")]) == sorted([(4, a + " end"), (5, None), (5, None), (None, "")], key=repr)
