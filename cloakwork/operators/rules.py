@@ -34,27 +34,29 @@ class Rule:
         return int("(" in p)
 
 
+# The rulebook; the guards are our own.
 RULES = (
     Rule("email", "EMAIL", "LOW", r"\b[A-Za-z0-9._%+*•x\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", check="email", guard="@"),
-    Rule("phone_in", "PHONE", "MEDIUM", r"(?:\+91[\-.\s]?)?[6-9][\d*•x]{3,4}[\-.\s]?[\d*•x]{4,5}\b", check="phone_in"),
-    Rule("phone_us", "PHONE", "MEDIUM", r"\b(?:\+1[\-.\s]?)?\(?[2-9]\d{2}\)?[\-.\s][2-9]\d{2}[\-.\s]\d{4}\b"),
-    Rule("aadhaar", "AADHAAR", "HIGH", r"(?<!\d[-\s]?)\b[2-9]\d{3}[-\s]?\d{4}[-\s]?\d{4}\b(?![-\s]?\d)", check="verhoeff"),
-    Rule("pan", "PAN", "HIGH", r"\b[A-Z]{5}[0-9]{4}[A-Z]{1}\b"),
-    Rule("card", "CARD", "HIGH", r"\b(?:\d{4}[\-\s]?){3}\d{4}\b|\b(?:\d{4}[\-\s]?){2}\d{4}[\-\s]?\d{3}\b", check="card"),
+    Rule("phone_in", "PHONE", "MEDIUM", r"(?:\+91[\-.\s]?)?[6-9][\d*•x]{3,4}[\-.\s]?[\d*•x]{4,5}\b", check="phone_in", guard=r"[6-9][0-9*•x]{3}"),
+    Rule("phone_us", "PHONE", "MEDIUM", r"\b(?:\+1[\-.\s]?)?\(?[2-9]\d{2}\)?[\-.\s][2-9]\d{2}[\-.\s]\d{4}\b", guard=r"[2-9][0-9]{2}\)?[^0-9A-Za-z][2-9][0-9]{2}"),
+    Rule("aadhaar", "AADHAAR", "HIGH", r"(?<!\d[-\s]?)\b[2-9]\d{3}[-\s]?\d{4}[-\s]?\d{4}\b(?![-\s]?\d)", check="verhoeff", guard="[2-9][0-9]{3}"),
+    Rule("pan", "PAN", "HIGH", r"\b[A-Z]{5}[0-9]{4}[A-Z]{1}\b", guard="[A-Z]{5}[0-9]{4}"),
+    Rule("card", "CARD", "HIGH", r"\b(?:\d{4}[\-\s]?){3}\d{4}\b|\b(?:\d{4}[\-\s]?){2}\d{4}[\-\s]?\d{3}\b", check="card", guard="[0-9]{4}[^0-9A-Za-z]?[0-9]{4}"),
     Rule("cvv", "CVV", "HIGH", r"\b(?:cvv|cvc|security\s*code|card\s*code|cvn)\s*[:#\-]?\s*([0-9]{3,4})\b", True),
     Rule("expiry", "CARD_EXPIRY", "HIGH", r"\b(?:exp(?:iry|ires)?|valid\s*(?:thru|through|till))\s*[:#\-]?\s*((?:0[1-9]|1[0-2])[\/\-](?:20)?\d{2})\b", True),
     Rule("otp", "OTP", "HIGH", r"\b(?:otp|one[\- ]?time[\- ]?password|verification\s*code|auth\s*code|security\s*code|login\s*code|code\s*is)\s*(?:is|:|-)?\s*([0-9]{4,8})\b", True),
     Rule("address_street", "ADDRESS", "MEDIUM", r"\b(?:Flat\s+\d+|House\s+No|Plot\s+No|H\.?\s*No|Block\s+[A-Z0-9]+|Sector\s+\d+|Phase\s+\d+|Floor\s+\d+|Apartments?|Palms?|Residency|Vihar|Colony|Enclave|Nagar|Marg|Road|Street|Lane|Avenue)\b[^\n\r<]{8,90}(?:\b[1-9][0-9]{5}\b|\b\d{5}(?:-\d{4})?\b|[A-Za-z]+(?:\s+[A-Za-z]+)?\s+\d{5,6})", True, "address"),
     Rule("address_label", "ADDRESS", "MEDIUM", r"\b(?:delivery\s+|shipping\s+|billing\s+|residential\s+|home\s+)?address\s*[:#\-]?\s*([^\n\r<]{12,110})", True, "address", guard="(?i)address"),
-    Rule("address_deliver", "ADDRESS", "MEDIUM", r"\b(?:delivering|deliver(?:y)?|ship(?:ping)?|send)\s+(?:to|in|at)\s+([A-Za-z\s,\-]{2,35}?\s+\b[1-9][0-9]{5}\b)", True, "address"),
-    Rule("address_city", "ADDRESS", "MEDIUM", r"\b([A-Z][a-zA-Z\s]{2,20}[ \t]+\b[1-9][0-9]{5}\b)", check="address"),
-    Rule("address_pin", "ADDRESS", "MEDIUM", r"\b(?:pin(?:\s*code)?|postal(?:\s*(?:code|pin))?|zip(?:\s*code)?)\s*[:#\-]?\s*([1-9][0-9]{5})\b", True, "address_pin"),
+    Rule("address_deliver", "ADDRESS", "MEDIUM", r"\b(?:delivering|deliver(?:y)?|ship(?:ping)?|send)\s+(?:to|in|at)\s+([A-Za-z\s,\-]{2,35}?\s+\b[1-9][0-9]{5}\b)", True, "address", guard="[1-9][0-9]{5}"),
+    Rule("address_city", "ADDRESS", "MEDIUM", r"\b([A-Z][a-zA-Z\s]{2,20}[ \t]+\b[1-9][0-9]{5}\b)", check="address", guard="[1-9][0-9]{5}"),
+    Rule("address_pin", "ADDRESS", "MEDIUM", r"\b(?:pin(?:\s*code)?|postal(?:\s*(?:code|pin))?|zip(?:\s*code)?)\s*[:#\-]?\s*([1-9][0-9]{5})\b", True, "address_pin", guard="[1-9][0-9]{5}"),
     Rule("secret", "SECRET", "HIGH", r"\b(?:sk-[A-Za-z0-9_\-]{20,}|ghp_[A-Za-z0-9]{20,}|AIza[0-9A-Za-z\-_]{35}|eyJ[A-Za-z0-9\-_=]+\.[A-Za-z0-9\-_=]+\.?[A-Za-z0-9\-_.+\/=]*)\b", guard="sk-|ghp_|AIza|eyJ"),
     Rule("upi", "UPI", "HIGH", rf"\b[a-zA-Z0-9.\-_]{{2,64}}@({UPI_HANDLES})\b", True, guard="@"),
-    Rule("passport", "PASSPORT", "HIGH", r"\b[A-PR-WYa-pr-wy][1-9]\d\s?\d{4}[1-9]\b", check="passport"),
-    Rule("ifsc", "BANK_ACCOUNT", "MEDIUM", r"\b[A-Z]{4}0[A-Z0-9]{6}\b"),
+    Rule("passport", "PASSPORT", "HIGH", r"\b[A-PR-WYa-pr-wy][1-9]\d\s?\d{4}[1-9]\b", check="passport", guard="[A-Za-z][1-9][0-9]"),
+    Rule("ifsc", "BANK_ACCOUNT", "MEDIUM", r"\b[A-Z]{4}0[A-Z0-9]{6}\b", guard="[A-Z]{4}0"),
 )
 
+# The contextual rules.
 CONTEXTUAL_RULES = (
     Rule("salary", "FINANCIAL", "HIGH", r"\b(?:ctc|salary|annual\s+package|net\s+worth|in-hand|take-home|compensation|monthly\s+payout)\s*(?:is|of|:|[\-=])?\s*([₹$€£]?\s*\d+(?:[.,]\d+)?\s*(?:lpa|lakhs?|crores?|k|m|usd|inr|eur|per\s+annum|per\s+month|\/year|\/mo)\b)", True, confidence=0.95, needs_digit=True),
     Rule("equity", "FINANCIAL", "HIGH", r"\b(?:esops?|equity\s+grant|stock\s+options?|bonus|severance)\s*(?:is|of|:|[\-=])?\s*([₹$€£]?\s*\d+(?:[.,]\d+)?\s*(?:lpa|shares?|units?|k|usd|inr)\b)", True, confidence=0.93, needs_digit=True),
@@ -68,7 +70,7 @@ CONTEXTUAL_RULES = (
     Rule("balance", "FINANCIAL", "MEDIUM", r"\b(?:wallet\s+balance|refund\s+amount|account\s+balance|pending\s+dues)\s*(?:is|:|[\-=])?\s*([₹$€£]\s*[\d,]+(?:\.\d{2})?)", True, confidence=0.95, needs_digit=True),
 )
 
-#: The detector of the evaluation: looser, and a list of its own.
+# The detector of the evaluation: looser, and a list of its own.
 EVALUATION_RULES = (
     Rule("email", "EMAIL", "LOW", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"),
     Rule("phone", "PHONE", "MEDIUM", r"(?:\+91[\-.\s]?)?[6-9]\d{4}[\-.\s]?\d{5}\b|(?:\+?1[\-.\s]?)?\(?\d{3}\)?[\-.\s]?\d{3}[\-.\s]?\d{4}\b"),

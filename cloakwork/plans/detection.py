@@ -9,7 +9,7 @@ from cloakwork.functions import checks
 from cloakwork.operators import detect, evaluate, redact, resolve
 from cloakwork.operators.rules import CONTEXTUAL_RULES, LIVE_SECRET, RULES, SENSITIVE_MARKERS, Rule
 from cloakwork.plans import duck
-from cloakwork.sources import synthetic
+from cloakwork.sources import synthetic, tables
 
 CORPUS = synthetic.corpus_sql()
 
@@ -157,7 +157,7 @@ GATE_SQL = f"""with {ENTITY_CTES}, {_GATE}, modes as (select *, unnest(['STRICT'
 
 def firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: one row for every document, whether it has findings or not."""
-    rows = redact.protect(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    rows = redact.protect(tables.documents(spark, sf_dir).select("doc_id", "source", "text"))
     return rows.select("doc_id", "source", F.size("entities").alias("total"), "high_risk", "medium_risk", "low_risk", "sensitivity", "exposure", F.col("gate.action").alias("action"), F.length("redacted").alias("redacted_chars"), F.sha2("redacted", 256).alias("redacted_sha256"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cloakwork.functions.checks import VERHOEFF_D, VERHOEFF_P
+from cloakwork.sources import tables
 
 #: The inverse of each digit in the table VERHOEFF_D.
 _INVERSE = "0432156789"
@@ -86,5 +87,5 @@ def corpus_sql() -> str:
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lit("documents").alias("src"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = tables.documents(spark, sf_dir).select(F.lit("documents").alias("src"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return docs.unionByName(people(spark, sf_dir).select(F.lit("people").alias("src"), "doc_id", "text"))

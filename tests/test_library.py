@@ -57,12 +57,13 @@ def test_boundaries_are_ascii_and_trim_is_unicode(spark):
 
 
 def test_firewall_of_odd_texts(spark):
-    rows = spark.createDataFrame([(1, None), (2, ""), (3, "mail a.b@example.com, MAIL A.B@EXAMPLE.COM"), (4, "CVV: 392 and 3921"), (5, "pay x@paytm now")], "doc_id int, text string")
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "mail a.b@example.com, MAIL A.B@EXAMPLE.COM"), (4, "CVV: 392 and 3921"), (5, "pay xy@paytm now"), (6, "pay x@paytm now")], "doc_id int, text string")
     got = {r["doc_id"]: r for r in redact.protect(rows).collect()}
     assert got[1]["redacted"] == got[2]["redacted"] == "" and got[1]["exposure"] == 100
     assert got[3]["redacted"] == "mail [EMAIL_1], MAIL [EMAIL_1]"
     assert got[4]["redacted"] == "CVV: ███ and ███1"
     assert got[5]["gate"]["action"] == "BLOCK"  # the rule's value is the handle, a brand word that stays
+    assert got[6]["gate"]["action"] == "PROCEED"  # the rule wants two characters before the handle
 
 
 def test_gate_fails_closed(spark):
