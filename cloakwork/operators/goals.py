@@ -117,14 +117,26 @@ def navigation(d: Spark, x: str) -> str:
 
 
 def pairs(d: Spark, x: str) -> str:
-    """Keys and values given in a prompt as 'key=value' strings, in their order."""
+    """Keys and values given in a prompt as 'key=value' strings, by key; of equal keys the last holds."""
     keys, vals = d.extract_all(x, PAIR, 1), d.extract_all(x, PAIR, 2)
     key = lambda k: d.sub(f"lower({trim(d, k)})", r"^(?:and|with|set|fill|the)\s+")
     ks, vs = d.transform(keys, "k", key("k")), d.transform(vals, "v", trim(d, "v"))
     zipped = f"arrays_zip({ks}, {vs})" if type(d) is Spark else f"list_zip({ks}, {vs})"
     k, v = ("p['0']", "p['1']") if type(d) is Spark else ("p[1]", "p[2]")
     kept = d.filter(zipped, "p", f"{k} <> '' and {v} <> '' and {k} not in ('a', 'an', 'the', 'my', 'auto', 'in') and length({k}) < 30")
-    return d.transform(kept, "p", f"concat({k}, '=', {v})")
+    if type(d) is Spark:
+        last = f"filter({kept}, (p, i) -> not exists(slice({kept}, i + 2, size({kept})), q -> q['0'] = p['0']))"
+        return f"array_sort({d.transform(last, 'p', f'concat({k}, chr(61), {v})')})"
+    last = f"list_filter({kept}, lambda p, i: len(list_filter(({kept})[i + 1:], lambda q: q[1] = p[1])) = 0)"
+    return f"list_sort({d.transform(last, 'p', f'concat({k}, chr(61), {v})')})"
+
+
+def pair_map(x):
+    """The pairs of a prompt column as a map."""
+    from pyspark.sql import functions as F
+
+    entries = F.transform(F.expr(pairs(Spark(), x)), lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.substr(p, F.length(F.substring_index(p, "=", 1)) + 2).alias("value")))
+    return F.map_from_entries(entries)
 
 
 def click_target(d: Spark, x: str) -> str:

@@ -54,8 +54,8 @@ _SENSITIVE = " or ".join([f"regexp_matches({c}, '(?i){pages.SENSITIVE_NAME}')" f
 #: CTEs up to ``el``: the elements of each page.
 ELEMENT_CTES = f"""clean as (select src, page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g'), '(?is)<footer\\b[^>]*>.*?</footer\\s*>', '', 'g') as h from ({forms.ALL_SQL}) r),
     cut as (select src, page_id, string_split(regexp_replace(h, {duck.q('(?i)(' + _INTERACTIVE + ')')}, chr(1) || '\\1', 'g'), chr(1)) as ps from clean),
-    each as (select src, page_id, unnest(generate_series(0, len(ps) - 1)) as i, unnest(ps) as p from cut),
-    marks as (select *, regexp_extract_all(p, {duck.q(_MARK)})[-1] as mark from each),
+    piece as (select src, page_id, unnest(generate_series(0, len(ps) - 1)) as i, unnest(ps) as p from cut),
+    marks as (select *, regexp_extract_all(p, {duck.q(_MARK)})[-1] as mark from piece),
     areas as (select *, coalesce(last_value(case when mark is not null then not starts_with(mark, '</') end ignore nulls) over (partition by src, page_id order by i rows between unbounded preceding and 1 preceding), false) as in_code from marks),
     heads as (select src, page_id, i, in_code, regexp_extract(p, '^<[^>]*>') as head, lower(regexp_extract(p, '^<([A-Za-z][A-Za-z0-9]*)', 1)) as tag, substr(p, length(regexp_extract(p, '^<[^>]*>')) + 1) as rest from areas where i > 0),
     parts as (select *, case when contains(lower(rest), '</' || tag || '>') then substr(rest, 1, strpos(lower(rest), '</' || tag || '>') - 1) else '' end as inner_html, {', '.join(f'{_attribute(a)} as {n}' for n, a in (('type', 'type'), ('name', 'name'), ('id', 'id'), ('placeholder', 'placeholder'), ('role', 'role'), ('href', 'href'), ('label', 'aria-label'), ('title', 'title'), ('cls', 'class'), ('mx', 'maxlength'), ('wd', 'size'), ('st', 'value')))} from heads),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from cloakwork.functions.dialect import Duck, Spark, query, values
+from cloakwork.functions.dialect import Duck, Spark, query, trim, values
+from cloakwork.operators import agent
 from cloakwork.operators import goals as g
 
 GOALS = (
@@ -11,7 +12,7 @@ GOALS = (
     (8, "search for Gaming Laptop", ""), (9, "find iphone 16 on amazon", "https://www.amazon.in/s"), (10, "type hello world into input", ""),
     (11, "open https://news.site.com/x?a=1 now", ""), (12, "please open 'starbucks'", ""), (13, "amazon.in", ""), (14, "go back", ""), (15, "visit the website two words", ""),
     (16, "click the pink button on the screen", ""), (17, "tap here", ""), (18, 'play "tum hi ho"', ""), (19, "set city to Pune, name = Rahul and phone: 98765", ""),
-    (20, "open flipkart and search iphone and add it to cart then checkout", ""), (21, "play music shortcut", ""), (22, "run e-com", ""), (23, "trigger vault please", ""),
+    (31, "set city to Pune, name = Rahul, city to Delhi", ""), (32, "find the refund policy of this shop", ""), (20, "open flipkart and search iphone and add it to cart then checkout", ""), (21, "play music shortcut", ""), (22, "run e-com", ""), (23, "trigger vault please", ""),
     (24, "click Proceed button", ""), (25, "", ""), (26, "hey nova, open irctc", ""), (27, "fill my details as soon as possible", ""), (28, "next page", ""), (29, "buy now", ""), (30, "summarise what is visible on this tab for me please", ""),
 )
 MACROS = ((1, "Music", "Search tum hi ho on spotify", True), (2, "Cart & Vault", "Open carts and auto filling my details", True), (3, "E-Com", "Open amazon and go to my carts", True), (4, "Search", "Search for laptop and press enter", True), (5, "Deep Nav", "Find Cancellation Policy", True), (6, "Scroll", "Scroll up", False), (7, "Scroll", "Scroll down and click here", True))
@@ -57,6 +58,12 @@ def macros(d: Spark) -> str:
     return f"select goal_id, id as macro_id, act from ({ranked}) t where r = 1"
 
 
+def routes(d: Spark) -> str:
+    """Where a goal goes first: the compound pipeline, a deep search for a policy page, or the step loop."""
+    rows = f"select goal_id, {d.size(g.split(d, 'text'))} > 1 or {g.is_direct(d, 'text')} as compound, {d.match('text', agent.POLICY)} as policy, {trim(d, d.extract('text', agent.POLICY_NAME))} as term from {goals(d)} x"
+    return f"select goal_id, case when compound then 'compound' when policy and term <> '' then 'deep_search' else 'loop' end as route, case when not compound and policy and term <> '' then term end as term from ({rows}) r"
+
+
 def intent(d: Spark) -> str:
     return f"select goal_id, {g.intent_query(d, 'text')} as query, site, {g.intent_url(d, 'site', 'url')} is not null as needs_navigation, {g.intent_url(d, 'site', 'url')} as nav_url from (select *, {g.site(d, 'text')} as site from {goals(d)} x) t"
 
@@ -65,6 +72,7 @@ MAKERS = {
     "extract_query_py": (plain(query=lambda d: g.query_py(d, "text")), "part"),
     "extract_query_ts": (plain(query=lambda d: g.query_ts(d, "text")), "part"),
     "search_intent": (intent, "part"),
+    "page_route": (routes, "part"),
     "split_compound": (splits, "part"),
     "direct_command": (plain(direct=lambda d: g.is_direct(d, "text")), "part"),
     "nav_target": (plain(target=lambda d: g.navigation(d, "text")), "part"),

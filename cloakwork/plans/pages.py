@@ -46,13 +46,21 @@ def element_cap(d: Spark) -> str:
 
 
 def products(d: Spark) -> str:
-    """Parts as cards for queries made of every 40th part's name: best card of each."""
-    cards = f"select p_partkey, lower(concat(p_name, ' ', p_type, case p_partkey % 5 when 0 then ' pro' when 1 then ' max 16' when 2 then ' case' when 3 then ' renewed m2' else ' m4' end)) as t, p_name, p_partkey % 7 = 0 as sponsored, p_partkey % 3 = 0 as cart from {d.table('part')}"
-    asked = f"select p_partkey as query_id, p_name as own, {rank.product_query(d, 'raw')} as clean from (select p_partkey, p_name, concat('buy ', p_name, case p_partkey % 3 when 0 then ' pro' when 1 then ' 16' else ' m4' end, ' on amazon') as raw from {d.table('part')} where p_partkey % 40 = 0) r"
+    """Parts as cards for a query made of every part's name: the best card of each. Distinct queries meet
+    distinct cards that share enough of their words, found by a join on words."""
+    made = "lower(concat(p_name, ' ', p_type, case p_partkey % 5 when 0 then ' pro' when 1 then ' max 16' when 2 then ' case' when 3 then ' renewed m2' else ' m4' end))"
+    cards = f"select min(p_partkey) as card, {made} as t, p_partkey % 7 = 0 as sponsored, p_partkey % 3 = 0 as cart from {d.table('part')} group by {made}, p_partkey % 7 = 0, p_partkey % 3 = 0"
+    raws = f"select p_partkey, concat('buy ', p_name, case p_partkey % 3 when 0 then ' pro' when 1 then ' 16' else ' m4' end, ' on amazon') as raw from {d.table('part')}"
+    asked = f"select raw, {rank.product_query(d, 'raw')} as clean from (select distinct raw from ({raws}) r) u"
     facts = f"select *, {rank.product_words(d, 'clean')} as ws from ({asked}) a"
     facts = f"select *, {rank.discriminators(d, 'ws')} as ds from ({facts}) f"
-    scored = f"select query_id, clean, p_partkey, {rank.product_score(d, 't', 'clean', 'ws', 'ds', 'sponsored', 'cart')} as score from ({facts}) q join ({cards}) c on c.p_name = q.own"
-    return f"select query_id, clean, p_partkey as best, score from (select *, row_number() over (partition by query_id order by score desc, p_partkey) as r from ({scored}) s where score > 0) t where r = 1"
+    run = lambda x: d.extract(x, "[A-Za-z0-9_]+", 0)
+    query_words = f"select distinct raw, word, {run('word')} as k, least(2, {d.size('ws')}) as need from ({facts}) q {d.each('ws', 'word')}"
+    card_words = f"select distinct card, t, sponsored, cart, word as k from (select *, {d.extract_all('t', '[A-Za-z0-9_]+', 0)} as ws from ({cards}) c) x {d.each('ws', 'word')}"
+    near = f"select raw, card from ({query_words}) a join ({card_words}) b on a.k = b.k group by raw, card, need having count(distinct word) >= need"
+    scored = f"select n.raw, q.clean, n.card, {rank.product_score(d, 'c.t', 'q.clean', 'q.ws', 'q.ds', 'c.sponsored', 'c.cart')} as score from ({near}) n join ({facts}) q on q.raw = n.raw join ({cards}) c on c.card = n.card"
+    best = f"select * from (select *, row_number() over (partition by raw order by score desc, card) as r from ({scored}) s where score > 0) t where r = 1"
+    return f"select p_partkey as query_id, clean, card as best, score from ({raws}) p join ({best}) b on b.raw = p.raw"
 
 
 def media(d: Spark) -> str:
@@ -124,15 +132,9 @@ def mission(d: Spark) -> str:
     return f"select user_id, count(*) as steps, {count(done)} as completed, {count('event_type = ' + d.lit('error'))} as failed, cast(floor({count(done)} * 100.0 / count(*) + 0.5) as int) as percent, round(sum(value), 4) as total from {d.table('events')} group by user_id"
 
 
-def payloads(d: Spark) -> str:
-    """Outbound rows: at most 1600 characters of the text, and a preview for the audit."""
-    text = p.plain_text(d, "html")
-    return f"select page_id, url, substr(t, 1, 1600) as sanitized_text, concat(substr(t, 1, 180), case when length(t) > 180 then '...' else '' end) as preview, cast(length(t) as int) as bytes_sent from (select page_id, url, {text} as t from {d.table('pages')}) x"
-
-
 MAKERS = {
     "page_links": (page_links, "pages"), "page_text": (page_text, "pages"), "deep_search": (deep_search, "pages"), "element_cap": (element_cap, "pages"), "product_rank": (products, "part"), "media_rank": (media, "part"),
-    "classify_fields": (fields,), "segmented_otp": (segmented, "lineitem"), "autofill": (autofill,), "plan_offline": (plan_offline,), "prompt_elements": (prompt_elements,), "action_safety": (safety,), "patch_grid": (patch_grid,), "mission_summary": (mission, "events"), "plan_payloads": (payloads, "pages"),
+    "classify_fields": (fields,), "segmented_otp": (segmented, "lineitem"), "autofill": (autofill,), "plan_offline": (plan_offline,), "prompt_elements": (prompt_elements,), "action_safety": (safety,), "patch_grid": (patch_grid,), "mission_summary": (mission, "events"),
 }
 QUERIES = {k: query(make, *tables) for k, (make, *tables) in MAKERS.items()}
 SQL = {k: make(Duck()) for k, (make, *_) in MAKERS.items()}

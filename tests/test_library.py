@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -82,3 +83,45 @@ def test_the_rest_needs_no_llm_subpackage():
         if f"{os.sep}llm{os.sep}" not in path:
             with open(path) as f:
                 assert "cloakwork.llm" not in f.read()
+
+
+@pytest.mark.parametrize("name", ["page_elements", "otp_groups", "leaf_scan", "smart_lookup", "select_option", "plan_client", "plan_payloads", "parse_replies", "plan_requests", "voice_transcripts", "screen_boxes", "mission_log", "page_route", "kv_map", "product_rank"])
+def test_page_and_agent_queries_equal_sql(spark, duck, name):
+    test_query_equals_sql(spark, duck, name)
+
+
+def test_payloads_hold_nothing_that_is_found_again(spark):
+    """No finding of the page's text is left in what goes out; handles that are brand words block the row."""
+    from cloakwork.operators import detect
+
+    rows = registry.QUERIES["plan_payloads"](spark, DATA).collect()
+    sent = spark.createDataFrame([(r["page_id"], r["sanitized_text"]) for r in rows if not r["blocked"]], "page_id long, text string")
+    left = [f for r in detect.with_findings(sent).collect() for f in r["findings"] if f["category"] in ("EMAIL", "CARD", "PAN", "AADHAAR", "PHONE")]
+    assert not left and sum(r["detected"] > 0 and not r["blocked"] for r in rows) > 100
+    assert not any("hidden" in r["elements"] or re.search("98765[0-9]{5}", r["elements"]) for r in rows)
+
+
+def test_pairs_of_a_prompt_as_a_map(spark):
+    from cloakwork.operators import goals
+
+    rows = spark.createDataFrame([("set city to Pune, name = Rahul, city to Delhi",), ("nothing",), ("a = b",)], "text string")
+    assert [r[0] for r in rows.select(goals.pair_map("text")).collect()] == [{"city": "Delhi", "name": "Rahul"}, {}, {}]
+
+
+def test_replies_are_unfenced_and_checked(spark):
+    from cloakwork.operators import agent
+
+    texts = ['```json\n{"thought":"t","action":"wait"}\n```', '{"thought":"t","action":"fly"}', "oops", None, '```{"thought":"t","action":"scroll","direction":"top","confidence":0.2}```']
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(agent.parsed_reply(F.col("t"))).collect()]
+    assert [g and (g["action"], g["confidence"]) for g in got] == [("wait", 0.95), None, None, None, ("scroll", 0.2)]
+
+
+def test_json_files_round_trip(spark, tmp_path):
+    from cloakwork.operators import agent
+
+    agent.write_json(spark.createDataFrame([("Asha", 5)], "full_name string, age int"), str(tmp_path / "vault"))
+    got = {r["field"]: r["value"] for r in agent.read_vault(spark, str(tmp_path / "vault"), ("full_name", "email")).collect()}
+    assert got == {"full_name": "Asha", "email": ""}
+    agent.write_json(evaluate.eval_benchmark(spark, DATA), str(tmp_path / "metrics"))
+    agent.write_json(evaluate.eval_benchmark(spark, DATA), str(tmp_path / "metrics"))
+    assert spark.read.json(str(tmp_path / "metrics")).count() == 1
