@@ -57,8 +57,10 @@ def products(d: Spark) -> str:
     run = lambda x: d.extract(x, "[A-Za-z0-9_]+", 0)
     query_words = f"select distinct raw, word, {run('word')} as k, least(2, {d.size('ws')}) as need from ({facts}) q {d.each('ws', 'word')}"
     card_words = f"select distinct card, t, sponsored, cart, word as k from (select *, {d.extract_all('t', '[A-Za-z0-9_]+', 0)} as ws from ({cards}) c) x {d.each('ws', 'word')}"
-    near = f"select raw, card from ({query_words}) a join ({card_words}) b on a.k = b.k group by raw, card, need having count(distinct word) >= need"
-    scored = f"select n.raw, q.clean, n.card, {rank.product_score(d, 'c.t', 'q.clean', 'q.ws', 'q.ds', 'c.sponsored', 'c.cart')} as score from ({near}) n join ({facts}) q on q.raw = n.raw join ({cards}) c on c.card = n.card"
+    # The rows are few and the score is dear, so they are dealt out to more tasks than their size asks for.
+    spread = "/*+ repartition(64, raw, card) */ " if type(d) is Spark else ""
+    near = f"select {spread}raw, card, t, sponsored, cart from ({query_words}) a join ({card_words}) b on a.k = b.k group by raw, card, t, sponsored, cart, need having count(distinct word) >= need"
+    scored = f"select n.raw, q.clean, n.card, {rank.product_score(d, 'n.t', 'q.clean', 'q.ws', 'q.ds', 'n.sponsored', 'n.cart')} as score from ({near}) n join ({facts}) q on q.raw = n.raw"
     best = f"select * from (select *, row_number() over (partition by raw order by score desc, card) as r from ({scored}) s where score > 0) t where r = 1"
     return f"select p_partkey as query_id, clean, card as best, score from ({raws}) p join ({best}) b on b.raw = p.raw"
 
