@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cloakwork.plans import agent, boxes, detection, forms, goals, pages
+from cloakwork.plans import agent, attributes, boxes, detection, forms, goals, pages
 
-PARTS = (detection, goals, pages, forms, agent, boxes)
+PARTS = (detection, goals, pages, forms, attributes, agent, boxes)
 QUERIES: dict = {k: f for part in PARTS for k, f in part.QUERIES.items()}
 SQL: dict[str, str] = {k: s for part in PARTS for k, s in part.SQL.items()}

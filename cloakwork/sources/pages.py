@@ -34,20 +34,28 @@ def body(d: Spark, html: str) -> str:
     return f"case when length({text}) < {TEXT_LEAST} then substr({plain_text(d, html)}, 1, {TEXT_MOST}) else {text} end"
 
 
-def sections(d: Spark, before: str) -> str:
-    """Where a tag is, given the HTML before it."""
-    inside = lambda t: f"{d.size(d.extract_all(before, f'<{t}[\\s>]', 0))} > {d.size(d.extract_all(before, f'</{t}>', 0))}"
+def sections(inside) -> str:
+    """Where a tag is, given a test of whether an area is open at it."""
     return f"case when {inside('footer')} then 'Page Footer' when {inside('nav')} then 'Navigation Bar' when {inside('header')} then 'Page Header' else 'Main Content' end"
 
 
 def links(d: Spark, pages: str) -> str:
-    """Rows (page_id, i, href, text, section) of all links with an address."""
-    # The HTML is cut at every link; what stands before a piece gives its section.
-    cut = f"select page_id, {d.split('html', '<a(?=[^>]*href)') if type(d) is Spark else d.split(d.sub('html', '<a([^>]*href)', chr(1) + '@1'), chr(1))} as parts from {pages}"
-    rows = f"select page_id, parts, i, part from ({cut}) t {d.each('parts', 'part')}"
-    before = d.join(f"slice(parts, 1, i)" if type(d) is Spark else "parts[1:i]", "")
+    """Rows (page_id, i, href, text, section) of all links with an address.
+
+    The HTML is cut at every link. An area is open at a link if more of its opening than of its closing
+    tags stand before it: Spark counts each piece once and adds up the counts of the pieces before,
+    so a page costs its length; DuckDB's text counts in all that stands before."""
+    count = lambda x, t: f"{d.size(d.extract_all(x, f'<{t}[\\s>]', 0))} - {d.size(d.extract_all(x, f'</{t}>', 0))}"
+    if type(d) is Spark:
+        rows = f"select page_id, i, part from (select page_id, {d.split('html', '<a(?=[^>]*href)')} as parts from {pages}) t {d.each('parts', 'part')}"
+        section = sections(lambda t: f"sum({count('part', t)}) over (partition by page_id order by i rows between unbounded preceding and 1 preceding) > 0")
+    else:
+        cut = f"select page_id, {d.split(d.sub('html', '<a([^>]*href)', chr(1) + '@1'), chr(1))} as parts from {pages}"
+        rows = f"select page_id, parts, i, part from ({cut}) t {d.each('parts', 'part')}"
+        section = sections(lambda t: f"{count(d.join('parts[1:i]', ''), t)} > 0")
+    placed = f"select page_id, i, part, {section} as section from ({rows}) r"
     return f"""select page_id, cast(i - 1 as int) as i, {d.extract('part', "href=[\"']([^\"']*)[\"']")} as href,
-      {plain_text(d, d.extract('part', r'^[^>]*>([\s\S]*?)</a>'))} as text, {sections(d, before)} as section from ({rows}) r where i > 0"""
+      {plain_text(d, d.extract('part', r'^[^>]*>([\s\S]*?)</a>'))} as text, section from ({placed}) p where i > 0"""
 
 
 def sensitive(d: Spark, attributes: tuple[str, ...], type_: str, value: str) -> str:

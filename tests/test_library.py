@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloakwork.functions import checks, js
-from cloakwork.operators import evaluate, redact, resolve
+from cloakwork.operators import attributes, evaluate, redact, resolve
 from cloakwork.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -125,3 +125,25 @@ def test_json_files_round_trip(spark, tmp_path):
     agent.write_json(evaluate.eval_benchmark(spark, DATA), str(tmp_path / "metrics"))
     agent.write_json(evaluate.eval_benchmark(spark, DATA), str(tmp_path / "metrics"))
     assert spark.read.json(str(tmp_path / "metrics")).count() == 1
+
+
+def test_attribute_findings_by_hand(spark):
+    html = (
+        '<h2 class="email">head@example.com</h2><span id="val-email"> a.b@example.com </span><input id="email" value="c@example.com"><b class="CVV">123</b><input id="cvc" value="12"><i class="cvv">CVV</i>'
+        '<div id="ship-address">Flat 4, Hill Road\nUpdate location</div><span class="velocity">Fast city</span><p class="address">Select your address</p><u id="glow-ingress-line2">update</u>'
+        '<span class="aadhaar">4321 8765 2109</span><span class="aadhaar">4321 8765 2108</span><em class="company">ABCDE 1234 F</em><s id="password">••••</s><p style="border-left:1px">ESOPs of 40</p><p>CTC of 40</p>'
+        '<footer><span id="email">foot@example.com</span></footer>'
+    )
+    rows = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "no tags"), (5, '<b id="phone">98765 43210'), (5, '<b id="phone">98765 43210')], "page_id int, html string")
+    got = sorted((r["page_id"], r["category"], r["value"], r["risk"]) for r in attributes.attribute_findings(rows, "page_id").collect())
+    assert got == [
+        (1, "AADHAAR", "4321 8765 2109", "HIGH"), (1, "ADDRESS", "Flat 4, Hill Road", "MEDIUM"), (1, "CVV", "123", "HIGH"), (1, "EMAIL", "a.b@example.com", "MEDIUM"), (1, "FINANCIAL", "ESOPs of 40", "HIGH"),
+        (1, "PAN", "ABCDE 1234 F", "HIGH"), (1, "PASSWORD", "••••", "HIGH"), (5, "PHONE", "98765 43210", "MEDIUM"), (5, "PHONE", "98765 43210", "MEDIUM"),
+    ]
+
+
+def test_link_sections_by_hand(spark, tmp_path):
+    html = '<nav><a href="/1">one</a></nav><a href="/2">two</a><header><b>x</b><a href="/3">three</a></header><footer><nav></nav><a href="/4">four</a></footer><a href="/5">five</a>'
+    spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "plain")], "page_id int, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r["href"], r["section"]) for r in registry.QUERIES["page_links"](spark, str(tmp_path)).orderBy("page_id", "i").collect()]
+    assert got == [("/1", "Navigation Bar"), ("/2", "Main Content"), ("/3", "Page Header"), ("/4", "Page Footer"), ("/5", "Main Content")]
