@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions import checks, js
 from cloakwork.operators.rules import NOT_ADDRESS, RULES
-from cloakwork.sources.pages import ELEMENTS, SENSITIVE_NAME, SENSITIVE_VALUES
+from cloakwork.sources.pages import ELEMENTS, LABEL_MOST, SENSITIVE_NAME, SENSITIVE_VALUES
 
 # What is interactive, what a look-up drops, and what a plan reacts to.
 ROLES = ("button", "link", "checkbox", "tab", "menuitem", "searchbox", "combobox", "switch", "option")
@@ -33,6 +33,7 @@ SCROLL = r"\b(?:scroll|page)\s*(?:down|up|to\s+top|to\s+bottom|top|bottom)?\b"
 PRESS = r"\b(?:press|hit)\s+(?:enter|tab|escape|esc|backspace)\b"
 ORDERS = "recent orders|orders|track package|track delivery"
 PLAN_WORDS = r"\b(?:click|tap|press|select|open|go\s+to|button|btn|link|tab|card|the|on|kro|karo|pe|waale|wale)\b"
+PROMPT_MOST = 120
 PLAN_STOP = ("for", "and", "with", "this", "that")
 
 
@@ -87,6 +88,16 @@ def elements(pages: DataFrame, *keys: str, most: int = ELEMENTS) -> DataFrame:
     return rows.where(F.col("idx") < most).select(*keys, F.col("idx").cast("int").alias("idx"), "tag", "text", "aria", "placeholder", "type", "id", "name", "href", "role", "class", "value", selector.alias("selector"), "is_cell", "is_sensitive", "inner")
 
 
+def prompt_lines(found: DataFrame, *keys: str) -> DataFrame:
+    """(keys, pos, line): what a prompt says of a page's first 120 elements, inputs and buttons first, 60
+    lines at most."""
+    label = F.coalesce(*(js.some(F.col(c)) for c in ("text", "aria", "placeholder", "id", "name")), F.lit("(unlabeled)"))
+    line = F.concat(F.lit("["), F.col("idx").cast("string"), F.lit("] <"), F.col("tag"), F.lit("> '"), F.substring(js.trim(label), 1, LABEL_MOST), F.lit("' (selector: "), F.col("selector"), F.lit(")"))
+    late = ~F.col("tag").isin("button", "input", "select") & ~F.contains(F.lower("selector"), F.lit("btn"))
+    pos = F.row_number().over(Window.partitionBy(*keys).orderBy(late, "idx"))
+    return found.where(F.col("idx") < PROMPT_MOST).select(*keys, pos.alias("pos"), line.alias("line")).where(F.col("pos") <= ELEMENTS)
+
+
 def code_groups(found: DataFrame, *keys: str) -> DataFrame:
     """Pages whose code areas hold 4 to 8 cells of one character: one code each."""
     return found.where("is_cell").groupBy(*keys).agg(F.count("*").alias("cells"), F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"])).alias("code")).where("cells between 4 and 8")

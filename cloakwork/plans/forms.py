@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.functions import checks
+from cloakwork.functions.dialect import Duck, Spark
+from cloakwork.operators import act
 from cloakwork.operators import elements as el
 from cloakwork.plans import duck
 from cloakwork.sources import forms, pages
@@ -150,5 +152,32 @@ CLIENT_SQL = f"""with {ELEMENT_CTES},
       case r when 1 then 'history:back' when 2 then 'history:forward' when 3 then nav when 5 then coalesce(nullif(lower(regexp_extract(goal, '(?i)\\b(down|up|top|bottom)\\b', 1)), ''), 'down') when 6 then case lower(regexp_extract(goal, '(?i)\\b(enter|tab|escape|esc|backspace)\\b', 1)) when 'enter' then 'Enter' when 'tab' then 'Tab' when 'backspace' then 'Backspace' else 'Escape' end when 8 then query end as value,
       cast(case r when 7 then o when 8 then f when 9 then idx end as int) as idx from k"""
 
-QUERIES = {"page_elements": page_elements, "otp_groups": otp_groups, "leaf_scan": leaf_scan, "smart_lookup": smart_lookup, "select_option": select_option, "plan_client": plan_client}
-SQL = {"page_elements": ELEMENTS_SQL, "otp_groups": OTP_SQL, "leaf_scan": LEAF_SQL, "smart_lookup": LOOKUP_SQL, "select_option": OPTION_SQL, "plan_client": CLIENT_SQL}
+
+def prompt_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return el.prompt_lines(el.elements(forms.all_pages(spark, sf_dir), *KEYS, most=el.PROMPT_MOST), *KEYS)
+
+
+PROMPT_SQL = f"""with {ELEMENT_CTES.replace('qualify idx < 60', 'qualify idx < 120')},
+    ranked as (select *, cast(row_number() over (partition by src, page_id order by case when tag in ('button', 'input', 'select') or contains(lower(selector), 'btn') then 0 else 1 end, idx) as int) as pos from el)
+    select src, page_id, pos, '[' || idx || '] <' || tag || '> ' || chr(39) || substr({duck.trim("case when text <> '' then text when aria <> '' then aria when placeholder <> '' then placeholder when id <> '' then id when name <> '' then name else '(unlabeled)' end")}, 1, 90) || chr(39) || ' (selector: ' || selector || ')' as line from ranked where pos <= 60"""
+
+
+def _field_columns(d: Spark) -> tuple[str, ...]:
+    """What a field is by its names and value, in the dialect's words."""
+    return (f"{act.element_category(d, 'c', 'tag', 'type', 'name', 'role', 'value', 'labels')} as element_category", f"{act.dom_category(d, 'c', 'type', 'name', 'role', 'value')} as dom_category", f"{act.search_field('c', 'type', 'name', 'role')} as is_search", f"{act.vault_field(d, 'descriptor', 'type')} as vault_field")
+
+
+_NAMES = ("lower(concat(name, ' ', id, ' ', placeholder, ' ', aria, ' ', role)) as c", "concat(name, ' ', id, ' ', placeholder, ' ', aria) as labels", "lower(concat(name, ' ', id, ' ', placeholder, ' ', aria, '  ', type)) as descriptor")
+
+
+def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of every page, what they hold and what the vault would fill in."""
+    found = _elements(spark, sf_dir).where("tag in ('input', 'textarea', 'select')")
+    return found.selectExpr("*", *_NAMES).selectExpr(*KEYS, "idx", *_field_columns(Spark()))
+
+
+FIELDS_SQL = f"""with {ELEMENT_CTES}, fields as (select *, {', '.join(_NAMES)} from el where tag in ('input', 'textarea', 'select'))
+    select src, page_id, idx, {', '.join(_field_columns(Duck()))} from fields"""
+
+QUERIES = {"prompt_elements": prompt_elements, "page_fields": page_fields, "page_elements": page_elements, "otp_groups": otp_groups, "leaf_scan": leaf_scan, "smart_lookup": smart_lookup, "select_option": select_option, "plan_client": plan_client}
+SQL = {"prompt_elements": PROMPT_SQL, "page_fields": FIELDS_SQL, "page_elements": ELEMENTS_SQL, "otp_groups": OTP_SQL, "leaf_scan": LEAF_SQL, "smart_lookup": LOOKUP_SQL, "select_option": OPTION_SQL, "plan_client": CLIENT_SQL}

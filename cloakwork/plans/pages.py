@@ -102,14 +102,6 @@ def plan_offline(d: Spark) -> str:
       cast(case when place <> '' or fill then 0.95 when idx is not null then case when tag in ('input', 'textarea') then 0.88 else 0.90 end when scroll then 0.85 else 0.75 end as double) as confidence from ({inner}) q"""
 
 
-def prompt_elements(d: Spark) -> str:
-    """Lines of a prompt: the first 120, inputs and buttons first, each once, 60 at most."""
-    label = "coalesce(nullif(text, ''), nullif(aria, ''), nullif(placeholder, ''), nullif(id, ''), nullif(name, ''), '(unlabeled)')"
-    line = f"concat('[', cast(idx as string), '] <', tag, '> ''', substr({trim(d, label)}, 1, {p.LABEL_MOST}), ''' (selector: ', selector, ')')" if type(d) is not Spark else f"concat('[', cast(idx as string), '] <', tag, '> \\'', substr({trim(d, label)}, 1, {p.LABEL_MOST}), '\\' (selector: ', selector, ')')"
-    rows = f"select idx, {line} as line, row_number() over (order by case when tag in ('button', 'input', 'select') or contains(lower(selector), 'btn') then 0 else 1 end, idx) as o from {values(d, EL_COLUMNS, ELEMENTS)} e where idx < 120"
-    return f"select cast(row_number() over (order by o) as int) as pos, line from (select line, min(o) as o from ({rows}) t group by line) u where o <= 60"
-
-
 def safety(d: Spark) -> str:
     """What an action needs: its target by index, else by text, and a confirmation."""
     low = "lower(concat(e.text, ' ', e.aria, ' ', e.id, ' ', e.name))"
@@ -136,7 +128,7 @@ def mission(d: Spark) -> str:
 
 MAKERS = {
     "page_links": (page_links, "pages"), "page_text": (page_text, "pages"), "deep_search": (deep_search, "pages"), "element_cap": (element_cap, "pages"), "product_rank": (products, "part"), "media_rank": (media, "part"),
-    "classify_fields": (fields,), "segmented_otp": (segmented, "lineitem"), "autofill": (autofill,), "plan_offline": (plan_offline,), "prompt_elements": (prompt_elements,), "action_safety": (safety,), "patch_grid": (patch_grid,), "mission_summary": (mission, "events"),
+    "classify_fields": (fields,), "segmented_otp": (segmented, "lineitem"), "autofill": (autofill,), "plan_offline": (plan_offline,), "action_safety": (safety,), "patch_grid": (patch_grid,), "mission_summary": (mission, "events"),
 }
 QUERIES = {k: query(make, *tables) for k, (make, *tables) in MAKERS.items()}
 SQL = {k: make(Duck()) for k, (make, *_) in MAKERS.items()}
