@@ -39,8 +39,8 @@ _RULES = (
 )
 _ATTRIBUTE = lambda n: f"regexp_extract(head, '(?i)\\s{n}=\"([^\"]*)\"', 1)"
 DETECTORS_SQL = f"""with cut as (select page_id, string_split(regexp_replace(html, '(?is)<footer\\b.*?</footer\\s*>', '', 'g'), '<')[2:] as ps from ({profiles.pages_sql()}) p),
-    piece as (select page_id, unnest(ps) as p from cut), opened as (select page_id, p, row_number() over (partition by page_id) as n from piece),
-    numbered as (select page_id, p, n from opened where regexp_matches(p, '^[A-Za-z]')),
+    piece as (select page_id, unnest(ps) as p, unnest(generate_series(1, len(ps))) as n from cut),
+    numbered as (select page_id, p, n from piece where regexp_matches(p, '^[A-Za-z]')),
     tags as (select page_id, cast(row_number() over (partition by page_id order by n) - 1 as int) as pos, lower(regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*')) as tag, split_part(p, '>', 1) as head, substr(p, strpos(p, '>') + 1) as leaf from numbered),
     named as (select page_id, pos, tag, {_ATTRIBUTE('id')} as id, {_ATTRIBUTE('class')} as cls, {_ATTRIBUTE('style')} as style, lower({_ATTRIBUTE('role')}) as role, {duck.trim(f"case when tag = 'input' then {_ATTRIBUTE('value')} else leaf end")} as text from tags),
     el as (select *, {duck.trim(f"regexp_replace(text, {duck.q('(?i)' + at.PLACE_TAIL)}, '', 'g')")} as place from named where text <> '' and tag not in {duck.words(at.HEADINGS)} and lower(text) not in {duck.words(checks.BRAND_WORDS)})
