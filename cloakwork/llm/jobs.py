@@ -43,11 +43,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder at which nothing is yet."""
+    return f"{shared_folder(spark)}/cloakwork-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes the rows as a table in the shared folder and reads them from there: lineage
     is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cloakwork-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -68,6 +73,24 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
 
+#: A key of more than this part of the rows is hot. There are at most so many hot keys, whatever the table.
+HOT_SHARE = 1000
+
+
+def hot_join(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """Left join of rows with a table of at most one row for each key; null joins null. A hot key's rows stay where
+    they are and get its value by a broadcast of at most HOT_SHARE rows; the others are shuffled by key, where
+    no key has more than one part in HOT_SHARE. Both tables are read several times: give stored ones."""
+    values = values.withColumnRenamed(key, "__key")
+    hot = rows.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("__n")).where(F.col("__n") * HOT_SHARE > rows.count()).drop("__n")
+    hot = stored(hot)
+    same, named = F.col(key).eqNullSafe(F.col("__key")), F.col(key).eqNullSafe(F.col("__hot"))
+    chosen = hot.join(values, F.col("__hot").eqNullSafe(F.col("__key")), "left").drop("__key")
+    warm = rows.join(F.broadcast(chosen), named).drop("__hot")
+    cold = rows.join(F.broadcast(hot), named, "left_anti").join(values, same, "left").drop("__key")
+    return warm.unionByName(cold)
+
+
 def fold(doc_id):
     """crc32 of the id as text modulo 5; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
