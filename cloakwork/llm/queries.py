@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cloakwork.llm import chat_format, decontamination, filter_audit, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup, token_counts, toxicity, warc
+from cloakwork.llm import chat_format, decontamination, filter_audit, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup, token_counts, toxicity, vector_codes, warc
 
 
 
@@ -25,6 +25,7 @@ QUERIES = {
     "op5_quality_classifier": quality_classifier.op5,
     "op4_toxicity": toxicity.op4,
     "op3_quality_rules": quality_rules.op3,
+    "op11_vector_codes": vector_codes.op11,
     "op13_filter_audit": filter_audit.op13,
     "op12_warc": warc.op12,
 }
@@ -33,6 +34,7 @@ SQL: dict[str, str] = {
     "op10_near_dedup": near_dedup.SQL,
     "op9_chat_format": chat_format.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
+    "op11_vector_codes": vector_codes.SQL,
     "op13_filter_audit": filter_audit.SQL,
     "op12_warc": warc.SQL,
 }
