@@ -52,7 +52,10 @@ def _compound(text: str) -> Selector:
 
 def _cut(text: str, by: str) -> list[str]:
     """The parts of a text between separators that stand in no brackets and quotes."""
-    return [p.strip() for p in re.findall(rf"""(?:\[(?:[^\]"']|"[^"]*"|'[^']*')*\]|[^\[{by}])+""", text) if p.strip()]
+    bracket = r"""\[(?:[^\]"']|"[^"]*"|'[^']*')*\]"""
+    if not re.fullmatch(rf"(?:{bracket}|[^\[\]])*", text):
+        raise ValueError(f"not a selector: {text}")
+    return [p.strip() for p in re.findall(rf"(?:{bracket}|[^\[{by}])+", text) if p.strip()]
 
 
 def parse(text: str) -> tuple[Selector, ...]:
@@ -82,6 +85,30 @@ def holds(selector: Selector, tag: str, attributes: dict[str, str]) -> bool:
     return True
 
 
+class Matcher:
+    """Which of several lists of selectors a node meets, as bits. A selector is only tried on nodes that have an
+    attribute which it asks for, or its tag."""
+
+    def __init__(self, lists: tuple[tuple[Selector, ...], ...]) -> None:
+        self.plain: dict[str, int] = {}
+        self.tried: dict[str, list[tuple[int, Selector]]] = {}
+        for bit, ways in enumerate(lists):
+            for one in ways:
+                asked = next((t.attribute for t in one.tests if not t.negated), None)
+                if asked is None and not one.tests and one.tag:
+                    self.plain[one.tag] = self.plain.get(one.tag, 0) | 1 << bit
+                else:
+                    self.tried.setdefault(f"[{asked}" if asked else one.tag or "", []).append((1 << bit, one))
+
+    def bits(self, tag: str, attributes: dict[str, str]) -> int:
+        found = self.plain.get(tag, 0)
+        for key in ("", tag, *(f"[{a}" for a in attributes)) if attributes else ("", tag):
+            for bit, one in self.tried.get(key, ()):
+                if not found & bit and holds(one, tag, attributes):
+                    found |= bit
+        return found
+
+
 def column(selector: Selector, tag: Column, attributes: Column) -> Column:
     """The same of columns."""
     tests = [F.lit(True) if selector.tag is None else tag == selector.tag]

@@ -79,6 +79,9 @@ class Spec(NamedTuple):
     silent: tuple[str, ...] = ()
     every: bool = False
 
+    def matcher(self) -> selectors.Matcher:
+        return selectors.Matcher((*(ways for _, ways in self.areas), *self.kinds, self.closest))
+
     def within(self, node: Column, area: str) -> Column:
         """Is a node in the area."""
         return F.getbit(node["areas"], F.lit([name for name, _ in self.areas].index(area))) == 1
@@ -133,8 +136,10 @@ def escaped(name: str) -> str:
 class _Fold:
     """The stack, and the nodes so far."""
 
-    def __init__(self, what: Spec) -> None:
+    def __init__(self, what: Spec, matcher: selectors.Matcher) -> None:
+        self.matcher, self.kinds, self.known = matcher, (1 << len(what.kinds)) - 1, (1 << len(what.areas)) - 1
         self.what, self.nodes, self.counts, self.stack, self.pieces, self.size, self.title = what, [], [{}], [], [], 0, None
+        self.opened: dict[str, int] = {}
         self.quiet = sum(1 << i for i, (name, _) in enumerate(what.areas) if name in what.silent)
 
     def say(self, text: str) -> None:
@@ -146,6 +151,7 @@ class _Fold:
         """Closes what is open at the depth and above it."""
         while len(self.stack) > depth:
             node = self.stack.pop()
+            self.opened[node["tag"]] -= 1
             node["stop"], node["last"] = self.size, len(self.nodes) - 1
             if node["tag"] == "option":
                 self.option(node)
@@ -160,6 +166,8 @@ class _Fold:
 
     def found(self, names: tuple[str, ...], barriers: tuple[str, ...]) -> int | None:
         """The depth of the nearest open element of the names within the barriers."""
+        if not any(self.opened.get(n) for n in names):
+            return None
         for depth in range(len(self.stack) - 1, -1, -1):
             tag = self.stack[depth]["tag"]
             if tag in names:
@@ -181,18 +189,21 @@ class _Fold:
             depth = self.found(*ENDS[tag])
             if depth is not None:
                 self.close(depth)
+        if tag == "tr" and self.stack and self.stack[-1]["tag"] == "table":
+            self.open("tbody", {}, False)
+        if tag in ("td", "th") and self.stack and self.stack[-1]["tag"] in ("table", "thead", "tbody", "tfoot"):
+            self.open("tr", {}, False)
         if tag in BLOCKS or tag == "br":
             self.say("\n")
         up = self.stack[-1] if self.stack else None
         siblings = self.counts[up["node"] + 1 if up else 0]
         siblings[tag] = siblings.get(tag, 0) + 1
         number = len(self.nodes)
-        areas = up["areas"] if up else 0
-        for i, (_, ways) in enumerate(self.what.areas):
-            if not areas >> i & 1 and any(selectors.holds(s, tag, attributes) for s in ways):
-                areas |= 1 << i
-        kind = next((k for k, ways in enumerate(self.what.kinds, 1) if any(selectors.holds(s, tag, attributes) for s in ways)), 0)
-        near = number if any(selectors.holds(s, tag, attributes) for s in self.what.closest) else up["near"] if up else -1
+        met = self.matcher.bits(tag, attributes)
+        areas = (up["areas"] if up else 0) | met & self.known
+        kinds = met >> len(self.what.areas) & self.kinds
+        kind = (kinds & -kinds).bit_length()
+        near = number if met >> len(self.what.areas) + len(self.what.kinds) else up["near"] if up else -1
         node = {
             "node": number, "parent": up["node"] if up else -1, "last": number, "depth": len(self.stack), "tag": tag, "nth": siblings[tag], "children": 0, "start": self.size, "stop": self.size, "areas": areas,
             "kind": kind, "near": near, "attributes": attributes, "content": None, "image": None, "drawing": None, "pictured": False, "options": [], "piece": len(self.pieces), "holder": (up["node"] if up["kind"] else up["holder"]) if up else -1,
@@ -206,6 +217,7 @@ class _Fold:
         inside = any(n["tag"] in ("svg", "math") for n in self.stack[-8:])
         if tag not in VOID and not (whole and (inside or tag in ("svg", "math"))):
             self.stack.append(node)
+            self.opened[tag] = self.opened.get(tag, 0) + 1
 
     def picture(self, node: dict) -> None:
         """Tells the nodes of a kind around a picture of its text, nearest first; one that knows it already has told the others."""
@@ -254,9 +266,9 @@ class _Fold:
         return " > ".join(reversed(steps))
 
 
-def fold(page: str, what: Spec) -> dict:
+def fold(page: str, what: Spec, matcher: selectors.Matcher | None = None) -> dict:
     """A page's title, text and nodes."""
-    f = _Fold(what)
+    f = _Fold(what, matcher or what.matcher())
     for kind, name, value in tokens(page):
         if kind == "text":
             f.say(entities.unescape(value) if "&" in value else value)
@@ -281,7 +293,8 @@ def parsed(page: Column, what: Spec) -> Column:
     """struct<title, text, nodes> of a page; of a null page no text and no nodes."""
 
     def pages(column: pa.Array) -> pa.Array:
-        return pa.array([fold(v.as_py() or "", what) for v in column], PAGE)
+        matcher = what.matcher()
+        return pa.array([fold(v.as_py() or "", what, matcher) for v in column], PAGE)
 
     pages.__annotations__ = {"column": pa.Array, "return": pa.Array}
     return F.arrow_udf(pages, _DDL)(page)

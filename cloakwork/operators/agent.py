@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions import js
-from cloakwork.operators import redact
+from cloakwork.functions.dialect import Spark
+from cloakwork.operators import act, elements, redact
 
 # Sizes, names and patterns that results depend on.
 SENT, PREVIEW = 1600, 180
@@ -23,24 +24,45 @@ WIDEST, TALLEST, TALLEST_FACE = 480, 60, 280
 FACES = ("AVATAR", "FACE")
 
 
-def payloads(rows: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
-    """What may leave for each page (keys, text): the redacted text, at most SENT characters of it, the
+def secret(e: Column, entities: Column) -> Column:
+    """Must nothing of an element leave: it is sensitive, a field of personal data by its names, an area's code, or
+    an entity's own field. A field is an entity's if one's value holds the other's, from three characters on."""
+    low, own = F.lower(js.trim(e["value"])), lambda x: F.lower(x["value"])
+    held = F.exists(entities, lambda x: (x["category"] != "NAME") & (F.length(x["value"]) >= 3) & (F.contains(low, own(x)) | F.contains(own(x), low)))
+    linked = e["tag"].isin("input", "textarea") & (F.length(low) >= 3) & held
+    return e["is_sensitive"] | e["field"].isNotNull() | linked | ((e["tag"] == "input") & e["in_code"] & e["value"].rlike("^[0-9]{1,8}$"))
+
+
+#: An element's category by its own names and value (operators/act.py), for an element e.
+FIELD = act.element_category(Spark(), "lower(concat(e.name, ' ', e.id, ' ', e.placeholder, ' ', e.aria, ' ', e.role))", "e.tag", "e.type", "e.name", "e.role", "e.value", "concat(e.name, ' ', e.id, ' ', e.placeholder, ' ', e.aria)")
+
+
+def payloads(pages: DataFrame, *keys: str) -> DataFrame:
+    """What may leave for each page (keys, html): the redacted text, at most SENT characters of it, the
     sanitized elements as JSON, counters, masks, and the preview that an audit shows. Nothing raw
-    is kept. ``found`` has the pages' elements."""
-    shape = F.struct("idx", F.col("idx").alias("index"), "tag", "text", F.col("aria").alias("aria_label"), "placeholder", "value", "is_sensitive", "type", "id", "name", "selector")
-    listed = found.groupBy(*keys).agg(F.array_sort(F.collect_list(shape)).alias("elements"))
-    rows = redact.protect(rows).join(listed, list(keys), "left")
-    ordered = redact.maskable(F.col("entities"))
-    no_box = F.transform("entities", lambda e: F.struct(e["category"].alias("category"), F.lit(None).cast("int").alias("element")))
-
-    def sent(e: Column) -> Column:
-        clean = redact.sanitize_element(e, no_box, ordered)
-        return F.struct(*(clean[a].alias(b) for a, b in (("index", "index"), ("tag", "tag"), ("text", "text"), ("aria_label", "ariaLabel"), ("placeholder", "placeholder"))), *(e[n].alias(n) for n in ("type", "id", "name", "selector")))
-
-    elements = F.coalesce(F.transform("elements", sent), F.array())
-    count = F.size("entities")
+    is kept. A page is parsed once and never leaves its row. The gate reads all that would leave, elements too, and
+    also blocks a page whose password stands anywhere in it."""
+    rows = elements.with_tree(pages, *keys)
+    rows = rows.select(*keys, elements.page_text(F.col("page")).alias("text"), elements.element_array(F.col("page")).alias("found"))
+    rows = rows.withColumn("found", F.expr(f"transform(found, e -> named_struct('e', e, 'field', {FIELD}))"))
+    rows = rows.withColumn("found", F.transform("found", lambda x: x["e"].withField("field", x["field"])))
+    rows = redact.protect(rows)
+    ordered, entities = redact.maskable(F.col("entities")), F.col("entities")
+    # An element is its own entity here: what is secret has been decided on all entities.
+    marked = F.transform("found", lambda e: F.struct(e.alias("e"), F.struct(e["idx"].alias("index"), e["tag"].alias("tag"), e["text"].alias("text"), e["aria"].alias("aria_label"), e["placeholder"].alias("placeholder"), e["value"].alias("value"), secret(e, entities).alias("is_sensitive")).alias("x")))
+    nobody = F.array().cast("array<struct<category:string,element:int>>")
+
+    def sent(m: Column) -> Column:
+        clean = redact.sanitize_element(m["x"], nobody, ordered)
+        return F.struct(*(clean[a].alias(b) for a, b in (("index", "index"), ("tag", "tag"), ("text", "text"), ("aria_label", "ariaLabel"), ("placeholder", "placeholder"))), *(m["e"][n].alias(n) for n in ("type", "id", "name", "selector")))
+
+    rows = rows.withColumn("elements", F.transform(marked, sent))
+    said = F.array_join(F.transform("elements", lambda e: F.concat_ws("\n", *(e[n] for n in ("text", "ariaLabel", "placeholder", "type", "id", "name", "selector")))), "\n")
+    rows = rows.withColumn("leaving", F.concat_ws("\n", "redacted", said))
+    password = F.exists("found", lambda e: (e["type"] == "password") & (F.length(e["value"]) >= 4) & F.contains(F.col("leaving"), e["value"]))
+    safe = redact.gate(F.col("leaving"), entities)["is_safe"] & ~F.coalesce(password, F.lit(True))
     masks = F.array_join(F.transform("entities", lambda e: e["mask"]), ",")
-    return rows.select(*keys, F.substring("redacted", 1, SENT).alias("sanitized_text"), F.to_json(elements).alias("elements"), F.concat(F.substring("redacted", 1, PREVIEW), F.lit("...")).alias("preview"), masks.alias("masks"), F.length("redacted").alias("bytes_sent"), count.alias("detected"), "high_risk", "exposure", F.when(F.col("gate.is_safe"), 0).otherwise(1).alias("blocked"))
+    return rows.select(*keys, F.substring("redacted", 1, SENT).alias("sanitized_text"), F.to_json("elements").alias("elements"), F.concat(F.substring("redacted", 1, PREVIEW), F.lit("...")).alias("preview"), masks.alias("masks"), F.length("redacted").alias("bytes_sent"), F.size("entities").alias("detected"), "high_risk", "exposure", F.when(safe, 0).otherwise(1).alias("blocked"))
 
 
 def unfenced(reply: Column) -> Column:

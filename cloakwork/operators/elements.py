@@ -1,24 +1,34 @@
 """Interactive elements of pages, and what is found, chosen and planned on them.
 
-A page is cut once before every interactive element, so the work is linear in its length; a
-piece holds the element's opening tag and what follows. Layout is unknown, so everything counts
-as visible. All of it is column expressions and windows by page.
+A page is read as a tree once (``functions/tree.py``); elements are the tree's nodes that meet selectors, numbered
+by their places in the row's array, so nothing is shuffled. Layout is unknown: what no attribute
+and no inline style hides counts as visible.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakwork.functions import checks, js
+from cloakwork.functions import checks, js, selectors, tree
 from cloakwork.operators.rules import NOT_ADDRESS, RULES
 from cloakwork.sources.pages import ELEMENTS, LABEL_MOST, SENSITIVE_NAME, SENSITIVE_VALUES
 
 # What is interactive, what a look-up drops, and what a plan reacts to.
-ROLES = ("button", "link", "checkbox", "tab", "menuitem", "searchbox", "combobox", "switch", "option")
-INTERACTIVE = rf"""<(?:(?:button|input|textarea|select)\b|a\b[^>]*\shref=|[a-z][a-z0-9]*\b[^>]*\s(?:role="(?:{'|'.join(ROLES)})"|onclick=|data-action=|tabindex="(?!-1")))"""
+INTERACTIVE = """button, a[href], input, textarea, select, [role="button"], [role="link"], [role="checkbox"], [role="tab"], [role="menuitem"], [role="searchbox"], [role="combobox"], [role="switch"], [role="option"], [onclick], [data-action], [tabindex]:not([tabindex="-1"])"""
+POINTED = ", ".join(f"{t}[style*='cursor:{gap}pointer' i]" for t in ("div", "span", "li", "summary", "label") for gap in ("", " "))
+FOOTER = "footer, #navFooter, .navFooterLine, [role='contentinfo'], .footer, #footer"
+CODE_AREA = ".otp-inputs, .otp-container, [class*='otp' i], [id*='otp' i], [class*='verification' i], [id*='verification' i], dialog, [role='dialog'], .modal"
+CODE_ROW = "[class*='otp-row' i], [id*='otp-row' i], [class*='otp-input' i], [class*='code-inputs' i]"
+CODE_CELL = "input[maxlength='1'], input[size='1'], input[pattern*='0-9']"
+UNSHOWN = "[hidden], [style*='display:none' i], [style*='display: none' i], [style*='visibility:hidden' i], [style*='visibility: hidden' i], input[type='hidden' i]"
+NAMED = "button, a, input[type='button'], input[type='submit'], [role='button'], [role='tab'], [role='link'], [role='menuitem'], [onclick], .btn, select, label, summary, [tabindex]"
+TEXTS = "h1, h2, h3, h4, h5, h6, strong, b, span, p, div, li, td, tr, [data-testid], [data-component-type]"
+AROUND = "button, a, [role='button'], [role='tab'], [role='link'], [onclick], .btn, label, li, tr"
+CANDIDATES, TEXT_CHILDREN, TEXT_LONGEST = 80, 6, 120
 HIDDEN = r"(?is)<(script|style|footer)\b[^>]*>.*?</\1\s*>"
-CODE_AREA = r"""(?i)<(?:div|fieldset|section|dialog)\b[^>]*(?:class|id)="[^"]*(?:otp|verification|modal)[^"]*"[^>]*>"""
 CARD_BRANDS = r"^(?:4\d{15}|5[1-5]\d{14}|3[47]\d{13}|6(?:011|5\d{2})\d{12})$"
 LEAF = r"(?i)<(?:div|span|p|td|b|strong|code)\b[^>]*>([^<>]*)</"
 NO_ADDRESS = r"^(?:update|change|select|choose|enter|set|add|manage|view|edit|see|your)\s+(?:location|address|pincode|zipcode|city|delivery|destination)$"
@@ -37,55 +47,81 @@ PROMPT_MOST = 120
 PLAN_STOP = ("for", "and", "with", "this", "that")
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """An attribute's value; empty without it."""
-    return F.regexp_extract(tag, rf'(?i)\s{name}="([^"]*)"', 1)
+AREAS = {"footer": FOOTER, "code": CODE_AREA, "unshown": UNSHOWN}
+PAGE = tree.spec(AREAS, (INTERACTIVE, POINTED), silent=("footer", "unshown"))
+LOOKUP = tree.spec({"unshown": UNSHOWN}, (NAMED, TEXTS), closest=AROUND)
+CODES = tree.spec({"row": CODE_ROW, "unshown": UNSHOWN, "footer": FOOTER}, ("input", CODE_ROW))
 
 
-def plain(html: Column) -> Column:
-    text = F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", " "), "&nbsp;", " ")
+def plain(text: Column) -> Column:
+    """A text on one line."""
     return js.trim(js.replace(text, r"\s+", " "))
 
 
-def pieces(pages: DataFrame, *keys: str) -> DataFrame:
-    """(keys, i, piece): i is 0 for what stands before the first element."""
-    clean = F.regexp_replace("html", HIDDEN, "")
-    return pages.select(*keys, F.posexplode(F.split(clean, f"(?i)(?={INTERACTIVE})")).alias("i", "piece"))
+def attribute(node: Column, name: str) -> Column:
+    """An attribute's value; empty without it."""
+    return F.coalesce(node["attributes"][name], F.lit(""))
+
+
+def text_of(page: Column, node: Column) -> Column:
+    return plain(F.substring(page["text"], node["start"] + 1, node["stop"] - node["start"]))
+
+
+def value_of(node: Column) -> Column:
+    """A field's value: what is set, a text area's content, or a select's chosen option, else its first one."""
+    chosen = F.coalesce(F.get(F.filter(node["options"], lambda o: o["selected"]), F.lit(0)), F.get(node["options"], F.lit(0)))
+    ticked = (node["tag"] == "input") & F.lower(attribute(node, "type")).isin("checkbox", "radio") & node["attributes"]["value"].isNull()
+    return F.when(node["tag"] == "textarea", F.coalesce(node["content"], F.lit(""))).when(node["tag"] == "select", F.coalesce(chosen["value"], F.lit(""))).when(ticked, "on").otherwise(F.when(node["tag"].isin("input", "button"), attribute(node, "value")).otherwise(""))
+
+
+def page_text(page: Column) -> Column:
+    """The text of a page parsed with PAGE, without its footer and what isn't shown."""
+    return plain(page["text"])
+
+
+def with_tree(pages: DataFrame, *keys: str) -> DataFrame:
+    """(keys, page): the pages as trees."""
+    return pages.select(*keys, tree.parsed(F.col("html"), PAGE).alias("page"))
 
 
 def elements(pages: DataFrame, *keys: str, most: int = ELEMENTS) -> DataFrame:
     """A page's first interactive elements outside of its footer: label, attributes, selector and
-    sensitivity. ``pages`` has the keys and ``html``."""
-    rows = pieces(pages, *keys)
-    tag = F.lower(F.regexp_extract("piece", "^<([A-Za-z][A-Za-z0-9]*)", 1))
-    head, inner = F.regexp_extract("piece", "^<[^>]*>", 0), F.regexp_extract("piece", r"(?is)^<([a-z][a-z0-9]*)\b[^>]*>(.*?)</\1\s*>", 2)
-    rows = rows.withColumns({"tag": tag, "head": head, "inner": inner})
-    rows = rows.withColumns({n: attribute(F.col("head"), a) for n, a in (("type", "type"), ("name", "name"), ("id", "id"), ("placeholder", "placeholder"), ("role", "role"), ("href", "href"), ("label", "aria-label"), ("title", "title"), ("class", "class"), ("max", "maxlength"), ("wide", "size"), ("set", "value"))})
-    # Whether a cell stands in an area for codes: the last such area opened before it, not closed since.
-    opened = F.regexp_count("piece", F.lit(CODE_AREA))
-    tail = F.regexp_extract("piece", rf"(?s)^.*({CODE_AREA}|</(?:div|fieldset|section|dialog)>)", 1)
-    state = F.when((opened > 0) & ~tail.startswith("</"), True).when(tail != "", False)
-    before = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("in_code", F.coalesce(F.last(state, ignorenulls=True).over(before), F.lit(False))).where("i > 0")
-    entry = F.col("tag").isin("input", "textarea")
-    value = F.when(F.col("tag") == "textarea", F.col("inner")).otherwise(F.col("set"))
-    shown = F.when(entry & (value != "") & (F.col("type") != "password"), value).otherwise(plain(F.col("inner")))
-    image = F.regexp_extract("inner", r'(?i)<img\b[^>]*\salt="([^"]*)"', 1)
-    drawn = F.regexp_extract("inner", r'(?i)<svg\b[^>]*\saria-label="([^"]*)"', 1)
-    rows = rows.withColumns({"value": value, "text": F.coalesce(js.some(shown), js.some(drawn), image), "aria": F.coalesce(js.some(F.col("label")), F.col("title"))})
-    cell = (F.col("tag") == "input") & ((F.col("max") == "1") | (F.col("wide") == "1")) & F.col("in_code")
-    named = [js.matches(F.col(c), SENSITIVE_NAME, True) for c in ("name", "id", "placeholder", "aria")]
-    personal = [js.matches(F.coalesce(js.some(F.col("value")), F.col("text")), p) for p in SENSITIVE_VALUES]
-    sensitive = F.col("type").isin("password", "email", "tel") | cell
-    for test in (*named, *personal):
-        sensitive = sensitive | test
-    quoted = lambda a, c: F.concat("tag", F.lit(f'[{a}="'), c, F.lit('"]'))
-    first_class = F.regexp_extract("class", r"^\s*([^\s:/]+)(?:\s|$)", 1)
-    path = F.concat("tag", F.when(first_class != "", F.concat(F.lit("."), first_class)).otherwise(""), F.lit(":nth-of-type("), F.col("nth"), F.lit(")"))
-    rows = rows.withColumns({"is_cell": cell, "is_sensitive": sensitive, "idx": F.row_number().over(Window.partitionBy(*keys).orderBy("i")) - 1, "nth": F.row_number().over(Window.partitionBy(*keys, "tag").orderBy("i")).cast("string")})
-    # An element without id, name, label and role has the place among its page's tags for a path.
-    selector = F.when(F.col("id") != "", F.concat(F.lit("#"), "id")).when(F.col("name") != "", quoted("name", F.col("name"))).when(F.col("label") != "", quoted("aria-label", F.col("label"))).when(F.col("role") != "", quoted("role", F.col("role"))).otherwise(path)
-    return rows.where(F.col("idx") < most).select(*keys, F.col("idx").cast("int").alias("idx"), "tag", "text", "aria", "placeholder", "type", "id", "name", "href", "role", "class", "value", selector.alias("selector"), "is_cell", "is_sensitive", "inner")
+    sensitivity. ``pages`` has the keys and ``html``. Elements known by a pointer alone follow the others, as long as there
+    are under 80 candidates."""
+    return of_tree(with_tree(pages, *keys), *keys, most=most)
+
+
+def element_array(page: Column, most: int = ELEMENTS) -> Column:
+    """The elements of a page parsed with PAGE, in order, as structs."""
+    inside = lambda n, area: PAGE.within(n, area)
+    first = F.filter(page["nodes"], lambda n: n["kind"] == 1)
+    pointed = F.filter(page["nodes"], lambda n: (n["kind"] == 2) & ~inside(n, "footer") & ((n["children"] == 0) | ((n["children"] == 1) & n["pictured"])))
+    candidates = F.concat(first, F.slice(pointed, F.lit(1), F.greatest(F.lit(0), F.lit(CANDIDATES) - F.size(first))))
+    kept = F.slice(F.filter(candidates, lambda n: ~inside(n, "footer") & ~inside(n, "unshown")), 1, most)
+
+    def read(n: Column, idx: Column) -> Column:
+        own = {"idx": idx, "node": n["node"], "tag": n["tag"], "type": F.lower(attribute(n, "type")), "value": value_of(n), "inner": F.when(n["tag"] == "textarea", "").otherwise(text_of(page, n)), "selector": n["selector"], "options": n["options"], "in_code": inside(n, "code")}
+        own |= {k: attribute(n, a) for k, a in (("name", "name"), ("id", "id"), ("placeholder", "placeholder"), ("role", "role"), ("href", "href"), ("class", "class"))}
+        own |= {"aria": F.coalesce(js.some(attribute(n, "aria-label")), attribute(n, "title")), "drawn": F.coalesce(js.some(n["drawing"]), n["image"], F.lit("")), "lone": (attribute(n, "maxlength") == "1") | (attribute(n, "size") == "1")}
+        return F.struct(*(c.alias(k) for k, c in own.items()))
+
+    def shown(e: Column) -> Column:
+        text = F.when(e["tag"].isin("input", "textarea") & (e["value"] != "") & (e["type"] != "password"), e["value"]).otherwise(e["inner"])
+        return e.withField("text", F.coalesce(js.some(text), e["drawn"])).withField("is_cell", (e["tag"] == "input") & e["lone"] & e["in_code"])
+
+    def judged(e: Column) -> Column:
+        tests = [js.matches(e[c], SENSITIVE_NAME, True) for c in ("name", "id", "placeholder", "aria")] + [js.matches(F.coalesce(js.some(e["value"]), e["text"]), p) for p in SENSITIVE_VALUES]
+        return e.withField("is_sensitive", reduce(Column.__or__, tests, e["type"].isin("password", "email", "tel") | e["is_cell"]))
+
+    return F.transform(F.transform(F.transform(kept, read), shown), judged)
+
+
+COLUMNS = ("idx", "node", "tag", "text", "aria", "placeholder", "type", "id", "name", "href", "role", "class", "value", "selector", "is_cell", "is_sensitive", "options")
+
+
+def of_tree(parsed: DataFrame, *keys: str, most: int = ELEMENTS) -> DataFrame:
+    """The elements of pages that are parsed already."""
+    return parsed.select(*keys, F.explode(element_array(F.col("page"), most)).alias("e")).select(*keys, *(F.col("e")[c].alias(c) for c in COLUMNS))
 
 
 def prompt_lines(found: DataFrame, *keys: str) -> DataFrame:
@@ -98,9 +134,21 @@ def prompt_lines(found: DataFrame, *keys: str) -> DataFrame:
     return found.where(F.col("idx") < PROMPT_MOST).select(*keys, pos.alias("pos"), line.alias("line")).where(F.col("pos") <= ELEMENTS)
 
 
-def code_groups(found: DataFrame, *keys: str) -> DataFrame:
-    """Pages whose code areas hold 4 to 8 cells of one character: one code each."""
-    return found.where("is_cell").groupBy(*keys).agg(F.count("*").alias("cells"), F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"])).alias("code")).where("cells between 4 and 8")
+def code_groups(pages: DataFrame, *keys: str) -> DataFrame:
+    """(keys, cells, code): pages with 4 to 8 inputs of one character, wherever they stand; on others, areas for a code
+    that hold 4 to 8 inputs, one after the other. An empty cell shows a dot."""
+    shown = lambda n: F.coalesce(js.some(js.trim(attribute(n, "value"))), F.lit("•"))
+    nodes = tree.parsed(F.col("html"), CODES)["nodes"]
+    rows = pages.select(*keys, nodes.alias("nodes"))
+    usable = lambda n: ~CODES.within(n, "unshown") & ~CODES.within(n, "footer")
+    meets = lambda n, text: reduce(Column.__or__, [selectors.column(s, n["tag"], n["attributes"]) for s in selectors.parse(text)])
+    single = F.filter("nodes", lambda n: meets(n, CODE_CELL))
+    rows = rows.withColumn("single", single)
+    areas = F.transform(F.filter("nodes", lambda a: meets(a, CODE_ROW)), lambda a: F.filter("nodes", lambda n: (n["tag"] == "input") & (n["node"] > a["node"]) & (n["node"] <= a["last"])))
+    one = F.size("single").between(4, 8)
+    groups = F.when(one, F.array("single")).otherwise(F.filter(F.when(F.exists("nodes", lambda n: CODES.within(n, "row")), areas).otherwise(F.array()), lambda g: F.size(g).between(4, 8)))
+    rows = rows.select(*keys, F.explode(F.transform(groups, lambda g: F.filter(g, usable))).alias("g")).where(F.size("g") > 0)
+    return rows.select(*keys, F.size("g").alias("cells"), F.array_join(F.transform("g", shown), "").alias("code"))
 
 
 def leaf_findings(pages: DataFrame, *keys: str) -> DataFrame:
@@ -121,43 +169,50 @@ def leaf_findings(pages: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, "pos", F.explode(F.array_compact(each)).alias("f")).select(*keys, "pos", "f.category", "f.value", "f.risk")
 
 
-def smart_lookup(terms: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
-    """(keys, idx, pass, score): the element that a term names, by page. The first pass that finds
-    one decides: the cart, the same text, a part of it, most words, then id, name or address."""
+def smart_lookup(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, node, selector, pass, score): the element that a term names. ``rows`` have the keys, ``html`` and ``term``. The
+    first pass that finds one decides: the cart, the same text, a part of it, most words, a text and the closest
+    element around it that can be used, then id, name or address. All elements of the page are asked, each
+    pass over the row's own array."""
     raw = js.trim(F.col("term"))
     clean = js.replace(js.replace(js.replace(raw, "^[\"']|[\"']$", ""), LOOKUP_VERBS, "", True), LOOKUP_NOUNS, "", True)
     clean = F.lower(js.trim(js.replace(clean, r"\s+", " ")))
     clean = F.coalesce(js.some(clean), F.lower(raw))
-    words = F.filter(F.transform(F.split(clean, r"[\s,_\-—/|]+"), lambda w: F.regexp_replace(w, "[^a-z0-9]", "")), lambda w: (F.length(w) >= 2) & ~w.isin(*LOOKUP_STOP))
-    asked = terms.select(*keys, F.lower(raw).alias("asked"), clean.alias("clean"), words.alias("words")).where("asked <> ''")
-    named = F.col("tag").isin("button", "a", "select", "label", "summary") | (F.col("role").isin("button", "tab", "link", "menuitem")) | F.col("type").isin("button", "submit") | ~F.col("tag").isin("input", "textarea")
-    low = {c: F.lower(js.trim(F.col(c))) for c in ("text", "aria", "value", "id", "name", "href")}
-    rows = found.where(named).select(*keys, "idx", "tag", *(v.alias(f"l_{c}") for c, v in low.items())).join(asked, list(keys))
-    combined = F.concat_ws(" ", "l_text", "l_aria", "l_value", "l_id", "l_name")
-    c = F.col("clean")
-    same = (F.col("l_text") == c) | (F.col("l_aria") == c) | ((F.col("l_value") == c) & (F.col("l_value") != ""))
-    part = lambda x: (F.col(x) != "") & (F.contains(F.col(x), c) | ((F.length(x) >= 4) & F.array_contains(F.split(c, r"\s+"), F.col(x))))
-    within = part("l_text") | part("l_aria") | ((F.col("l_value") != "") & F.contains(F.col("l_value"), c))
-    hits = F.size(F.filter("words", lambda w: F.contains(combined, w)))
-    score = F.when(F.size("words") > 0, hits * 100.0 / F.size("words") - F.when(F.length(combined) > 150, 20).otherwise(0)).otherwise(F.lit(0.0))
-    anywhere = F.exists("words", lambda w: F.contains(F.col("l_id"), w) | F.contains(F.col("l_name"), w) | F.contains(F.col("l_href"), w))
-    cart = F.col("asked").isin(*CART_TERMS) & (F.col("l_id").isin("nav-cart", "btn-nav-cart") | ((F.col("tag") == "a") & F.contains("l_href", F.lit("cart"))) | ((F.col("tag") == "button") & F.contains("l_id", F.lit("cart"))))
-    step = F.when(cart, 0).when(same, 1).when(within, 2).when((hits > 0) & (score >= 35), 3).when(anywhere, 5)
-    rows = rows.withColumns({"pass": step, "score": F.when(step == 3, score).otherwise(F.lit(0.0))}).where("pass is not null")
-    best = rows.groupBy(*keys).agg(F.min(F.struct(F.col("pass"), (-F.col("score")).alias("s"), F.col("idx"))).alias("b"))
-    return best.select(*keys, F.col("b.idx").alias("idx"), F.col("b.pass").alias("pass"), F.round(-F.col("b.s"), 6).alias("score"))
-
-
-def chosen_option(found: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    words = F.filter(F.transform(F.split(F.col("clean"), r"[\s,_\-—/|]+"), lambda w: F.regexp_replace(w, "[^a-z0-9]", "")), lambda w: (F.length(w) >= 2) & ~w.isin(*LOOKUP_STOP))
+    asked = rows.where(raw != "").select(*keys, F.lower(raw).alias("asked"), clean.alias("clean"), tree.parsed(F.col("html"), LOOKUP).alias("page")).withColumn("words", words)
+    low = lambda x: F.lower(js.trim(x))
+
+    def facts(n: Column) -> Column:
+        own = {"text": F.lower(text_of(F.col("page"), n)), "val": low(value_of(n)), **{k: low(attribute(n, a)) for k, a in (("aria", "aria-label"), ("title", "title"), ("id", "id"), ("name", "name"), ("href", "href"))}}
+        return F.struct(n["node"].alias("node"), n["near"].alias("near"), n["tag"].alias("tag"), n["kind"].alias("kind"), n["children"].alias("children"), n["selector"].alias("selector"), *(c.alias(k) for k, c in own.items()), (n["attributes"]["data-testid"].isNotNull() | n["attributes"]["data-component-type"].isNotNull()).alias("marked"))
+
+    seen = F.transform(F.filter(F.col("page")["nodes"], lambda n: ~LOOKUP.within(n, "unshown")), facts)
+    asked = asked.select(*keys, "asked", "clean", "words", seen.alias("seen")).withColumn("named", F.filter("seen", lambda x: x["kind"] == 1))
+    c, ws, first = F.col("clean"), F.col("words"), lambda found: F.get(found, F.lit(0))
+    cart = F.col("asked").isin(*CART_TERMS)
+    carts = F.filter("named", lambda x: cart & (x["id"].isin("nav-cart", "btn-nav-cart") | ((x["tag"] == "a") & F.contains(x["href"], F.lit("cart"))) | ((x["tag"] == "button") & F.contains(x["id"], F.lit("cart")))))
+    same = F.filter("named", lambda x: (x["text"] == c) | (x["aria"] == c) | (x["title"] == c) | (x["val"] == c))
+    part = lambda x: (x != "") & (F.contains(x, c) | ((F.length(x) >= 4) & F.array_contains(F.split(c, r"\s+"), x)))
+    within = F.filter("named", lambda x: part(x["text"]) | part(x["aria"]) | ((x["title"] != "") & F.contains(x["title"], c)) | ((x["val"] != "") & F.contains(x["val"], c)))
+    joined = lambda x: F.concat_ws(" ", x["text"], x["aria"], x["title"], x["val"], x["id"], x["name"])
+    hits = lambda x: F.size(F.filter(ws, lambda w: F.contains(joined(x), w)))
+    scored = F.transform("named", lambda x: F.struct((hits(x) * 100.0 / F.size(ws) - F.when(F.length(joined(x)) > 150, 20).otherwise(0)).alias("score"), (-x["node"]).alias("at"), x.alias("x"), hits(x).alias("hits")))
+    best = F.array_max(F.when(F.size(ws) > 0, F.filter(scored, lambda s: (s["hits"] > 0) & (s["score"] >= 35))))
+    texts = F.filter("seen", lambda x: ((x["kind"] == 2) | x["tag"].isin("strong", "b", "span", "p", "div", "li", "td", "tr") | x["marked"]) & (x["children"] <= TEXT_CHILDREN) & ((x["text"] != "") | (x["aria"] != "")) & ((x["text"] == c) | (x["aria"] == c) | ((F.length(x["text"]) < TEXT_LONGEST) & F.contains(x["text"], c)) | ((F.size(ws) >= 2) & F.forall(ws, lambda w: F.contains(x["text"], w)))))
+    around = first(F.transform(F.slice(texts, 1, 1), lambda t: F.coalesce(first(F.filter("seen", lambda x: x["node"] == t["near"])), t)))
+    anywhere = F.filter("named", lambda x: F.exists(ws, lambda w: F.contains(x["id"], w) | F.contains(x["name"], w) | F.contains(x["href"], w)))
+    chosen = lambda k, x, score=None: F.when(x.isNotNull(), F.struct(F.lit(k).alias("pass"), x["node"].alias("node"), x["selector"].alias("selector"), (F.lit(0.0) if score is None else score).alias("score")))
+    steps = F.coalesce(chosen(0, first(carts)), chosen(1, first(same)), chosen(2, first(within)), F.when(best.isNotNull(), chosen(3, best["x"], F.round(best["score"], 6))), chosen(4, around), chosen(5, first(anywhere)))
+    return asked.select(*keys, steps.alias("b")).where("b is not null").select(*keys, "b.node", "b.selector", "b.pass", "b.score")
+
+
+def chosen_option(found: DataFrame, wanted: Column, *keys: str) -> DataFrame:
     """(keys, idx, option, value): the first option of each select whose value is the wanted one or
-    whose text contains it, in any case."""
-    options = F.regexp_extract_all("inner", F.lit(r'(?is)<option\b[^>]*\svalue="([^"]*)"[^>]*>[^<]*</option>'), F.lit(1))
-    labels = F.regexp_extract_all("inner", F.lit(r'(?is)<option\b[^>]*\svalue="[^"]*"[^>]*>([^<]*)</option>'), F.lit(1))
-    rows = found.where("tag = 'select'").select(*keys, "idx", options.alias("options"), labels.alias("labels")).join(wanted, list(keys))
-    w = F.lower(js.trim(F.col("wanted")))
-    fits = F.transform("options", lambda v, i: (F.lower(v) == w) | F.contains(F.lower(F.get("labels", i)), w))
-    at = F.array_position(fits, F.lit(True)).cast("int") - 1
-    return rows.withColumn("option", at).where("option >= 0").select(*keys, "idx", "option", F.get("options", F.col("option")).alias("value"))
+    whose text contains it, in any case. ``found`` has the elements and what ``wanted`` reads."""
+    w = F.lower(js.trim(wanted))
+    fits = F.transform("options", lambda o: (F.lower(o["value"]) == w) | F.contains(F.lower(o["label"]), w))
+    rows = found.where("tag = 'select'").withColumn("option", F.array_position(fits, F.lit(True)).cast("int") - 1)
+    return rows.where("option >= 0").select(*keys, "idx", "option", F.get("options", F.col("option"))["value"].alias("value"))
 
 
 def plan_client(goals: DataFrame, found: DataFrame, navigation: str, query: str, *keys: str) -> DataFrame:

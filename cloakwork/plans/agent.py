@@ -5,35 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.operators import agent, elements
-from cloakwork.plans import detection, duck, forms
+from cloakwork.functions.dialect import Duck
+from cloakwork.operators import act, agent
+from cloakwork.operators.rules import LIVE_SECRET
+from cloakwork.plans import detection, duck, trees
 from cloakwork.sources import forms as pages
 
 KEYS = ("src", "page_id")
 
 
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = F.regexp_replace("html", elements.HIDDEN, "")
-    return pages.all_pages(spark, sf_dir).select(*KEYS, elements.plain(clean).alias("text")).repartition(*KEYS)
-
-
 def plan_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outbound rows of every page, with its text and elements redacted."""
-    return agent.payloads(_texts(spark, sf_dir), elements.elements(pages.all_pages(spark, sf_dir), *KEYS), *KEYS)
+    return agent.payloads(pages.all_pages(spark, sf_dir), *KEYS)
 
 
-_ENTITIES = detection.ENTITY_CTES.replace(detection.CORPUS, f"select src, page_id as doc_id, {forms._plain('h')} as text from clean")
+_ENTITIES = detection.ENTITY_CTES.replace(detection.CORPUS, "select src, page_id as doc_id, text from bodies")
 _FOLD = lambda x: f"case when {x} = '' then null when es is null then {x} else list_reduce(list_prepend({{'v': '', 'm': {x}}}, es), lambda a, y: {{'v': '', 'm': regexp_replace(a.m, '(?i)' || regexp_escape(y.v), y.m, 'g')}}).m end"
-PAYLOAD_SQL = f"""with {forms.ELEMENT_CTES}, {_ENTITIES}, {detection._GATE},
-    s as (select el.*, case when is_sensitive then '[SENSITIVE_FIELD]' else coalesce({_FOLD('el.text')}, '') end as t2, case when is_sensitive then nullif(aria, '') else {_FOLD('aria')} end as a2,
-      case when placeholder = '' then null when is_sensitive then '[REDACTED_INPUT]' else {_FOLD('placeholder')} end as p2 from el left join folded f on f.src = el.src and f.doc_id = el.page_id),
-    one as (select src, page_id, idx, concat('{{"index":', idx, ',"tag":', to_json(tag), ',"text":', to_json(t2), case when is_sensitive then ',"ariaLabel":' || to_json(aria) when a2 is not null then ',"ariaLabel":' || to_json(a2) else '' end,
+_FIELD = act.element_category(Duck(), "lower(name || ' ' || id || ' ' || placeholder || ' ' || aria || ' ' || role)", "tag", "type", "name", "role", "value", "name || ' ' || id || ' ' || placeholder || ' ' || aria")
+_LINKED = "tag in ('input', 'textarea') and length(trim(value)) >= 3 and len(list_filter(coalesce(vs, []), lambda v: length(v) >= 3 and (contains(lower(trim(value)), lower(v)) or contains(lower(v), lower(trim(value)))))) > 0"
+PAYLOAD_SQL = f"""with recursive {trees.ELEMENT_CTES},
+    bodies as (select s.src, s.page_id, {trees.plain("coalesce(string_agg(x.x, '' order by x.i), '')")} as text from source s left join said x using (src, page_id) group by all), {_ENTITIES}, {detection._GATE},
+    k as (select el.*, es, is_sensitive or ({_FIELD}) is not null or ({_LINKED}) or (tag = 'input' and code and regexp_matches(value, '^[0-9]{{1,8}}$')) as hide from el left join folded f on f.src = el.src and f.doc_id = el.page_id),
+    s as (select *, case when hide then '[SENSITIVE_FIELD]' else coalesce({_FOLD('text')}, '') end as t2, case when hide then aria else {_FOLD('aria')} end as a2,
+      case when placeholder = '' then null when hide then '[REDACTED_INPUT]' else {_FOLD('placeholder')} end as p2 from k),
+    one as (select src, page_id, idx, type, value, concat_ws(chr(10), t2, a2, p2, type, id, name, selector) as line, concat('{{"index":', idx, ',"tag":', to_json(tag), ',"text":', to_json(t2), case when a2 is not null then ',"ariaLabel":' || to_json(a2) else '' end,
       case when p2 is not null then ',"placeholder":' || to_json(p2) else '' end, ',"type":', to_json(type), ',"id":', to_json(id), ',"name":', to_json(name), ',"selector":', to_json(selector), '}}') as j from s),
-    js as (select src, page_id, '[' || string_agg(j, ',' order by idx) || ']' as js from one group by all),
-    ms as (select src, doc_id, string_agg({duck.mask('category', 'n')}, ',' order by pos) as masks from masked group by all)
-    select g.src, g.doc_id as page_id, substr(redacted, 1, 1600) as sanitized_text, coalesce(js, '[]') as elements, substr(redacted, 1, 180) || '...' as preview, coalesce(masks, '') as masks, cast(length(redacted) as int) as bytes_sent, cast(total as int) as detected,
-      cast(high as int) as high_risk, cast(greatest(0, 100 - (25 * high + 10 * medium + 5 * low)) as int) as exposure, cast(case when secret or residue then 1 else 0 end as int) as blocked
-    from gated g left join js on js.src = g.src and js.page_id = g.doc_id left join ms on ms.src = g.src and ms.doc_id = g.doc_id"""
+    js as (select src, page_id, '[' || string_agg(j, ',' order by idx) || ']' as js, string_agg(line, chr(10) order by idx) as lines, list(value) filter (type = 'password' and length(value) >= 4) as pws from one group by all),
+    ms as (select src, doc_id, string_agg({duck.mask('category', 'n')}, ',' order by pos) as masks from masked group by all),
+    outs as (select g.*, js, masks, pws, redacted || chr(10) || coalesce(lines, '') as leaving from gated g left join js on js.src = g.src and js.page_id = g.doc_id left join ms on ms.src = g.src and ms.doc_id = g.doc_id)
+    select src, doc_id as page_id, substr(redacted, 1, 1600) as sanitized_text, coalesce(js, '[]') as elements, substr(redacted, 1, 180) || '...' as preview, coalesce(masks, '') as masks, cast(length(redacted) as int) as bytes_sent, cast(total as int) as detected,
+      cast(high as int) as high_risk, cast(greatest(0, 100 - (25 * high + 10 * medium + 5 * low)) as int) as exposure,
+      cast(case when {duck.like('leaving', LIVE_SECRET)} or len(list_filter(coalesce(vs, []), lambda v: contains(leaving, v))) > 0 or len(list_filter(coalesce(pws, []), lambda v: contains(leaving, v))) > 0 then 1 else 0 end as int) as blocked from outs"""
 
 #: Replies as a model writes them: fenced, bare, broken, and with actions that don't exist.
 _REPLY = """case k % 7 when 0 then '```json

@@ -1,8 +1,8 @@
 """Pages with forms, derived from customers by SQL that Spark and DuckDB share.
 
 The given pages hold links only. These hold inputs of all kinds, code cells, a select, buttons
-with and without text, elements by role, leaf texts with numbers, and a footer and a script
-that must not count.
+with and without text, elements by role, leaf texts with numbers, attributes in either quotes and in none,
+areas in areas, elements without ends, hidden ones, and a footer and a script that must not count.
 """
 
 from __future__ import annotations
@@ -26,7 +26,12 @@ def pages_sql(customers: str = "customer") -> str:
       || '<div class="otp-inputs">' || {cells} || '</div><input size="1" name="middle"> <select name="city" id="city' || {k} || '"><option value="">Choose</option><option value="pnq">Pune</option><option value="del">New Delhi</option><option value="c' || {k} || '">Town ' || {k} || '</option></select>'
       || '<button type="submit" class="btn main" id="pay">Proceed to checkout</button> <button><img src="/i.png" alt="Track parcel"></button> <button><svg aria-label="Wish list"></svg></button>'
       || '<div role="button" class="chip" tabindex="0">Model ' || {k} || ' <b>Pro</b></div> <span tabindex="-1">not one</span> <a href="/item/' || {k} || '" title="See details">Ring ' || cast(k % 17 as string) || '</a> <a>no address</a> <div onclick="go()">More&nbsp;offers</div></form></div>'
-      || '<footer><a href="/policy">Cancellation policy</a><button>Foot</button></footer></body></html>' as html
+      || '<section class="verification-area"><div><div></div></div><p>Code<p>sent to a.b' || {k} || '@example.com<input type=''password'' id=''k1'' value="hunter2-Zebra' || {k} || '"><input type=password name=k2 value=hunter3-Zebra' || {k} || '>'
+      || '<div><div class=''inner''></div>' || repeat('<input maxlength=''1'' value=8>', cast(k % 3 as int)) || '</div></section><div class=otp-row>' || repeat('<input class=cell value=5>', cast(k % 12 as int)) || '</div>'
+      || '<ul class="menu wide"><li>One<li>Two <a class="go:to" href=/two/' || {k} || ' title=''Second &amp; last''>Go &lt;two&gt;</a><li><a class=go href=/three><i>Three</i> here</a></ul><div hidden><button>Unseen</button><a href="/unseen">Unseen</a></div>'
+      || '<div style="display: none"><input name="trap" value="trap"></div><div class="card-row"><span style="cursor:pointer">Tap ' || {k} || '</span><span style="cursor: pointer"><b>Not</b> a <i>leaf</i></span></div>'
+      || '<table><tbody><tr><td><strong>Parcel ' || {k} || '</strong> on its way<td><a href=/track role=link>Follow</a><tr><td>None</table><label for=q2>Find in <input type=search id=q2 placeholder=''Find it''></label><div class=tail>'
+      || '<footer><a href="/policy">Cancellation policy</a><button>Foot</button></footer></div></body></html>' as html
     from (select c_custkey as k from {customers}) c"""
 
 
