@@ -80,6 +80,11 @@ class Spark:
     def join(self, xs: str, by: str) -> str:
         return f"array_join({xs}, {self.lit(by)})"
 
+    def let(self, name: str, x: str, body: str) -> str:
+        """The body, in which the name stands for x. However often it does, x is there once: a name of a nested select would
+        be replaced by its whole text wherever the optimizer moves a filter below the select."""
+        return f"get(transform(array({x}), {name} -> {body}), 0)"
+
 
 class Duck(Spark):
     def table(self, name: str) -> str:
@@ -139,6 +144,9 @@ class Duck(Spark):
     def join(self, xs: str, by: str) -> str:
         return f"array_to_string({xs}, {self.lit(by)})"
 
+    def let(self, name: str, x: str, body: str) -> str:
+        return f"list_transform([{x}], lambda {name}: {body})[1]"
+
 
 def words(d: Spark, ws) -> str:
     return "(" + ", ".join(map(d.lit, ws)) + ")"

@@ -113,3 +113,50 @@ PLATFORMS = {
     "figma": "https://www.figma.com",
     "drive": "https://drive.google.com",
 }
+
+#: The order in which names are tried where a goal may hold several: these first, then the others as above.
+FIRST = ("spotify", "youtube", "gaana", "jiosaavn", "wynk", "soundcloud", "applemusic", "amazon", "flipkart", "myntra", "meesho", "nykaa", "ajio", "target", "walmart", "bestbuy", "ebay", "google", "wikipedia", "github", "reddit", "netflix", "cricbuzz", "twitter", "x")
+ORDER = (*FIRST, *(name for name in PLATFORMS if name not in FIRST))
+
+# Where a search, given the encoded query, and a cart are, and which platforms play.
+SEARCHES = {
+    "spotify": "https://open.spotify.com/search/",
+    "youtube": "https://www.youtube.com/results?search_query=",
+    "gaana": "https://gaana.com/search/",
+    "jiosaavn": "https://www.jiosaavn.com/search/",
+    "soundcloud": "https://soundcloud.com/search?q=",
+    "amazon": "https://www.amazon.in/s?k=",
+    "flipkart": "https://www.flipkart.com/search?q=",
+    "myntra": "https://www.myntra.com/",
+    "google": "https://www.google.com/search?q=",
+    "wikipedia": "https://en.wikipedia.org/wiki/Special:Search?search=",
+    "github": "https://github.com/search?q=",
+    "reddit": "https://www.reddit.com/search/?q=",
+    "netflix": "https://www.netflix.com/search?q=",
+    "leetcode": "https://leetcode.com/problemset/?search=",
+    "geeksforgeeks": "https://www.geeksforgeeks.org/search/?q=",
+    "gfg": "https://www.geeksforgeeks.org/search/?q=",
+    "coursera": "https://www.coursera.org/search?query=",
+    "udemy": "https://www.udemy.com/courses/search/?q=",
+    "stackoverflow": "https://stackoverflow.com/search?q=",
+    "zomato": "https://www.zomato.com/search?q=",
+    "swiggy": "https://www.swiggy.com/search?query=",
+    "hotstar": "https://www.hotstar.com/in/explore?search_query=",
+}
+CARTS = {
+    "amazon": "https://www.amazon.in/gp/cart/view.html",
+    "flipkart": "https://www.flipkart.com/viewcart",
+    "myntra": "https://www.myntra.com/checkout/cart",
+    "meesho": "https://www.meesho.com/cart",
+    "nykaa": "https://www.nykaa.com/sp/checkout/cart",
+    "ajio": "https://www.ajio.com/cart",
+    "target": "https://www.target.com/cart",
+    "walmart": "https://www.walmart.com/cart",
+    "bestbuy": "https://www.bestbuy.com/cart",
+    "ebay": "https://cart.ebay.com",
+    "swiggy": "https://www.swiggy.com/checkout",
+    "blinkit": "https://www.blinkit.com/cart",
+    "zepto": "https://www.zepto.com/cart",
+    "bigbasket": "https://www.bigbasket.com/basket/",
+}
+PLAYERS = ("spotify", "youtube", "gaana", "jiosaavn", "wynk", "soundcloud", "applemusic", "netflix", "hotstar", "primevideo", "jiocinema", "sonyliv", "zee5")

@@ -200,22 +200,6 @@ def alias_test(d: Spark, tag: str, term: str) -> str:
     return f"({tag} <> '' and ({' or '.join(tests)}))"
 
 
-def route(d: Spark, s: str, nav: str) -> str:
-    """The branch that handles a trimmed sub-goal, in fixed precedence."""
-    tests = (
-        ("scroll", d.match(s, r"\bscroll\b")),
-        ("autofill", d.match(s, AUTOFILL)),
-        ("history", f"({d.match(s, BACK)} or {d.match(s, FORWARD)})"),
-        ("navigate", f"{nav} is not null"),
-        ("cart", d.match(s, r"\b(?:my\s+carts?|carts?)\b")),
-        ("product", d.match(s, r"\b(?:product|buy|add\s*(?:it\s*)?to\s*cart|order)\b")),
-        ("media", d.match(s, r"\b(?:play|watch|listen|stream)\b")),
-        ("search", d.match(s, r"\b(?:search|find|query|type|look\s+for)\b")),
-        ("click", d.match(s, r"\b(?:click|tap|press|select)\b")),
-    )
-    return "case " + " ".join(f"when {t} then '{n}'" for n, t in tests) + " else 'reason' end"
-
-
 def wake_command(d: Spark, x: str) -> str:
     """The command after a wake word; empty if there is none."""
     return trim(d, d.extract(x, r"\b(?:hey|hi|ok|okay|hello)\s+nova\b[\s,.:!-]*(.*)$"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from cloakwork.functions.dialect import Duck, Spark, query, trim, values
 from cloakwork.operators import agent
 from cloakwork.operators import goals as g
+from cloakwork.operators import missions
 
 GOALS = (
     (1, "Search tum hi ho on spotify", "https://www.google.com"), (2, "Open carts and auto filling my details", ""), (3, "Open amazon and go to my carts", ""),
@@ -42,10 +43,10 @@ def splits(d: Spark) -> str:
 
 
 def milestones(d: Spark) -> str:
-    parts = f"select goal_id, i, part from (select goal_id, {g.split(d, 'text')} as parts from {goals(d)} x) t {d.each('parts', 'part')}"
-    facts = f"select goal_id, i, part, {g.navigation(d, 'part')} as nav, {g.query_ts(d, 'part')} as q, {g.click_target(d, 'part')} as target from ({parts}) p"
+    parts = f"select goal_id, text, i, part from (select goal_id, text, {g.split(d, 'text')} as parts from {goals(d)} x) t {d.each('parts', 'part')}"
+    facts = f"select goal_id, text, i, part, {g.navigation(d, 'part')} as nav, {g.query_ts(d, 'part')} as q, {g.click_target(d, 'part')} as target from ({parts}) p"
     category, label = g.milestone(d, "part", "nav", "q", "target")
-    return f"select goal_id, cast(i as int) as pos, {category} as category, {label} as label, {g.route(d, 'part', 'nav')} as route from ({facts}) f"
+    return f"select goal_id, cast(i as int) as pos, {category} as category, {label} as label, {missions.route(d, 'part', 'nav', 'text')} as route from ({facts}) f"
 
 
 def macros(d: Spark) -> str:
@@ -59,9 +60,16 @@ def macros(d: Spark) -> str:
 
 
 def routes(d: Spark) -> str:
-    """Where a goal goes first: the compound pipeline, a deep search for a policy page, or the step loop."""
-    rows = f"select goal_id, {d.size(g.split(d, 'text'))} > 1 or {g.is_direct(d, 'text')} as compound, {d.match('text', agent.POLICY)} as policy, {trim(d, d.extract('text', agent.POLICY_NAME))} as term from {goals(d)} x"
-    return f"select goal_id, case when compound then 'compound' when policy and term <> '' then 'deep_search' else 'loop' end as route, case when not compound and policy and term <> '' then term end as term from ({rows}) r"
+    """Where a goal goes first, once a macro that it names has taken its place: the compound pipeline, a deep search for a
+    policy page, or the step loop."""
+    named = f"(select x.goal_id, coalesce(m.act, x.text) as text, '' as url, m.macro_id from {goals(d)} x left join ({macros(d)}) m on m.goal_id = x.goal_id)"
+    rows = f"select goal_id, macro_id, {missions.steps(d)} is not null or {d.size(g.split(d, 'text'))} > 1 or {g.is_direct(d, 'text')} as compound, {d.match('text', agent.POLICY)} as policy, {trim(d, d.extract('text', agent.POLICY_NAME))} as term from {named} x"
+    return f"select goal_id, macro_id, case when compound then 'compound' when policy and term <> '' then 'deep_search' else 'loop' end as route, case when not compound and policy and term <> '' then term end as term from ({rows}) r"
+
+
+def decompositions(d: Spark) -> str:
+    """The sub-goals of goals on platforms."""
+    return f"select goal_id, cast(i as int) as pos, step from (select goal_id, {missions.steps(d)} as steps from {goals(d)} s) t {d.each('steps', 'step')}"
 
 
 def intent(d: Spark) -> str:
@@ -74,6 +82,8 @@ MAKERS = {
     "search_intent": (intent, "part"),
     "page_route": (routes, "part"),
     "split_compound": (splits, "part"),
+    "decompose_goal": (decompositions, "part"),
+    "goal_routes": (lambda d: missions.routed(d, goals(d)), "part"),
     "direct_command": (plain(direct=lambda d: g.is_direct(d, "text")), "part"),
     "nav_target": (plain(target=lambda d: g.navigation(d, "text")), "part"),
     "kv_map": (plain(pairs=lambda d: d.join(g.pairs(d, "text"), ";")), "part"),
