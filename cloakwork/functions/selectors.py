@@ -33,6 +33,8 @@ _PIECE = re.compile(r"""(?P<tag>^[A-Za-z][\w-]*)|\#(?P<id>[\w-]+)|\.(?P<class>[\
 
 def _compound(text: str) -> Selector:
     tag, tests, at = None, [], 0
+    if text == "*":
+        return Selector(None, ())
     for m in _PIECE.finditer(text):
         if m.start() != at:
             raise ValueError(f"not a selector: {text}")

@@ -60,9 +60,10 @@ NODE = pa.struct([
     ("start", pa.int32()), ("stop", pa.int32()), ("areas", pa.int64()), ("kind", pa.int32()), ("near", pa.int32()), ("attributes", pa.map_(pa.string(), pa.string())), ("content", pa.string()), ("selector", pa.string()),
     ("image", pa.string()), ("drawing", pa.string()), ("pictured", pa.bool_()), ("options", pa.list_(pa.struct([("value", pa.string()), ("label", pa.string()), ("selected", pa.bool_())]))),
 ])
-PAGE = pa.struct([("title", pa.string()), ("text", pa.string()), ("nodes", pa.list_(NODE))])
+RUN = pa.struct([("node", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
+PAGE = pa.struct([("title", pa.string()), ("text", pa.string()), ("runs", pa.list_(RUN)), ("nodes", pa.list_(NODE))])
 _DDL = (
-    "struct<title:string,text:string,nodes:array<struct<node:int,parent:int,last:int,depth:int,tag:string,nth:int,same:int,children:int,start:int,stop:int,areas:bigint,kind:int,near:int,"
+    "struct<title:string,text:string,runs:array<struct<node:int,start:int,stop:int>>,nodes:array<struct<node:int,parent:int,last:int,depth:int,tag:string,nth:int,same:int,children:int,start:int,stop:int,areas:bigint,kind:int,near:int,"
     "attributes:map<string,string>,content:string,selector:string,image:string,drawing:string,pictured:boolean,options:array<struct<value:string,label:string,selected:boolean>>>>>"
 )
 
@@ -71,13 +72,15 @@ class Spec(NamedTuple):
     """What a pass marks. ``areas`` are named lists of selectors: bit i of a node's ``areas`` says that it or an ancestor meets
     list i. ``kinds`` are lists of selectors, and ``kind`` is the first list, from 1, that the node meets, else 0; nodes
     of a kind have a path, pictures and options. ``near`` is the closest node, itself included, of the selectors
-    ``closest``, or -1. Text of ``silent`` areas is no text of the page. Unless ``every``, only nodes of a kind are given."""
+    ``closest``, or -1. Text of ``silent`` areas is no text of the page. Unless ``every``, only nodes of a kind are given.
+    ``runs``, where asked for, are the stretches of text with the nodes that they stand in."""
 
     areas: tuple[tuple[str, tuple[selectors.Selector, ...]], ...] = ()
     kinds: tuple[tuple[selectors.Selector, ...], ...] = ()
     closest: tuple[selectors.Selector, ...] = ()
     silent: tuple[str, ...] = ()
     every: bool = False
+    runs: bool = False
 
     def matcher(self) -> selectors.Matcher:
         return selectors.Matcher((*(ways for _, ways in self.areas), *self.kinds, self.closest))
@@ -87,8 +90,8 @@ class Spec(NamedTuple):
         return F.getbit(node["areas"], F.lit([name for name, _ in self.areas].index(area))) == 1
 
 
-def spec(areas: dict[str, str] | None = None, kinds: tuple[str, ...] = (), closest: str = "", silent: tuple[str, ...] = (), every: bool = False) -> Spec:
-    return Spec(tuple((k, selectors.parse(v)) for k, v in (areas or {}).items()), tuple(map(selectors.parse, kinds)), selectors.parse(closest), silent, every)
+def spec(areas: dict[str, str] | None = None, kinds: tuple[str, ...] = (), closest: str = "", silent: tuple[str, ...] = (), every: bool = False, runs: bool = False) -> Spec:
+    return Spec(tuple((k, selectors.parse(v)) for k, v in (areas or {}).items()), tuple(map(selectors.parse, kinds)), selectors.parse(closest), silent, every, runs)
 
 
 def tokens(page: str):
@@ -140,6 +143,7 @@ class _Fold:
         self.matcher, self.kinds, self.known = matcher, (1 << len(what.kinds)) - 1, (1 << len(what.areas)) - 1
         self.what, self.nodes, self.counts, self.stack, self.pieces, self.size, self.title = what, [], [{}], [], [], 0, None
         self.opened: dict[str, int] = {}
+        self.runs: list[dict] = []
         self.quiet = sum(1 << i for i, (name, _) in enumerate(what.areas) if name in what.silent)
 
     def say(self, text: str) -> None:
@@ -147,6 +151,12 @@ class _Fold:
             self.pieces.append(text)
             self.size += len(text)
 
+    def run(self, text: str) -> None:
+        start = self.size
+        self.say(text)
+        if self.what.runs and self.size > start and not text.isspace():
+            self.runs.append({"node": self.stack[-1]["node"] if self.stack else -1, "start": start, "stop": self.size})
+
     def close(self, depth: int) -> None:
         """Closes what is open at the depth and above it."""
         while len(self.stack) > depth:
@@ -271,7 +281,7 @@ def fold(page: str, what: Spec, matcher: selectors.Matcher | None = None) -> dic
     f = _Fold(what, matcher or what.matcher())
     for kind, name, value in tokens(page):
         if kind == "text":
-            f.say(entities.unescape(value) if "&" in value else value)
+            f.run(entities.unescape(value) if "&" in value else value)
         elif kind == "raw":
             f.raw(name, value)
         elif kind == "end":
@@ -286,7 +296,7 @@ def fold(page: str, what: Spec, matcher: selectors.Matcher | None = None) -> dic
             n["selector"] = f.path(n) if n["kind"] else None
             n["options"] = [dict(zip(("value", "label", "selected"), o, strict=True)) for o in n["options"]] if n["tag"] == "select" else None
             nodes.append({k: list(n[k].items()) if k == "attributes" else n[k] for k in fields})
-    return {"title": f.title, "text": "".join(f.pieces), "nodes": nodes}
+    return {"title": f.title, "text": "".join(f.pieces), "runs": f.runs, "nodes": nodes}
 
 
 def parsed(page: Column, what: Spec) -> Column:

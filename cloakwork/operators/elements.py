@@ -79,6 +79,12 @@ def page_text(page: Column) -> Column:
     return plain(page["text"])
 
 
+def rows_of(parsed: DataFrame, array: Column, *keys: str) -> DataFrame:
+    """(keys, pos, x): a row for each item of an array. The outer form and a filter after it: of the plain one the optimizer
+    infers a filter on the array's size, for which the whole array would be made once more."""
+    return parsed.select(*keys, F.posexplode_outer(array).alias("pos", "x")).where("x is not null")
+
+
 def with_tree(pages: DataFrame, *keys: str) -> DataFrame:
     """(keys, page): the pages as trees."""
     return pages.select(*keys, tree.parsed(F.col("html"), PAGE).alias("page"))
@@ -121,7 +127,7 @@ COLUMNS = ("idx", "node", "tag", "text", "aria", "placeholder", "type", "id", "n
 
 def of_tree(parsed: DataFrame, *keys: str, most: int = ELEMENTS) -> DataFrame:
     """The elements of pages that are parsed already."""
-    return parsed.select(*keys, F.explode(element_array(F.col("page"), most)).alias("e")).select(*keys, *(F.col("e")[c].alias(c) for c in COLUMNS))
+    return rows_of(parsed, element_array(F.col("page"), most), *keys).select(*keys, *(F.col("x")[c].alias(c) for c in COLUMNS))
 
 
 def prompt_lines(found: DataFrame, *keys: str) -> DataFrame:
@@ -147,7 +153,7 @@ def code_groups(pages: DataFrame, *keys: str) -> DataFrame:
     areas = F.transform(F.filter("nodes", lambda a: meets(a, CODE_ROW)), lambda a: F.filter("nodes", lambda n: (n["tag"] == "input") & (n["node"] > a["node"]) & (n["node"] <= a["last"])))
     one = F.size("single").between(4, 8)
     groups = F.when(one, F.array("single")).otherwise(F.filter(F.when(F.exists("nodes", lambda n: CODES.within(n, "row")), areas).otherwise(F.array()), lambda g: F.size(g).between(4, 8)))
-    rows = rows.select(*keys, F.explode(F.transform(groups, lambda g: F.filter(g, usable))).alias("g")).where(F.size("g") > 0)
+    rows = rows_of(rows, F.transform(groups, lambda g: F.filter(g, usable)), *keys).select(*keys, F.col("x").alias("g")).where(F.size("g") > 0)
     return rows.select(*keys, F.size("g").alias("cells"), F.array_join(F.transform("g", shown), "").alias("code"))
 
 
