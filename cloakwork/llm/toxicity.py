@@ -1,11 +1,13 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine.
 
 A bounded sample of labelled rows gives the examples, and all their terms the vocabulary.
-Inverse document frequencies are counted over all documents; a term weighs the more, the
-more its counts differ between the labels (one and the chi-square statistic), and none is
-dropped. An inverted index over the examples, whose longest lists are columns of a matrix,
-gives every cosine of a query, so the neighbours are exact. Distance-weighted votes are
-calibrated by a logistic curve fitted to leave-one-out votes of the examples.
+Inverse document frequencies are counted over all documents. The examples stand in an order
+that puts like ones together, cut into blocks, and an inverted index over them knows the largest weight of each
+long list in each block. A query reads its short lists; these sums and its block's maxima bound every
+example's cosine. The examples of the largest bounds are scored first, then those whose bounds reach the k-th
+cosine; in the long lists the others are skipped, and the neighbours are exact. A neighbour votes with its cosine, of which each
+shared term's part counts the more, the more the term's counts differ between the labels (the chi-square
+statistic). Votes are calibrated by a logistic curve fitted to leave-one-out votes of the examples.
 
 Defined results: a text without any term of an example (null and empty ones too) gets the
 smoothed rate of such examples; ties in the cosine go to the smaller example id; equal
@@ -17,7 +19,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,11 @@ from cloakwork.llm import jobs, textops
 
 LABELLED_ROWS, STEM = 8_000, 6
 NEIGHBOURS = 25
-#: Of the index's matrix: the most columns, and the part of the examples that holds its terms.
-COLUMNS, LONG = 384, 64
-#: Above the error of a cosine of single precision.
-SINGLE = 1e-4
-#: Queries that are multiplied with the matrix at once.
-QUERIES = 256
-THRESHOLD, NEAR, PRIOR_MASS = 0.5, 0.1, 1.0
+#: Examples of a block of the index; at most so many long lists, of at least one example in LONG.
+BLOCK, COLUMNS, LONG = 32, 512, 64
+#: More than what rounding can take from a bound, and more than the error of a cosine of single precision.
+SLACK, SINGLE = 1e-6, 1e-4
+THRESHOLD, LEAST_PULL, PRIOR_MASS = 0.5, 1e-3, 1.0
 
 
 def terms_of(chunk: textops.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,8 +55,8 @@ def terms_of(chunk: textops.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def vocabulary(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all terms of the examples, in ascending order, and their weights by label:
-    one and the chi-square statistic."""
+    """Hashes of all terms of the examples, in ascending order, and how much each tells of the labels: the chi-square
+    statistic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,9 +72,9 @@ def vocabulary(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(terms)
     terms, a, n, total = terms[order], a[order].astype(float), n[order].astype(float), float(one + zero)
     if not one or not zero:
-        return terms, np.ones(len(terms))
+        return terms, np.ones(len(terms))  # One label alone: every term tells alike.
     gap = a * zero - (n - a) * one
-    return terms, 1 + gap * gap * total / (n * (total - n + 1) * one * zero)
+    return terms, gap * gap * total / (n * (total - n + 1) * one * zero)
 
 
 def document_counts(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
@@ -127,79 +126,99 @@ def ranges(starts: np.ndarray, ends: np.ndarray, value: np.ndarray) -> tuple[np.
     return np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n), np.repeat(value, n)
 
 
+def likeness(n: int, first: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int) -> np.ndarray:
+    """An order of the rows that puts rows of like terms together: by the second leading direction of their
+    vectors, found by a few steps of power iteration, within eighths of the first one."""
+    row = np.repeat(np.arange(n), np.diff(first))
+    found = []
+    for seed in (0, 1):
+        x = np.random.default_rng(seed).normal(size=n)
+        for _ in range(12):
+            x = np.bincount(row, weight * np.bincount(term, weight * x[row], n_terms)[term], n)
+            for other in found:
+                x -= other * (other @ x)
+            x /= np.linalg.norm(x) or 1.0
+        found.append(x)
+    eighth = np.argsort(np.argsort(found[0], kind="stable"), kind="stable") * 8 // max(n, 1)
+    return np.lexsort((found[1], eighth))
+
+
 @dataclass
 class Index:
-    """Inverted index over examples. The terms of the longest lists are held as a matrix, and
-    many queries are multiplied with it at once."""
+    """Inverted index over examples. Short lists are postings; long ones hold a weight for every example, by blocks of
+    BLOCK, with each block's maximum. Weights are of single precision, sums of double."""
 
-    ids: np.ndarray  # of the examples, in order
+    ids: np.ndarray  # of the examples
     labels: np.ndarray
+    telling: np.ndarray  # by term
     postings: np.ndarray  # examples by term
     weights: np.ndarray
-    first: np.ndarray  # where each term's list starts, and the end
-    column: np.ndarray  # of the matrix by term, or -1
-    matrix: np.ndarray  # [example, column]
+    first: np.ndarray  # where each term's short list starts, and the end
+    column: np.ndarray  # the number of a term's long list, or -1
+    lists: np.ndarray  # [list, block, example]
+    most: np.ndarray  # [block, list]
 
     @classmethod
-    def build(cls, ids, labels, first, term, weight, n_terms: int) -> Index:
-        n = len(ids)
-        order = np.argsort(ids, kind="stable")
+    def build(cls, ids, labels, first, term, weight, telling) -> Index:
+        n, n_terms = len(ids), len(telling)
+        order = likeness(n, first, term, weight, n_terms)
         place = np.empty(n, np.int32)
         place[order] = np.arange(n, dtype=np.int32)
         example = place[np.repeat(np.arange(n), np.diff(first))]
         by_term = np.lexsort((example, term))
-        t, e, w = term[by_term], example[by_term], weight[by_term]
+        t, e, w = term[by_term], example[by_term], weight[by_term].astype(np.float32)
         counts = np.bincount(t, minlength=n_terms)
         long = np.argsort(-counts, kind="stable")[:COLUMNS]
         long = long[counts[long] * LONG >= n]
         column = np.full(n_terms, -1)
         column[long] = np.arange(len(long))
         dense = column[t] >= 0
-        matrix = np.zeros((n, len(long)))
-        matrix[e[dense], column[t[dense]]] = w[dense]
+        lists = np.zeros((len(long), -(-n // BLOCK) * BLOCK), np.float32)
+        lists[column[t[dense]], e[dense]] = w[dense]
+        lists = lists.reshape(len(long), -1, BLOCK)
+        most = np.ascontiguousarray(lists.max(axis=2).T)
         t, e, w = t[~dense], e[~dense], w[~dense]
-        return cls(ids[order], labels[order].astype(float), e, w, np.searchsorted(t, np.arange(n_terms + 1)), column, matrix)
-
-    def common(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """[query, example]: what the matrix's terms give to the cosines, in single precision."""
-        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        return cls(ids[order], labels[order].astype(float), telling.astype(np.float32), e, w, np.searchsorted(t, np.arange(n_terms + 1)), column, lists, most)
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without=None, read: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k examples of the largest cosines above 0, those, and their telling parts; ``without``: an id. ``read``
+        is told how many weights of long lists were read, and how many there are."""
+        n, tell = len(self.ids), self.telling[term]
+        place, which = ranges(self.first[term], self.first[term + 1], np.arange(len(term)))
+        part, at = weight[which] * self.weights[place], self.postings[place]
+        short = np.bincount(at, part, n)
         own = self.column[term] >= 0
-        queries = np.zeros((len(first) - 1, self.matrix.shape[1]), np.float32)
-        queries[row[own], self.column[term[own]]] = weight[own]
-        return queries @ self.single.T
-
-    def commons(self, rows: np.ndarray, first: np.ndarray, term: np.ndarray, weight: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """The rows, which have terms, each with its part of ``common``."""
-        for at in range(0, len(rows), QUERIES):
-            own = rows[at : at + QUERIES]
-            cuts = np.append(first[own], first[own[-1] + 1])  # rows between have no terms
-            yield from zip(own.tolist(), self.common(cuts - cuts[0], term[cuts[0] : cuts[-1]], weight[cuts[0] : cuts[-1]]), strict=True)
-
-    @cached_property
-    def single(self) -> np.ndarray:
-        return self.matrix.astype(np.float32)
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "single"}
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without=None, common=None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosines above 0 and those; ``without``: an id. What
-        may be among the k by its score of single precision is scored in double."""
-        if common is None:
-            common = self.common(np.array([0, len(term)]), term, weight)[0]
-        place, pull = ranges(self.first[term], self.first[term + 1], weight)
-        scores = np.bincount(self.postings[place], pull * self.weights[place], len(self.ids))
-        rough = scores + common
+        column, q = self.column[term[own]], weight[own]
+        bound = short + np.repeat(self.most[:, column] @ q, BLOCK)[:n]
         if without is not None:
-            rough[self.ids == without] = 0
-        least = np.partition(rough, -k)[-k] if len(rough) > k else 0
-        read = np.flatnonzero((rough > 0) & (rough >= least - 2 * SINGLE))
-        column = self.column[term]
-        q, column = weight[column >= 0], column[column >= 0]
-        # A sum for each row alone, so that it doesn't depend on what else is read.
-        sims = scores[read] + (self.matrix[np.ix_(read, column)] * q).sum(1)
-        best = np.lexsort((self.ids[read], -np.round(sims, 12)))[:k]
-        return read[best], sims[best]
+            bound[self.ids == without] = 0
+        flat = self.lists.reshape(len(self.lists), self.lists.shape[1] * BLOCK)
+        # Lists are added up in their order, so an example's sum doesn't depend on what else is read.
+        exact = lambda rows, by: short[rows] + (flat[np.ix_(column, rows)] * by[:, None]).sum(0)
+        first = np.argpartition(bound, -min(2 * k, n))[-min(2 * k, n) :]
+        scores = np.zeros(n)
+        scores[first] = exact(first, q)
+        least = np.partition(scores[first], -k)[-k] if len(first) > k else 0
+        late = (bound > 0) & (bound >= least - SLACK)
+        late[first] = False
+        # Blocks without a late example are skipped; in the others a sum of single precision tells which are scored.
+        blocks = np.flatnonzero(np.logical_or.reduceat(late, np.arange(0, n, BLOCK)))
+        rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        rough = q.astype(np.float32) @ self.lists[np.ix_(column, blocks)].reshape(len(q), len(rows))
+        rough, rows = rough[rows < n], rows[rows < n]
+        late[rows] &= short[rows] + rough >= least - 2 * SINGLE
+        if read is not None:
+            read.append(((len(first) + len(rows)) * len(q), n * len(q)))
+        rows = np.flatnonzero(late)
+        scores[rows] = exact(rows, q)
+        if without is not None:
+            scores[self.ids == without] = 0
+        sims = np.round(scores, 12)
+        least = max(np.partition(sims, -k)[-k], 0) if n > k else 0
+        near = np.flatnonzero((sims > 0) & (sims >= least))
+        best = near[np.lexsort((self.ids[near], -sims[near]))[:k]]
+        told = np.bincount(at, part * tell[which], n)[best]
+        return best, scores[best], told + (flat[np.ix_(column, best)] * (q * tell[own])[:, None]).sum(0)
 
 
 @dataclass
@@ -212,13 +231,18 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
 
-    def vote(self, term, weight, without=None, common=None) -> tuple[float, np.ndarray, np.ndarray]:
-        at, sims = self.index.nearest(term, weight, NEIGHBOURS, without, common)
-        pull = 1 / (NEAR + 1 - np.minimum(sims, 1))
+    def vote(self, term, weight, without=None) -> tuple[float, np.ndarray, np.ndarray]:
+        """The share of label 1 in the votes of the neighbours, with PRIOR_MASS votes for the examples' rate."""
+        at, sims, telling = self.index.nearest(term, weight, NEIGHBOURS, without)
+        pull = telling + LEAST_PULL
         return float((pull @ self.index.labels[at] + PRIOR_MASS * self.base) / (pull.sum() + PRIOR_MASS)), at, sims
 
     def calibrated(self, vote: float) -> float:
-        return float(1 / (1 + np.exp(-(self.slope * np.log(vote / (1 - vote)) + self.shift))))
+        return float(_sigmoid(self.slope * np.log(vote / (1 - vote)) + self.shift))
+
+
+def _sigmoid(x):
+    return 0.5 * (1 + np.tanh(0.5 * x))
 
 
 def _rate(y: np.ndarray) -> float:
@@ -229,7 +253,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift by Newton's method, with a small penalty on the slope's distance to 1."""
     a, b = 1.0, 0.0
     for _ in range(50):
-        p = 1 / (1 + np.exp(-(a * x + b)))
+        p = _sigmoid(a * x + b)
         w = p * (1 - p)
         g = np.array([((p - y) * x).sum() + (a - 1), (p - y).sum() + 0.01 * b])
         h = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 0.01]])
@@ -243,9 +267,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = LABELLED_ROWS) -> Model:
     """At most ``bound`` examples' vectors over the vocabulary reach the driver."""
     examples = jobs.stored(jobs.with_labels(docs, jobs.labelled(labels, label, bound)).dropDuplicates(["doc_id"]))
-    terms, by_label = vocabulary(examples)
+    terms, telling = vocabulary(examples)
     counts, n = document_counts(docs, terms)
-    idf = (np.log((1 + n) / (1 + counts)) + 1e-6) * by_label
+    idf = np.log((1 + n) / (1 + counts)) + 1e-6
     held = docs.sparkSession.sparkContext.broadcast((terms, idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,11 +291,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = L
         return model
     term, weight = (pc.list_flatten(got.column(c)).to_numpy() for c in ("term", "weight"))
     ids = got.column("doc_id").to_numpy()
-    model.index = Index.build(ids, y, first, term, weight, len(terms))
+    model.index = Index.build(ids, y, first, term, weight, telling)
     full = np.flatnonzero(lengths)
-    votes = np.array([model.vote(term[first[i] : first[i + 1]], weight[first[i] : first[i + 1]], ids[i], common)[0] for i, common in model.index.commons(full, first, term, weight)])
+    votes = np.array([model.vote(term[first[i] : first[i + 1]], weight[first[i] : first[i + 1]], ids[i])[0] for i in full])
     model.slope, model.shift = _logistic(np.log(votes / (1 - votes)), y[full])
-    del model.index.single, got, term, weight
+    del got, term, weight
     pa.default_memory_pool().release_unused()
     return model
 
@@ -292,9 +316,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 scores, evidence = np.full(chunk.rows, m.bare), [[]] * chunk.rows
                 if m.index is not None:
                     first, term, weight = vectors(chunk, m.terms, m.idf)
-                    for i, common in m.index.commons(np.flatnonzero(np.diff(first)), first, term, weight):
+                    for i in np.flatnonzero(np.diff(first)).tolist():
                         own = slice(first[i], first[i + 1])
-                        vote, at, sims = m.vote(term[own], weight[own], common=common)
+                        vote, at, sims = m.vote(term[own], weight[own])
                         scores[i] = m.calibrated(vote)
                         evidence[i] = [{"doc_id": int(m.index.ids[a]), "cosine": float(s), "label": int(m.index.labels[a])} for a, s in zip(at[:EVIDENCE], sims[:EVIDENCE], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first_row, chunk.rows), pa.array(scores), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])

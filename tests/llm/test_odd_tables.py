@@ -1,11 +1,12 @@
 """Empty tables, nulls in any column, repeated rows and clashing columns; and accuracy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cloakwork.llm import decontamination, jobs, mixing, near_dedup, quality_classifier, quality_rules, queries, secret_scan, substring_dedup, token_counts, toxicity
+from cloakwork.llm import decontamination, jobs, mixing, near_dedup, quality_classifier, quality_rules, queries, secret_scan, substring_dedup, textops, token_counts, toxicity
 
 from .conftest import DATA, prose
 
@@ -94,11 +95,57 @@ def test_nearest_examples_are_exact():
     dense = rng.random((300, 40)) * (rng.random((300, 40)) < 0.2)
     dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
     row, term = np.nonzero(dense)
-    index = toxicity.Index.build(np.arange(300), rng.integers(0, 2, 300), np.searchsorted(row, np.arange(301)), term, dense[row, term], 40)
-    for q in dense[:60]:
+    telling = rng.random(40) * 9
+    index = toxicity.Index.build(np.arange(300), rng.integers(0, 2, 300), np.searchsorted(row, np.arange(301)), term, dense[row, term], telling)
+    for i, q in enumerate(dense[:60]):
         t = np.flatnonzero(q)
-        at, sims = index.nearest(t, q[t], 25)
-        assert np.allclose(sims, np.sort(dense @ q)[::-1][: len(sims)]) and len(at) == min(25, int((dense @ q > 0).sum()))
+        at, sims, told = index.nearest(t, q[t], 25)
+        assert np.allclose(sims, np.sort(dense @ q)[::-1][: len(sims)], atol=1e-6) and len(at) == min(25, int((dense @ q > 0).sum()))
+        assert np.allclose(told, [(dense[e] * q * telling).sum() for e in index.ids[at]], rtol=1e-5)
+        assert i not in index.ids[index.nearest(t, q[t], 25, without=i)[0]]
+
+
+def test_pruned_neighbours_on_real_texts_are_the_dense_ones(spark):
+    """All blocks against all examples' vectors, and fewer weights read than there are."""
+    jobs.prepare(spark)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    index, read = model.index, []
+    examples = {r["doc_id"]: r["text"] for r in docs.where(F.col("doc_id").isin(index.ids.tolist())).collect()}
+    matrix = np.zeros((len(index.ids), len(model.terms)), np.float32)
+    unit = lambda text: toxicity.vectors(next(iter(textops.chunks(pa.array([text or ""])))), model.terms, model.idf)
+    for e, doc_id in enumerate(index.ids.tolist()):
+        _, term, weight = unit(examples[doc_id])
+        matrix[e, term] = weight
+    for r in docs.orderBy("doc_id").limit(150).collect():
+        _, term, weight = unit(r["text"])
+        at, sims, _ = index.nearest(term, weight, 25, read=read)
+        want = matrix[:, term].astype(float) @ weight
+        order = np.lexsort((index.ids, -np.round(want, 12)))[:25]
+        assert np.allclose(sims, want[order][: len(sims)], atol=1e-9) and set(index.ids[at]) == {i for i, w in zip(index.ids[order], want[order], strict=True) if w > 1e-12}
+    assert 0 < sum(a for a, _ in read) < 0.95 * sum(b for _, b in read)
+
+
+def test_idf_votes_and_calibration_by_hand(spark):
+    jobs.prepare(spark)
+    texts = ["alpha beta", "alpha gamma", "beta beta delta", "delta", None, "gamma alpha"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None, int(i % 6 < 2)) for i in range(24)], LABELS)
+    model = toxicity.fit(docs, labels)
+    terms = {w: int(np.searchsorted(model.terms, h)) for w in ("alpha", "beta", "gamma", "delta") for h in toxicity.terms_of(next(iter(textops.chunks(pa.array([w])))))[1]}
+    df = {"alpha": 12, "beta": 8, "gamma": 8, "delta": 8}
+    assert all(np.isclose(model.idf[k], np.log(25 / (1 + df[w])) + 1e-6) for w, k in terms.items())
+    _, term, weight = toxicity.vectors(next(iter(textops.chunks(pa.array(["alpha beta"])))), model.terms, model.idf)
+    vote, at, sims = model.vote(term, weight)
+    pull = model.index.nearest(term, weight, toxicity.NEIGHBOURS)[2] + toxicity.LEAST_PULL
+    assert np.isclose(vote, ((pull * model.index.labels[at]).sum() + model.base) / (pull.sum() + 1)) and np.isclose(sims[0], 1, atol=1e-6)
+    assert np.isclose(model.calibrated(vote), 1 / (1 + np.exp(-(model.slope * np.log(vote / (1 - vote)) + model.shift))))
+    for x, y in ((rng := np.random.default_rng(4)).normal(size=200), None), (np.repeat([-30.0, 30.0], 50), np.repeat([0.0, 1.0], 50)):
+        y = (x + rng.normal(size=len(x)) > 0.3).astype(float) if y is None else y
+        with np.errstate(all="raise", under="ignore"):
+            a, b = toxicity._logistic(x, y)
+        loss = lambda a, b: (np.logaddexp(0, a * x + b) - y * (a * x + b)).sum() + (a - 1) ** 2 / 2 + 0.005 * b * b  # noqa: B023, E731
+        assert all(loss(a, b) <= loss(a + da, b + db) + 1e-9 for da in (-0.01, 0.01) for db in (-0.01, 0.01))
 
 
 def test_pipeline_stages(spark):
