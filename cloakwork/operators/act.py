@@ -77,6 +77,13 @@ def vault_field(d: Spark, descriptor: str, type_: str) -> str:
     return f"case when {type_} in ('radio', 'checkbox') then null {' '.join(tests)} end"
 
 
+def custom_pair(d: Spark, pairs: str, descriptor: str) -> str:
+    """The first of a prompt's pairs ('key=value') whose key, without marks, is in a field's descriptor; null if none is."""
+    bare = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9]', ''{'' if type(d) is Spark else ', ' + chr(39) + 'g' + chr(39)})"
+    key = bare("split_part(p, '=', 1)")
+    return d.at(d.filter(pairs, "p", f"length({key}) >= 2 and contains({bare(descriptor)}, {key})"), 0)
+
+
 def audit_value(x: str) -> str:
     """What an audit shows of a filled value."""
     return f"concat(substr({x}, 1, 4), '••••')"

@@ -116,8 +116,8 @@ def navigation(d: Spark, x: str) -> str:
       when {d.match(raw, '^[a-zA-Z0-9_-]{3,24}$')} and not {d.match(raw, NOT_BRAND)} then {raw} else null end"""
 
 
-def pairs(d: Spark, x: str) -> str:
-    """Keys and values given in a prompt as 'key=value' strings, by key; of equal keys the last holds."""
+def pairs(d: Spark, x: str, by_key: bool = True) -> str:
+    """Keys and values given in a prompt as 'key=value' strings, by key or as they stand; of equal keys the last holds."""
     keys, vals = d.extract_all(x, PAIR, 1), d.extract_all(x, PAIR, 2)
     key = lambda k: d.sub(f"lower({trim(d, k)})", r"^(?:and|with|set|fill|the)\s+")
     ks, vs = d.transform(keys, "k", key("k")), d.transform(vals, "v", trim(d, "v"))
@@ -126,9 +126,11 @@ def pairs(d: Spark, x: str) -> str:
     kept = d.filter(zipped, "p", f"{k} <> '' and {v} <> '' and {k} not in ('a', 'an', 'the', 'my', 'auto', 'in') and length({k}) < 30")
     if type(d) is Spark:
         last = f"filter({kept}, (p, i) -> not exists(slice({kept}, i + 2, size({kept})), q -> q['0'] = p['0']))"
-        return f"array_sort({d.transform(last, 'p', f'concat({k}, chr(61), {v})')})"
+        found = d.transform(last, "p", f"concat({k}, chr(61), {v})")
+        return f"array_sort({found})" if by_key else found
     last = f"list_filter({kept}, lambda p, i: len(list_filter(({kept})[i + 1:], lambda q: q[1] = p[1])) = 0)"
-    return f"list_sort({d.transform(last, 'p', f'concat({k}, chr(61), {v})')})"
+    found = d.transform(last, "p", f"concat({k}, chr(61), {v})")
+    return f"list_sort({found})" if by_key else found
 
 
 def pair_map(x):

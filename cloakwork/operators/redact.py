@@ -92,6 +92,18 @@ def scaled_box(e: Column, image: Column, view_width: Column, ratio: Column) -> C
     )
 
 
+# What an image model's channels are centred and scaled by.
+CHANNEL_MEANS, CHANNEL_SCALES = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def channels(pixels: Column) -> Column:
+    """An image's bytes (red, green, blue and opacity of one pixel after the other) as normalized values, one
+    whole channel after the other."""
+    count = (F.size(pixels) / 4).cast("int")
+    at = lambda c: F.transform(F.sequence(F.lit(0), count - 1), lambda i: (F.get(pixels, i * 4 + c) / 255.0 - CHANNEL_MEANS[c]) / CHANNEL_SCALES[c])
+    return F.when(count > 0, F.concat(at(0), at(1), at(2))).otherwise(F.array().cast("array<double>"))
+
+
 AREA = "struct<x:double,y:double,w:double,h:double,face:boolean,high:boolean>"
 
 

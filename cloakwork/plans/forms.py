@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions import checks
 from cloakwork.functions.dialect import Duck, Spark
-from cloakwork.operators import act
+from cloakwork.operators import act, goals
 from cloakwork.operators import elements as el
 from cloakwork.plans import duck, trees
 from cloakwork.sources import forms
@@ -15,21 +15,12 @@ from cloakwork.sources import forms
 KEYS = ("src", "page_id")
 #: Terms, goals and options asked for, dealt to the pages by their numbers.
 TERMS = ("click on Track parcel", "three here", "parcel on its way", "None", "find in", "go to cart", "Proceed to checkout button", "open the wish list", "orders of my page", "see details", "pro model 12", "nothing like it", "", "city", "my cart here", "More offers and details")
-ASKS = (
-    ("go back please", None, ""), ("open irctc", "irctc", ""), ("auto fill my details", None, ""), ("scroll to top", None, ""), ("press ESC now", None, ""), ("show my orders", None, ""), ("search for blue ring", None, "blue ring"),
-    ("click the Model 12 Pro card", None, ""), ("select city", None, ""), ("tap More offers", None, ""), ("dance", None, ""), ("press enter", None, ""), ("next page", None, ""), ("wish list", None, ""),
-)
+ASKS = ("go back please", "open irctc", "auto fill my details", "scroll to top", "press ESC now", "show my orders", "search for blue ring", "click the Model 12 Pro card", "select city", "tap More offers", "dance", "press enter", "next page", "wish list", "find the notes in here", "visit news.site.com")
 OPTIONS = ("pune", "DEL", " new ", "Town", "nowhere")
 #: More elements than a page has.
 EVERY = 1 << 30
 
 
-def _dealt(spark: SparkSession, sf_dir: str, rows: tuple, *names: str) -> DataFrame:
-    """(src, page_id, names): one of the rows for each page."""
-    cells = F.array(*(F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(names, r, strict=True))) for r in rows))
-    return forms.all_pages(spark, sf_dir).select(*KEYS, F.get(cells, F.pmod("page_id", F.lit(len(rows))).cast("int")).alias("x")).select(*KEYS, "x.*")
-
-
 def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return el.elements(forms.all_pages(spark, sf_dir), *KEYS)
 
@@ -136,13 +127,19 @@ OPTION_SQL = f"""with recursive {ELEMENT_CTES.replace('where idx < 60', '')},
     select src, page_id, idx, cast(o as int) as "option", value from fits where r = 1"""
 
 
+def _understood(d: Spark) -> tuple[str, str]:
+    """Where a goal navigates, and what it searches for."""
+    return f"{goals.navigation(d, 'goal')} as nav", f"{goals.query_ts(d, 'goal')} as query"
+
+
 def plan_client(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return el.plan_client(_dealt(spark, sf_dir, ASKS, "goal", "nav", "query"), _elements(spark, sf_dir), "nav", "query", *KEYS)
+    asked = _asked(spark, sf_dir, ASKS, "goal").selectExpr(*KEYS, "goal", *_understood(Spark()))
+    return el.plan_client(asked, _elements(spark, sf_dir), "nav", "query", *KEYS)
 
 
 _HAS = lambda p: f"regexp_matches(goal, {duck.q('(?i)' + p)})"
 CLIENT_SQL = f"""with recursive {ELEMENT_CTES},
-    asked as (select src, page_id, {_cases(ASKS)} as goal, {_cases(ASKS, 1)} as nav, {_cases(ASKS, 2)} as query from source),
+    asked as (select src, page_id, goal, {', '.join(_understood(Duck()))} from (select src, page_id, {_cases(ASKS)} as goal from source) s),
     w1 as (select *, list_filter(string_split_regex(lower({duck.trim(f"regexp_replace(goal, {duck.q('(?i)' + el.PLAN_WORDS)}, ' ', 'g')")}), '\\s+'), lambda w: length(w) >= 2 and w not in ('for', 'and', 'with', 'this', 'that')) as ws from asked),
     j as (select w1.*, e.idx, e.tag, e.id, e.name, e.placeholder, e.text || ' ' || e.aria || ' ' || e.id as label, lower(e.text || ' ' || e.aria || ' ' || e.id || ' ' || e.name) as combined from w1 left join el e using (src, page_id)),
     s as (select *, contains(lower(goal), 'order') and regexp_matches(label, '(?i){el.ORDERS}') as is_order, regexp_matches(lower(goal), 'search|type|find') and tag = 'input' and regexp_matches(id || ' ' || name || ' ' || placeholder, '(?i)search|input|query|text|q') as is_search,

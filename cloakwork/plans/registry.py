@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cloakwork.plans import agent, attributes, boxes, detection, forms, goals, pages, places, streams
+from cloakwork.plans import acting, agent, attributes, boxes, detection, forms, goals, pages, places, streams
 
-PARTS = (detection, goals, pages, forms, places, attributes, agent, boxes, streams)
+PARTS = (detection, goals, pages, forms, places, attributes, agent, acting, boxes, streams)
 QUERIES: dict = {k: f for part in PARTS for k, f in part.QUERIES.items()}
 SQL: dict[str, str] = {k: s for part in PARTS for k, s in part.SQL.items()}
