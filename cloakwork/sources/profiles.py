@@ -24,6 +24,8 @@ def pages_sql(customers: str = "customer") -> str:
         f"'<span class=\"passport\">J1' || {digits(1, 10)} || ' ' || {digits(4, 10000)} || '7</span><span class=\"cc-number\">' || {forms._card('k')} || '</span><span id=\"card_num\">1234</span>'",
         f"'<span class=\"aadhaar-val\">' || case when k % 2 = 0 then '4321 8765 2109' else '4321 8765 2108' end || '</span><span class=\"company\">ABCDE ' || {digits(4, 10000)} || ' F</span><s id=\"val-password\">••••••</s><span class=\"password\">secret' || {k} || '</span>'",
         f"'<p style=\"border-left:2px\">Annual CTC is ' || {k} || ' LPA</p><p style=\"border-left: red\">civil suit of ' || {k} || '</p><p style=\"border-left: red\">litigation pending</p>'",
+        f"'<div class=\"credit-card\"><div><p>Valid <b>08/3' || cast(k % 10 as string) || '</b></p></div><i>12/31</i></div><section class=Dossier><p>Salary of ' || {k} || ' lakh <b>per year</b></p><p>FIR no. <i>' || {k} || '</i> <b>of Pune</b></p></section>'",
+        f"'<div id=email-box class=\"wide\"><span>mail</span> <i>box' || {k} || '@shop.example.com</i></div><div class=badge><span id=val-email>badge@example.com</span></div><form role=search><div class=address>9 Search Road</div></form><div hidden><b id=val-email>hidden@example.com</b></div><div class=aadhaar><b>4321 8765 2109</b></div>'",
     )
     return f"select k as page_id, '<html><body>' || {' || '.join(parts)} || '<footer><span id=\"email\">foot@example.com</span></footer></body></html>' as html from (select c_custkey as k from {customers}) c"
 
