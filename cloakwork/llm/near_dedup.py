@@ -18,7 +18,9 @@ at least 75%; the result is the connected components of the links.
    passage that many documents share. Members of which more than a quarter of the shingles
    is in no other such list can't be linked with a member and leave; what then still is
    longer than LIST becomes a star of candidates, without comparison.
-5. The components of the candidates are verified on the full sets, again in tasks that skip
+5. A component too large for one task is first taken apart: of each set the rarest of its shingles are posted, and
+   members that share none of these can't be linked. A template's copies with texts of their own fall apart so.
+6. The components of the candidates are verified on the full sets, again in tasks that skip
    what is joined. One of at most GROUP members and GROUP_SHINGLES shingles is one task's
    work. A larger one is cut into blocks: neighbouring blocks are joined first, which makes
    a component of most members; then the members outside of the largest component are held
@@ -56,6 +58,8 @@ LIST = 1024
 GROUP, GROUP_SHINGLES = 2048, 1 << 22
 #: Bits of the filter by which the second scan skips documents that are in no list.
 FILTER_BITS = 1 << 25
+#: Buckets of the counts of shingles in components too large for one task.
+SET_TABLE = 1 << 22
 
 _FACTORS = textops.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64), 77) | np.uint64(1)
 
@@ -137,14 +141,22 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "bytes": [x.tobytes() for x in np.split(total, SLICES)]})
 
 
-def _levels(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(TABLE // SLICES, np.int64)
+def _bit_lengths(key: tuple, batches: Iterator[pa.RecordBatch], table: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(table // SLICES, np.int64)
     for batch in batches:
         for x in batch.column("bytes"):
             total += np.frombuffer(x.as_py(), np.uint32)
     yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "bytes": [np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()]})
 
 
+def _levels(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _bit_lengths(key, batches, TABLE)
+
+
+def _set_levels(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _bit_lengths(key, batches, SET_TABLE)
+
+
 def _gathered(slices: DataFrame, size: int) -> np.ndarray:
     """The slices of a table of fixed size, one after the other."""
     out = np.zeros((SLICES, size // SLICES), np.uint8)
@@ -452,10 +464,66 @@ def _by_key(rows: DataFrame, run, *columns: str) -> DataFrame:
     return rows.select("key", "node", *columns, "set").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
+def _set_tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SET_TABLE, np.uint32)
+    for batch in batches:
+        for x in batch.column(0):
+            at, n = np.unique(np.frombuffer(x.as_py(), np.uint64) % np.uint64(SET_TABLE), return_counts=True)
+            total[at.astype(np.int64)] += n.astype(np.uint32)
+    if total.any():
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "bytes": [x.tobytes() for x in np.split(total, SLICES)]})
+
+
+def _prefixes(held) -> Callable:
+    """The rarest shingles of each set, so many that sets which can be linked share one of them: of the smaller set, or of
+    both of equal sizes, among those marked ``few``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = held.value
+        for batch in batches:
+            kept, few, sizes = [], [], []
+            for x in batch.column("set"):
+                h = np.frombuffer(x.as_py(), np.uint64)
+                # A link shares at least PERCENT of the shingles of either set, and of the smaller one the part that it must
+                # share with a set of its own size.
+                most = len(h) + (-PERCENT * len(h)) // 100 + 1
+                own = len(h) + (-2 * PERCENT * len(h)) // (100 + PERCENT) + 1
+                kept.append(h[np.lexsort((h, level[h % np.uint64(SET_TABLE)]))[:most]])
+                few.append(np.arange(len(kept[-1])) < own)
+                sizes.append(len(h))
+            if kept:
+                row = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
+                columns = [batch.column(c).take(pa.array(row)) for c in ("node", "component")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64)), *columns, pa.array(np.array(sizes, np.int64)[row]), pa.array(np.concatenate(few))], ["h", "node", "component", "n", "few"])
+
+    return run
+
+
+def refined(sets: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The components of the candidates, of which those too large for one task are taken apart: members stay together only
+    by a shingle among the rarest of both, without which they can't be linked. What shares no more than
+    frequent shingles, such as a template's, falls apart, whatever its number."""
+    size = found.join(nodes.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    large = jobs.stored(found.join(size.where((F.col("members") > GROUP) | (F.col("shingles") > GROUP_SHINGLES)).select("component"), "component"))
+    if large.isEmpty():
+        jobs.drop(large)
+        return found
+    own, kind = sets.join(large, "node"), "slice int, bytes binary"
+    held = sets.sparkSession.sparkContext.broadcast(_gathered(own.select("set").mapInArrow(_set_tally, kind).groupBy("slice").applyInArrow(_set_levels, kind), SET_TABLE))
+    posted = jobs.stored(own.select("set", "node", "component").mapInArrow(_prefixes(held), "h long, node long, component long, n long, few boolean"))
+    least = posted.where("few").groupBy("component", "h").agg(F.min(F.struct("n", "node")).alias("s"))
+    met = posted.join(least, ["component", "h"]).where("node <> s.node and (few or n > s.n)")
+    stars = jobs.stored(met.select(F.col("node").alias("u"), F.col("s.node").alias("v")).distinct())
+    whole = found.join(large.select("component").distinct(), "component", "left_anti")
+    out = jobs.stored(whole.unionByName(components(stars)))
+    jobs.drop(large, posted, stars)
+    return out
+
+
 def verified(sets: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component) by the links on full sets, within the components (node, component) of
     the candidates."""
-    found = found.join(nodes.select("node", "n"), "node")
+    found = refined(sets, found, nodes).join(nodes.select("node", "n"), "node")
     size = found.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     whole = (F.col("members") <= GROUP) & (F.col("shingles") <= GROUP_SHINGLES)
     blocks = F.greatest(F.ceil(F.col("members") / (GROUP // 2)), F.ceil(F.col("shingles") / (GROUP_SHINGLES // 2))).cast("int")

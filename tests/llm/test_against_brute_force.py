@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cloakwork.llm import chat_format, decontamination, mixing, near_dedup, queries, quality_rules, secret_scan, substring_dedup, textops, token_counts
+from cloakwork.llm import chat_format, decontamination, jobs, mixing, near_dedup, queries, quality_rules, secret_scan, substring_dedup, textops, token_counts
 
 from .conftest import DATA, odd_rows, prose
 
@@ -355,6 +355,22 @@ def test_near_dedup_by_blocks(spark, monkeypatch, edits, bounds):
     assert got == set(duck(documents=table).sql(queries.SQL["op10_near_dedup"]).fetchall())
 
 
+def test_a_template_takes_no_sets_to_other_blocks(spark, monkeypatch):
+    """Texts of 104 shared and 30 own words are linked with nothing; candidates by the shared ones, they are not verified."""
+    for name, value in (("LIST", 16), ("GROUP", 32)):
+        monkeypatch.setattr(near_dedup, name, value)
+    shared, rng = prose(50, 104), np.random.default_rng(5)
+    rows = [(i, " ".join([*shared, *(f"o{i}w{k}" for k in range(30))])) for i in range(90)] + [(100 + i, " ".join([*shared, *(f"o{i}w{k}" for k in range(30 - i % 3))])) for i in range(3)]
+    docs = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string")
+    nodes = near_dedup.classes(jobs.stored(near_dedup.signatures(docs)))
+    found = near_dedup.components(near_dedup.candidate_edges(docs, nodes))
+    assert found.groupBy("component").count().agg({"count": "max"}).first()[0] > 32
+    sets = jobs.stored(near_dedup.sets_of(docs, found.select("node").join(nodes, "node").select("node", "id", "n", "d1", "d2")))
+    assert near_dedup.refined(sets, found, nodes).count() == 4
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {**{i: i for i in range(90)}, **{100 + i: i for i in range(3)}}
+
+
 def test_one_row_of_each_component_stays(spark):
     """Whatever their ids; rows of empty sets all stay."""
     a, b = " ".join(prose(30, 40)), " ".join(prose(31, 40))
