@@ -32,6 +32,8 @@ LABELLED_ROWS, STEM = 8_000, 6
 NEIGHBOURS = 25
 #: Examples of a block of the index; at most so many long lists, of at least one example in LONG.
 BLOCK, COLUMNS, LONG = 32, 512, 64
+#: Queries whose long lists are read together.
+QUERIES = 64
 #: More than what rounding can take from a bound, and more than the error of a cosine of single precision.
 SLACK, SINGLE = 1e-6, 1e-4
 THRESHOLD, LEAST_PULL, PRIOR_MASS = 0.5, 1e-3, 1.0
@@ -156,7 +158,8 @@ class Index:
     first: np.ndarray  # where each term's short list starts, and the end
     column: np.ndarray  # the number of a term's long list, or -1
     lists: np.ndarray  # [list, block, example]
-    most: np.ndarray  # [block, list]
+    most: np.ndarray  # [list, block]
+    norms: np.ndarray  # of the examples' parts in long lists
 
     @classmethod
     def build(cls, ids, labels, first, term, weight, telling) -> Index:
@@ -176,49 +179,81 @@ class Index:
         lists = np.zeros((len(long), -(-n // BLOCK) * BLOCK), np.float32)
         lists[column[t[dense]], e[dense]] = w[dense]
         lists = lists.reshape(len(long), -1, BLOCK)
-        most = np.ascontiguousarray(lists.max(axis=2).T)
+        most = lists.max(axis=2)
         t, e, w = t[~dense], e[~dense], w[~dense]
-        return cls(ids[order], labels[order].astype(float), telling.astype(np.float32), e, w, np.searchsorted(t, np.arange(n_terms + 1)), column, lists, most)
+        return cls(ids[order], labels[order].astype(float), telling.astype(np.float32), e, w, np.searchsorted(t, np.arange(n_terms + 1)), column, lists, most, np.sqrt(np.bincount(example[column[term] >= 0], weight[column[term] >= 0] ** 2, n)))
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without=None, read: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The k examples of the largest cosines above 0, those, and their telling parts; ``without``: an id. ``read``
-        is told how many weights of long lists were read, and how many there are."""
-        n, tell = len(self.ids), self.telling[term]
-        place, which = ranges(self.first[term], self.first[term + 1], np.arange(len(term)))
-        part, at = weight[which] * self.weights[place], self.postings[place]
-        short = np.bincount(at, part, n)
-        own = self.column[term] >= 0
-        column, q = self.column[term[own]], weight[own]
-        bound = short + np.repeat(self.most[:, column] @ q, BLOCK)[:n]
+        """The k examples of the largest cosines above 0, those, and their telling parts; ``without``: an id."""
+        return next(iter(self.nearest_all([(term, weight, without)], k, read)))
+
+    def nearest_all(self, queries: list[tuple], k: int, read: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same of many queries (term, weight, without), QUERIES at a time: of the long lists the blocks that some query
+        of these needs are read, in one product. ``read`` is told how many weights were read, and how many there are."""
+        n, flat = len(self.ids), self.lists.reshape(len(self.lists), self.lists.shape[1] * BLOCK)
+        for at in range(0, len(queries), QUERIES):
+            asked = [_Query(self, flat, k, *q) for q in queries[at : at + QUERIES]]
+            needed = np.flatnonzero(np.logical_or.reduceat(np.logical_or.reduce([a.late for a in asked]), np.arange(0, n, BLOCK)))
+            rows = (needed[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            rows = rows[rows < n]
+            full = np.zeros((len(asked), len(self.lists)), np.float32)
+            for i, a in enumerate(asked):
+                full[i, a.column] = a.q
+            common = full @ (self.lists[:, needed].reshape(len(self.lists), len(needed) * BLOCK)[:, : len(rows)] if len(needed) < self.lists.shape[1] else flat[:, :n])
+            for a, own in zip(asked, common, strict=True):
+                if read is not None:
+                    read.append((int(a.late.sum() + len(a.first)) * len(a.q), n * len(a.q)))
+                yield a.best(rows, own)
+
+
+class _Query:
+    """One query: bounds of all examples by its short lists and the maxima of its long ones, and the first examples."""
+
+    def __init__(self, index: Index, flat: np.ndarray, k: int, term: np.ndarray, weight: np.ndarray, without) -> None:
+        self.index, self.flat, self.k, self.without = index, flat, k, without
+        n = len(index.ids)
+        self.tell = index.telling[term]
+        place, self.which = ranges(index.first[term], index.first[term + 1], np.arange(len(term)))
+        self.part, self.at = weight[self.which] * index.weights[place], index.postings[place]
+        self.short = np.bincount(self.at, self.part, n)
+        self.own = index.column[term] >= 0
+        self.column, self.q = index.column[term[self.own]], weight[self.own]
+        # The maxima bound a block; within it, no example's part exceeds the product of the lengths.
+        bound = self.short + np.minimum(np.repeat(self.q @ index.most[self.column], BLOCK)[:n], np.sqrt(self.q @ self.q) * index.norms)
         if without is not None:
-            bound[self.ids == without] = 0
-        flat = self.lists.reshape(len(self.lists), self.lists.shape[1] * BLOCK)
-        # Lists are added up in their order, so an example's sum doesn't depend on what else is read.
-        exact = lambda rows, by: short[rows] + (flat[np.ix_(column, rows)] * by[:, None]).sum(0)
-        first = np.argpartition(bound, -min(2 * k, n))[-min(2 * k, n) :]
-        scores = np.zeros(n)
-        scores[first] = exact(first, q)
-        least = np.partition(scores[first], -k)[-k] if len(first) > k else 0
-        late = (bound > 0) & (bound >= least - SLACK)
-        late[first] = False
-        # Blocks without a late example are skipped; in the others a sum of single precision tells which are scored.
-        blocks = np.flatnonzero(np.logical_or.reduceat(late, np.arange(0, n, BLOCK)))
-        rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        rough = q.astype(np.float32) @ self.lists[np.ix_(column, blocks)].reshape(len(q), len(rows))
-        rough, rows = rough[rows < n], rows[rows < n]
-        late[rows] &= short[rows] + rough >= least - 2 * SINGLE
-        if read is not None:
-            read.append(((len(first) + len(rows)) * len(q), n * len(q)))
-        rows = np.flatnonzero(late)
-        scores[rows] = exact(rows, q)
-        if without is not None:
-            scores[self.ids == without] = 0
+            bound[index.ids == without] = 0
+        self.first = np.argpartition(bound, -min(k, n))[-min(k, n) :]
+        self.known = self.short[self.first] + self.exact(self.first, self.q)
+        self.least = max(self.known.min(), 0) if n > k else 0
+        self.late = (bound > 0) & (bound >= self.least - SLACK)
+        self.late[self.first] = False
+
+    def exact(self, rows: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """What long lists give to the rows. They are added up in their order, so an example's sum doesn't depend on
+        what else is read."""
+        return (self.flat[np.ix_(self.column, rows)] * by[:, None]).sum(0)
+
+    def best(self, rows: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k examples, given the sums of single precision of the rows' long lists, which tell what can be among them."""
+        index, k = self.index, self.k
+        own = np.flatnonzero(self.late[rows])
+        rows, rough = rows[own], self.short[rows[own]] + common[own]
+        least = max(self.least, np.partition(rough, -k)[-k] - SINGLE) if len(rough) > k else self.least
+        rows = rows[(rough > 0) & (rough >= least - SINGLE)]
+        rows, scores = np.concatenate([self.first, rows]), np.concatenate([self.known, self.short[rows] + self.exact(rows, self.q)])
+        if self.without is not None:
+            scores[index.ids[rows] == self.without] = 0
         sims = np.round(scores, 12)
-        least = max(np.partition(sims, -k)[-k], 0) if n > k else 0
-        near = np.flatnonzero((sims > 0) & (sims >= least))
-        best = near[np.lexsort((self.ids[near], -sims[near]))[:k]]
-        told = np.bincount(at, part * tell[which], n)[best]
-        return best, scores[best], told + (flat[np.ix_(column, best)] * (q * tell[own])[:, None]).sum(0)
+        near = np.flatnonzero(sims > 0)
+        near = near[np.lexsort((index.ids[rows[near]], -sims[near]))[:k]]
+        best = rows[near]
+        # The same sums with terms as telling as they are, of the k alone.
+        number = np.zeros(len(index.ids), np.int16)
+        number[best] = np.arange(1, len(best) + 1)
+        number = number[self.at]
+        mine = np.flatnonzero(number)
+        told = np.bincount(number[mine], self.part[mine] * self.tell[self.which[mine]], len(best) + 1)[1:]
+        return best, scores[near], told + self.exact(best, self.q * self.tell[self.own])
 
 
 @dataclass
@@ -232,10 +267,14 @@ class Model:
     shift: float = 0.0
 
     def vote(self, term, weight, without=None) -> tuple[float, np.ndarray, np.ndarray]:
-        """The share of label 1 in the votes of the neighbours, with PRIOR_MASS votes for the examples' rate."""
-        at, sims, telling = self.index.nearest(term, weight, NEIGHBOURS, without)
-        pull = telling + LEAST_PULL
-        return float((pull @ self.index.labels[at] + PRIOR_MASS * self.base) / (pull.sum() + PRIOR_MASS)), at, sims
+        return next(iter(self.votes([(term, weight, without)])))
+
+    def votes(self, queries: list[tuple]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """For each query (term, weight, without) the share of label 1 in the votes of the neighbours, with PRIOR_MASS votes for
+        the examples' rate, and the neighbours with their cosines."""
+        for at, sims, telling in self.index.nearest_all(queries, NEIGHBOURS):
+            pull = telling + LEAST_PULL
+            yield float((pull @ self.index.labels[at] + PRIOR_MASS * self.base) / (pull.sum() + PRIOR_MASS)), at, sims
 
     def calibrated(self, vote: float) -> float:
         return float(_sigmoid(self.slope * np.log(vote / (1 - vote)) + self.shift))
@@ -293,7 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = L
     ids = got.column("doc_id").to_numpy()
     model.index = Index.build(ids, y, first, term, weight, telling)
     full = np.flatnonzero(lengths)
-    votes = np.array([model.vote(term[first[i] : first[i + 1]], weight[first[i] : first[i + 1]], ids[i])[0] for i in full])
+    votes = np.array([vote for vote, _, _ in model.votes([(term[first[i] : first[i + 1]], weight[first[i] : first[i + 1]], ids[i]) for i in full])])
     model.slope, model.shift = _logistic(np.log(votes / (1 - votes)), y[full])
     del got, term, weight
     pa.default_memory_pool().release_unused()
@@ -316,9 +355,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 scores, evidence = np.full(chunk.rows, m.bare), [[]] * chunk.rows
                 if m.index is not None:
                     first, term, weight = vectors(chunk, m.terms, m.idf)
-                    for i in np.flatnonzero(np.diff(first)).tolist():
-                        own = slice(first[i], first[i + 1])
-                        vote, at, sims = m.vote(term[own], weight[own])
+                    full = np.flatnonzero(np.diff(first)).tolist()
+                    asked = [(term[first[i] : first[i + 1]], weight[first[i] : first[i + 1]], None) for i in full]
+                    for i, (vote, at, sims) in zip(full, m.votes(asked), strict=True):
                         scores[i] = m.calibrated(vote)
                         evidence[i] = [{"doc_id": int(m.index.ids[a]), "cosine": float(s), "label": int(m.index.labels[a])} for a, s in zip(at[:EVIDENCE], sims[:EVIDENCE], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first_row, chunk.rows), pa.array(scores), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
