@@ -85,7 +85,7 @@ def test_the_rest_needs_no_llm_subpackage():
                 assert "cloakwork.llm" not in f.read()
 
 
-@pytest.mark.parametrize("name", ["page_elements", "otp_groups", "leaf_scan", "smart_lookup", "select_option", "plan_client", "plan_payloads", "parse_replies", "plan_requests", "voice_transcripts", "screen_boxes", "mission_log", "page_route", "kv_map", "product_rank"])
+@pytest.mark.parametrize("name", ["decompose_goal", "goal_routes", "entity_places", "structural_cards", "search_fields", "media_candidates", "page_plans", "page_safety", "page_autofill", "image_channels", "agent_loop", "utterances", "page_elements", "otp_groups", "leaf_scan", "smart_lookup", "select_option", "plan_client", "plan_payloads", "parse_replies", "plan_requests", "voice_transcripts", "screen_boxes", "mission_log", "page_route", "kv_map", "product_rank"])
 def test_page_and_agent_queries_equal_sql(spark, duck, name):
     test_query_equals_sql(spark, duck, name)
 
