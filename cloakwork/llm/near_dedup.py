@@ -41,6 +41,7 @@ the least text hash, and all rows of empty sets; extra columns are ignored by
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,7 +60,7 @@ GROUP, GROUP_SHINGLES = 2048, 1 << 22
 #: Bits of the filter by which the second scan skips documents that are in no list.
 FILTER_BITS = 1 << 25
 #: Buckets of the counts of shingles in components too large for one task.
-SET_TABLE = 1 << 22
+SET_TABLE = 1 << 21
 
 _FACTORS = textops.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64), 77) | np.uint64(1)
 
@@ -141,11 +142,11 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "bytes": [x.tobytes() for x in np.split(total, SLICES)]})
 
 
-def _bit_lengths(key: tuple, batches: Iterator[pa.RecordBatch], table: int) -> Iterator[pa.RecordBatch]:
+def _bit_lengths(key: tuple, batches: Iterator[pa.RecordBatch], table: int, read=lambda x: x) -> Iterator[pa.RecordBatch]:
     total = np.zeros(table // SLICES, np.int64)
     for batch in batches:
         for x in batch.column("bytes"):
-            total += np.frombuffer(x.as_py(), np.uint32)
+            total += np.frombuffer(read(x.as_py()), np.uint32)
     yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "bytes": [np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()]})
 
 
@@ -154,7 +155,7 @@ def _levels(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def _set_levels(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _bit_lengths(key, batches, SET_TABLE)
+    return _bit_lengths(key, batches, SET_TABLE, zlib.decompress)
 
 
 def _gathered(slices: DataFrame, size: int) -> np.ndarray:
@@ -470,8 +471,9 @@ def _set_tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batch.column(0):
             at, n = np.unique(np.frombuffer(x.as_py(), np.uint64) % np.uint64(SET_TABLE), return_counts=True)
             total[at.astype(np.int64)] += n.astype(np.uint32)
-    if total.any():
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "bytes": [x.tobytes() for x in np.split(total, SLICES)]})
+    # A task meets few of the buckets: what it sends is as long as these, not as the table.
+    parts = [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(np.split(total, SLICES)) if x.any()]
+    yield pa.RecordBatch.from_pydict({"slice": pa.array([i for i, _ in parts], pa.int32()), "bytes": pa.array([x for _, x in parts], pa.binary())})
 
 
 def _prefixes(held) -> Callable:
