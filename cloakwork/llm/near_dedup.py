@@ -18,7 +18,7 @@ at least 75%; the result is the connected components of the links.
    passage that many documents share. Members of which more than a quarter of the shingles
    is in no other such list can't be linked with a member and leave; what then still is
    longer than LIST becomes a star of candidates, without comparison.
-5. A component too large for one task is first taken apart: of each set the rarest of its shingles are posted, and
+5. A component of very many members is first taken apart: of each set the rarest of its shingles are posted, and
    members that share none of these can't be linked. A template's copies with texts of their own fall apart so.
 6. The components of the candidates are verified on the full sets, again in tasks that skip
    what is joined. One of at most GROUP members and GROUP_SHINGLES shingles is one task's
@@ -46,7 +46,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakwork.llm import jobs, substring_dedup, textops
@@ -59,7 +59,9 @@ LIST = 1024
 GROUP, GROUP_SHINGLES = 2048, 1 << 22
 #: Bits of the filter by which the second scan skips documents that are in no list.
 FILTER_BITS = 1 << 25
-#: Buckets of the counts of shingles in components too large for one task.
+#: A component of more blocks is taken apart first; what crossing these costs grows with their square.
+CROSSED = 8
+#: Buckets of the counts of shingles in such components.
 SET_TABLE = 1 << 21
 
 _FACTORS = textops.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64), 77) | np.uint64(1)
@@ -501,15 +503,17 @@ def _prefixes(held) -> Callable:
     return run
 
 
+def _blocks() -> Column:
+    """The blocks of a component of so many members and shingles."""
+    return F.greatest(F.ceil(F.col("members") / (GROUP // 2)), F.ceil(F.col("shingles") / (GROUP_SHINGLES // 2))).cast("int")
+
+
 def refined(sets: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The components of the candidates, of which those too large for one task are taken apart: members stay together only
+    """The components of the candidates, of which those of more than CROSSED blocks are taken apart: members stay together only
     by a shingle among the rarest of both, without which they can't be linked. What shares no more than
     frequent shingles, such as a template's, falls apart, whatever its number."""
     size = found.join(nodes.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    large = jobs.stored(found.join(size.where((F.col("members") > GROUP) | (F.col("shingles") > GROUP_SHINGLES)).select("component"), "component"))
-    if large.isEmpty():
-        jobs.drop(large)
-        return found
+    large = jobs.stored(found.join(size.where(_blocks() > CROSSED).select("component"), "component"))
     own, kind = sets.join(large, "node"), "slice int, bytes binary"
     held = sets.sparkSession.sparkContext.broadcast(_gathered(own.select("set").mapInArrow(_set_tally, kind).groupBy("slice").applyInArrow(_set_levels, kind), SET_TABLE))
     posted = jobs.stored(own.select("set", "node", "component").mapInArrow(_prefixes(held), "h long, node long, component long, n long, few boolean"))
@@ -522,15 +526,17 @@ def refined(sets: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
-def verified(sets: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+def verified(sets: DataFrame, candidates: DataFrame, nodes: DataFrame, apart: bool = False) -> DataFrame:
     """(node, component) by the links on full sets, within the components (node, component) of
     the candidates."""
-    found = refined(sets, found, nodes).join(nodes.select("node", "n"), "node")
+    found = candidates.join(nodes.select("node", "n"), "node")
     size = found.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     whole = (F.col("members") <= GROUP) & (F.col("shingles") <= GROUP_SHINGLES)
-    blocks = F.greatest(F.ceil(F.col("members") / (GROUP // 2)), F.ceil(F.col("shingles") / (GROUP_SHINGLES // 2))).cast("int")
-    rows = found.drop("n").join(size.select("component", whole.alias("whole"), blocks.alias("blocks")), "component")
+    rows = found.drop("n").join(size.select("component", whole.alias("whole"), _blocks().alias("blocks")), "component")
     rows = jobs.stored(rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    if not apart and not rows.where(F.col("blocks") > CROSSED).isEmpty():
+        jobs.drop(rows)
+        return verified(sets, refined(sets, candidates, nodes), nodes, apart=True)
     links = jobs.stored(_by_key(rows.where("whole").select("node", F.col("component").alias("key")).join(sets, "node"), _verify))
     large = rows.where("NOT whole")
     if large.isEmpty():

@@ -344,10 +344,10 @@ def near_copies(n, edits):
     return out
 
 
-@pytest.mark.parametrize(("edits", "bounds"), [(2, (4, 8, 40)), (3, (4, 8, 40))])
+@pytest.mark.parametrize(("edits", "bounds"), [(2, (4, 8, 40, 1)), (3, (4, 8, 40, 1)), (3, (4, 8, 1 << 22, 1 << 20))])
 def test_near_dedup_by_blocks(spark, monkeypatch, edits, bounds):
     """Long lists, stars and components of many blocks, in groups around the threshold."""
-    for name, value in zip(("LIST", "GROUP", "GROUP_SHINGLES"), bounds, strict=True):
+    for name, value in zip(("LIST", "GROUP", "GROUP_SHINGLES", "CROSSED"), bounds, strict=True):
         monkeypatch.setattr(near_dedup, name, value)
     rows = near_copies(70, edits)
     table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]})
@@ -357,7 +357,7 @@ def test_near_dedup_by_blocks(spark, monkeypatch, edits, bounds):
 
 def test_a_template_takes_no_sets_to_other_blocks(spark, monkeypatch):
     """Texts of 104 shared and 30 own words are linked with nothing; candidates by the shared ones, they are not verified."""
-    for name, value in (("LIST", 16), ("GROUP", 32)):
+    for name, value in (("LIST", 16), ("GROUP", 32), ("CROSSED", 1)):
         monkeypatch.setattr(near_dedup, name, value)
     shared, rng = prose(50, 104), np.random.default_rng(5)
     rows = [(i, " ".join([*shared, *(f"o{i}w{k}" for k in range(30))])) for i in range(90)] + [(100 + i, " ".join([*shared, *(f"o{i}w{k}" for k in range(30 - i % 3))])) for i in range(3)]
