@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakwork.sources import forms
+from cloakwork.sources import forms, tables
 
 
 def pages_sql(customers: str = "customer") -> str:
@@ -31,5 +31,5 @@ def pages_sql(customers: str = "customer") -> str:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("cloakwork_customer")
+    tables.dealt(spark, sf_dir, "customer", "c_custkey").createOrReplaceTempView("cloakwork_customer")
     return spark.sql(pages_sql("cloakwork_customer"))

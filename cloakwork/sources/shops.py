@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakwork.sources import tables
+
 
 def pages_sql(parts: str = "part") -> str:
     """SQL for (page_id, html)."""
@@ -21,8 +23,8 @@ def pages_sql(parts: str = "part") -> str:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, page_id, html): the derived pages and the given ones."""
-    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("cloakwork_shop_part")
-    given = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit("pages").alias("src"), "page_id", "html")
+    tables.dealt(spark, sf_dir, "part", "p_partkey", "p_name").createOrReplaceTempView("cloakwork_shop_part")
+    given = tables.dealt(spark, sf_dir, "pages", "page_id", "html").select(F.lit("pages").alias("src"), "page_id", "html")
     return spark.sql(pages_sql("cloakwork_shop_part")).select(F.lit("shops").alias("src"), "page_id", "html").unionByName(given)
 
 
