@@ -166,3 +166,23 @@ def test_what_would_leave_by_another_way_blocks(spark):
     ]
     got = {r["page_id"]: r["blocked"] for r in agent.payloads(spark.createDataFrame(pages, "page_id int, html string"), "page_id").collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0, 7: 0}
+
+
+def test_tags_are_read_once_and_nodes_are_few_at_a_time(monkeypatch):
+    """Each different tag is read once for all pages of a batch, within a bound, and shared attributes stay apart from their nodes' places."""
+    read = []
+    monkeypatch.setattr(tree, "attributes_of", lambda text, own=tree.attributes_of: read.append(text) or own(text))
+    what = tree.spec({"area": ".in"}, ("a, div",), every=True)
+    matcher = what.matcher()
+    page = "<div class=in><a href=/x>1</a><a href=/x>2</a></div><a href=/x>3</a>"
+    first, second = tree.fold(page, what, matcher), tree.fold(page, what, matcher)
+    assert first == second and sorted(read) == [" class=in", " href=/x"]
+    assert [(n["nth"], n["areas"], n["selector"]) for n in first["nodes"]] == [(1, 1, "div.in"), (1, 1, "div.in > a:nth-of-type(1)"), (2, 1, "div.in > a:nth-of-type(2)"), (1, 0, "a")]
+    monkeypatch.setattr(tree, "TAGS", 1)
+    assert tree.fold(page, what) == first
+
+
+def test_pages_of_several_portions_keep_their_order(spark):
+    rows = spark.range(3 * tree.PAGES + 1).selectExpr("id", "concat('<title>', id, '</title><a>', id) as html").coalesce(1)
+    got = rows.select("id", tree.parsed(F.col("html"), tree.spec(kinds=("a",))).alias("p")).selectExpr("count(*) n", "count_if(p.title = string(id) and size(p.nodes) = 1 and p.text = string(id)) m").first()
+    assert tuple(got) == (3 * tree.PAGES + 1,) * 2
