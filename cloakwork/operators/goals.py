@@ -125,8 +125,8 @@ def pairs(d: Spark, x: str, by_key: bool = True) -> str:
     k, v = ("p['0']", "p['1']") if type(d) is Spark else ("p[1]", "p[2]")
     kept = d.filter(zipped, "p", f"{k} <> '' and {v} <> '' and {k} not in ('a', 'an', 'the', 'my', 'auto', 'in') and length({k}) < 30")
     if type(d) is Spark:
-        last = f"filter({kept}, (p, i) -> not exists(slice({kept}, i + 2, size({kept})), q -> q['0'] = p['0']))"
-        found = d.transform(last, "p", f"concat({k}, chr(61), {v})")
+        last = "filter(ps, (p, i) -> not exists(slice(ps, i + 2, size(ps)), q -> q['0'] = p['0']))"
+        found = d.let("ps", kept, d.transform(last, "p", f"concat({k}, chr(61), {v})"))
         return f"array_sort({found})" if by_key else found
     last = f"list_filter({kept}, lambda p, i: len(list_filter(({kept})[i + 1:], lambda q: q[1] = p[1])) = 0)"
     found = d.transform(last, "p", f"concat({k}, chr(61), {v})")

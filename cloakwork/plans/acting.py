@@ -105,10 +105,13 @@ def page_autofill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is filled in on each page: the prompt's own pairs first, then the vault; of a select the option that is
     the value or shares its text."""
     d = Spark()
-    rows = _found(spark, sf_dir).where("tag in ('input', 'textarea', 'select') and type not in ('radio', 'checkbox')")
-    rows = rows.select(*KEYS, "idx", "tag", "type", "options", F.expr(_DESCRIPTOR).alias("descriptor"), _dealt("prompt", PROMPTS)).withColumn("pairs", F.expr(g.pairs(d, "prompt", by_key=False)))
-    rows = rows.withColumns({"pair": F.expr(act.custom_pair(d, "pairs", "descriptor")), "field": F.expr(act.vault_field(d, "descriptor", "type"))})
-    rows = rows.selectExpr(*KEYS, "idx", "tag", "options", *_filled(d)).where("value is not null")
+    # A prompt's pairs are read once for its page.
+    pages = forms.all_pages(spark, sf_dir).select(*KEYS, "html", _dealt("prompt", PROMPTS)).withColumn("pairs", F.expr(g.pairs(d, "prompt", by_key=False)))
+    rows = elements.elements(pages, *KEYS, "pairs").where("tag in ('input', 'textarea', 'select') and type not in ('radio', 'checkbox')")
+    rows = rows.select(*KEYS, "idx", "tag", "type", "options", "pairs", F.expr(_DESCRIPTOR).alias("descriptor"))
+    # Nested lets keep each name's patterns from being copied into all uses of it; the filter on the value reads a generated row.
+    filled = d.let("pair", act.custom_pair(d, "pairs", "descriptor"), d.let("field", act.vault_field(d, "descriptor", "type"), f"struct({', '.join(_filled(d))})"))
+    rows = rows.select(*KEYS, "idx", "tag", "options", F.posexplode_outer(F.array(F.expr(filled))).alias("at", "f")).select(*KEYS, "idx", "tag", "options", "f.field", "f.value").where("value is not null")
     low = F.lower("value")
     fits = F.transform("options", lambda o: (F.lower(o["value"]) == low) | F.contains(F.lower(o["label"]), low) | F.contains(low, F.lower(o["label"])))
     rows = rows.withColumn("option", F.when(F.col("tag") == "select", F.array_position(fits, F.lit(True)).cast("int") - 1)).where("tag <> 'select' or option >= 0")

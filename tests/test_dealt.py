@@ -23,3 +23,13 @@ def test_one_file_is_the_work_of_all_tasks(spark, source):
 def test_customers_are_dealt_before_their_texts_are_made(spark):
     plan = synthetic.people(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aadhaar") < plan.rindex("RepartitionByExpression")
+
+
+def test_pairs_and_fields_are_computed_once(spark):
+    from cloakwork.functions.dialect import Spark
+    from cloakwork.operators import act, goals
+    from cloakwork.plans import acting
+
+    assert goals.pairs(Spark(), "x").count("regexp_extract_all") == 2
+    plan = acting.page_autofill(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 2 * len(act.VAULT)
