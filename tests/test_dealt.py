@@ -33,3 +33,12 @@ def test_pairs_and_fields_are_computed_once(spark):
     assert goals.pairs(Spark(), "x").count("regexp_extract_all") == 2
     plan = acting.page_autofill(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") <= 2 * len(act.VAULT)
+
+
+def test_patterns_made_at_run_time_are_spared_where_the_word_is_not(spark):
+    from cloakwork.functions.dialect import Spark
+
+    test = Spark().word_in("w", "t")
+    assert test.index("contains") < test.index("rlike")
+    rows = spark.createDataFrame([("zoom", "join ZOOM now"), ("zoom", "zoomed"), ("a.b", "see A.B!"), ("a.b", "see axb"), ("K9", "my k9 here"), ("x", None)], "w string, t string")
+    assert [r[0] for r in rows.selectExpr(test).collect()] == [True, False, True, False, True, None]
