@@ -6,6 +6,8 @@ stays a single stage without a shuffle, and texts never leave their row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +45,20 @@ def valid(rule: Rule, v: Column) -> Column:
 ANY_GUARD = "[0-9@]|(?i:address)|sk-|ghp_|AIza|eyJ"
 
 
+def spared(rule: Rule, text: Column, found: Column) -> Column:
+    """The rule's values where its guard and words let it match, else none."""
+    may = text.rlike(rule.guard)
+    if rule.words:
+        low = F.lower(text)
+        may = may & reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in rule.words])
+    return F.when(may, found).otherwise(F.array().cast("array<string>"))
+
+
 def matches(rule: Rule, text: Column) -> Column:
     """The rule's valid values, in the order of the text; repeats included."""
     found = F.transform(js.extract_all(text, rule.pattern.replace(r"(?<!\d[-\s]?)", r"(?<!\d)(?<!\d[-\s])"), rule.group, rule.ignore_case), js.trim)
     found = F.filter(found, lambda v: (F.length(v) >= 2) & valid(rule, v))
-    return F.when(text.rlike(rule.guard), found).otherwise(F.array().cast("array<string>")) if rule.guard != "[0-9@]" else found
+    return spared(rule, text, found)
 
 
 def finding(rule: Rule, source: str):
@@ -66,7 +77,7 @@ def rulebook(text: Column) -> Column:
 def contextual_matches(rule: Rule, text: Column) -> Column:
     found = F.transform(js.extract_all(text, rule.pattern, 1, True), lambda v: F.regexp_replace(js.trim(v), F.lit(f"^[:#\\-—{js.SPACES}]+|[:#\\-—{js.SPACES}]+$"), F.lit("")))
     keep = lambda v: (F.length(v) >= 3) & ~checks.stop_word(v) & (v.rlike("[0-9]") if rule.needs_digit else F.lit(True))
-    return F.filter(found, keep)
+    return spared(rule, text, F.filter(found, keep))
 
 
 def contextual(text: Column) -> Column:
@@ -78,9 +89,8 @@ def contextual(text: Column) -> Column:
 
 
 def first_of(found: Column, key) -> Column:
-    """Of findings with one key the first; the key is computed once for each."""
-    keys = F.transform(found, key)
-    pairs = F.transform(F.arrays_zip(found.alias("f"), keys.alias("k")), lambda p: F.struct(p["f"].alias("f"), p["k"].alias("k")))
+    """Of findings with one key the first; the findings and each one's key are computed once."""
+    pairs = F.transform(found, lambda f: F.struct(f.alias("f"), key(f).alias("k")))
     kept = F.aggregate(
         pairs,
         F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast(f"array<{FINDING}>").alias("out")),
