@@ -66,7 +66,12 @@ PLANS_SQL = f"""with recursive {trees.ELEMENT_CTES}, asked as (select src, page_
     select src, page_id, {', '.join(_plan(Duck()))} from facts"""
 
 
-_HIT = "(target_index = idx or (target_index < 0 and target_text <> '' and (contains(lower(concat(text, ' ', aria, ' ', id, ' ', name)), lower(trim(target_text))) or (text <> '' and contains(lower(trim(target_text)), lower(text))))))"
+def _hit(e: str = "") -> str:
+    """Does the action mean an element; ``e`` names a struct of it."""
+    return f"(target_index = {e}idx or (target_index < 0 and target_text <> '' and (contains(lower(concat({e}text, ' ', {e}aria, ' ', {e}id, ' ', {e}name)), lower(trim(target_text))) or ({e}text <> '' and contains(lower(trim(target_text)), lower({e}text))))))"
+
+
+_HIT = _hit()
 
 
 def _verdict(d: Spark) -> tuple[str, ...]:
@@ -80,10 +85,10 @@ _ACTION = {n: tuple(row[i] for row in pages.ACTIONS) for i, n in ((1, "action"),
 
 def page_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each page's action needs a confirmation, by the element of the page that it means."""
-    actions = forms.all_pages(spark, sf_dir).select(*KEYS, *(_dealt(n, rows) for n, rows in _ACTION.items()))
-    asked = _found(spark, sf_dir).select(*KEYS, "idx", "text", "aria", "id", "name", "is_sensitive", *(_dealt(n, _ACTION[n]) for n in ("target_index", "target_text"))).where(_HIT)
-    first = asked.groupBy(*KEYS).agg(F.min(F.struct("idx", "text", "aria", "id", "name", "is_sensitive")).alias("e"))
-    return actions.join(first, list(KEYS), "left").select(*actions.columns, "e.*").selectExpr(*KEYS, *_verdict(Spark()))
+    # The page's elements stay in its row: its action is asked over their array, in their order.
+    rows = elements.with_tree(forms.all_pages(spark, sf_dir), *KEYS).select(*KEYS, elements.element_array(F.col("page")).alias("found"), *(_dealt(n, values) for n, values in _ACTION.items()))
+    rows = rows.withColumn("e", F.get(F.expr(f"filter(found, e -> {_hit('e.')})"), F.lit(0)))
+    return rows.select(*KEYS, *_ACTION, *(F.col("e")[n].alias(n) for n in ("idx", "text", "aria", "id", "name", "is_sensitive"))).selectExpr(*KEYS, *_verdict(Spark()))
 
 
 SAFETY_SQL = f"""with recursive {trees.ELEMENT_CTES}, actions as (select src, page_id, {', '.join(f"{_cases(rows) if n != 'target_index' else 'cast(' + _cases(rows) + ' as int)'} as {n}" for n, rows in _ACTION.items())} from source),
