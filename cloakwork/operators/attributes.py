@@ -88,7 +88,7 @@ def _place(names: Column, text: Column) -> tuple[Column, Column]:
 CARDS, DOSSIERS = ".credit-card, .payment-cards", "[class*='dossier' i], [class*='unstructured' i]"
 WORDS = sorted({w.strip("^$") for d in DETECTORS for w in ("ingress-line" if "glow" in x else x for x in (d.ids + "|" + d.classes).split("|")) if w and "(" not in w and "\\" not in w})
 NAMED = ", ".join(f"[{a}*='{w}' i]" for a in ("id", "class") for w in WORDS) + ", [style*='border-left']"
-PAGE = tree.spec({"footer": FOOTER, "unshown": UNSHOWN, "titles": TITLES, "cards": CARDS, "dossiers": DOSSIERS, "search": "form[role='search'], [role='search'], [role='searchbox']"}, (NAMED, CARDS + ", " + DOSSIERS), silent=("footer", "unshown"), every=True)
+PAGE = tree.spec({"footer": FOOTER, "unshown": UNSHOWN, "titles": TITLES, "cards": CARDS, "dossiers": DOSSIERS, "search": "form[role='search'], [role='search'], [role='searchbox']"}, (NAMED, CARDS + ", " + DOSSIERS), silent=("footer", "unshown"), around=("cards", "dossiers"), paths=False)
 DOSSIER_CHILDREN, PLACE_CHILDREN = 1, 2
 
 
