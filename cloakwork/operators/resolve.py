@@ -19,17 +19,16 @@ LOCATION_TAIL = r"\b(?:update|change|select)\s+location\b[^\n\r]*$"
 
 def canonical_key(category: Column, value: Column) -> Column:
     """The key under which forms of one value meet."""
-    v = js.trim(value)
+    return js.once(js.trim(value), lambda v: _key(category, value, v))
+
+
+def _key(category: Column, value: Column, v: Column) -> Column:
     lower, upper, number = F.lower(v), F.upper(v), js.digits(v)
     spaced = js.replace(lower, r"\s+", " ")
     core = F.when((F.length(number) == 12) & number.startswith("91"), F.substring(number, 3, 10))
     core = core.when((F.length(number) == 11) & number.rlike("^[01]"), F.substring(number, 2, 10)).otherwise(number)
     phone = F.when(F.length(core) >= 10, F.right(core, F.lit(10))).when(core != "", core).otherwise(v)
     place = js.trim(js.replace(js.replace(lower, DELIVERY_PREFIX), LOCATION_TAIL))
-    pin = js.extract(place, r"\b([1-9][0-9]{5})\b", 1)
-    letters = F.substring(F.regexp_replace(place, F.lit("[^a-z]"), F.lit("")), 1, 15)
-    address = F.when(pin != "", F.concat(F.lit("addr_in_"), F.coalesce(js.some(letters), F.lit("pin")), F.lit("_"), pin))
-    address = address.otherwise(F.concat(F.lit("addr_"), F.substring(F.regexp_replace(place, F.lit("[^a-z0-9]"), F.lit("")), 1, 35)))
     key = F.when(F.coalesce(value, F.lit("")) == "", F.concat(category, F.lit("_empty")))
     for name, k in (
         ("EMAIL", F.concat(F.lit("email_"), lower)),
@@ -40,7 +39,7 @@ def canonical_key(category: Column, value: Column) -> Column:
         ("CARD_EXPIRY", F.concat(F.lit("exp_"), F.lower(js.replace(v, r"[\s\/\-]")))),
         ("CVV", F.concat(F.lit("cvv_"), number)),
         ("OTP", F.concat(F.lit("otp_"), number)),
-        ("ADDRESS", address),
+        ("ADDRESS", js.once(place, _address)),
         ("UPI", F.concat(F.lit("upi_"), lower)),
         ("PASSPORT", F.concat(F.lit("passport_"), js.replace(upper, r"\s+"))),
         ("BANK_ACCOUNT", F.concat(F.lit("bank_"), F.upper(F.regexp_replace(v, F.lit("[^a-zA-Z0-9]"), F.lit(""))))),
@@ -50,6 +49,13 @@ def canonical_key(category: Column, value: Column) -> Column:
     return key.otherwise(F.concat(F.lower(category), F.lit("_"), spaced))
 
 
+def _address(place: Column) -> Column:
+    pin = js.extract(place, r"\b([1-9][0-9]{5})\b", 1)
+    letters = F.substring(F.regexp_replace(place, F.lit("[^a-z]"), F.lit("")), 1, 15)
+    address = F.when(pin != "", F.concat(F.lit("addr_in_"), F.coalesce(js.some(letters), F.lit("pin")), F.lit("_"), pin))
+    return address.otherwise(F.concat(F.lit("addr_"), F.substring(F.regexp_replace(place, F.lit("[^a-z0-9]"), F.lit("")), 1, 35)))
+
+
 def strip_suffix(value: Column) -> Column:
     return js.trim(js.replace(value, LOCATION_SUFFIX, ignore_case=True))
 
