@@ -27,8 +27,11 @@ def maskable(entities: Column) -> Column:
 
 
 def redact(text: Column, ordered: Column) -> Column:
-    """Replaces every value, in any case, one entity after the other."""
-    return F.aggregate(ordered, text, lambda t, e: F.regexp_replace(t, F.concat(F.lit("(?i)"), js.literal(e["value"])), js.literal(e["mask"])))
+    """Replaces every value, in any case, one entity after the other. A pattern made at run time is compiled for each row and value, so
+    values without letters, which have one case, are replaced as they are."""
+    pattern = lambda e: F.concat(F.lit("(?i)"), js.literal(e["value"]))
+    step = lambda t, e: F.when(e["value"].rlike("[A-Za-z]"), F.regexp_replace(t, pattern(e), js.literal(e["mask"]))).otherwise(F.replace(t, e["value"], e["mask"]))
+    return F.aggregate(ordered, text, step)
 
 
 def gate(text: Column, entities: Column, mode: str | Column = BALANCED) -> Column:

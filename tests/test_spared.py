@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cloakwork.functions import js
-from cloakwork.operators import detect
+from cloakwork.operators import detect, redact
 from cloakwork.operators.rules import CONTEXTUAL_RULES, RULES
 
 #: A text for each way of the rules' words, in odd cases.
@@ -38,3 +38,17 @@ def test_trim_takes_white_space_of_all_scripts_without_a_pattern(spark):
     rows = spark.range(len(texts)).orderBy("id").select(js.trim(F.get(F.array(*map(F.lit, texts)), F.col("id").cast("int"))))
     assert [r[0] for r in rows.collect()] == ["a b", "", "", None, texts[-1]]
     assert "regexp" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_text_is_made_small_once_for_all_rules(spark):
+    rows = spark.range(1).select(F.concat(F.lit("CTC is 45 LPA "), "id").alias("text"))
+    for rules in (detect.contextual, detect.rulebook):
+        plan = rows.select(rules(F.col("text")).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lower(text") == 1, rules
+
+
+def test_values_without_letters_need_no_pattern_of_their_own(spark):
+    entities = "array(struct('4111-1111' as value, '[CARD_1]' as mask), struct('a.b$' as value, '$1' as mask), struct('(9) 8*' as value, '\\\\x' as mask), struct('éé9' as value, 'e' as mask))"
+    row = spark.sql(f"select '4111-1111, A.B$ axb$ (9) 8* éé9 ÉÉ9 4111-1111' as t, {entities} as es")
+    assert row.select(redact.redact(F.col("t"), F.col("es"))).first()[0] == "[CARD_1], $1 axb$ \\x e ÉÉ9 [CARD_1]"
+    assert row.select(redact.redact(F.lit(None).cast("string"), F.col("es"))).first()[0] is None
