@@ -52,3 +52,11 @@ def test_values_without_letters_need_no_pattern_of_their_own(spark):
     row = spark.sql(f"select '4111-1111, A.B$ axb$ (9) 8* éé9 ÉÉ9 4111-1111' as t, {entities} as es")
     assert row.select(redact.redact(F.col("t"), F.col("es"))).first()[0] == "[CARD_1], $1 axb$ \\x e ÉÉ9 [CARD_1]"
     assert row.select(redact.redact(F.lit(None).cast("string"), F.col("es"))).first()[0] is None
+
+
+def test_boundaries_know_ascii_words_by_the_class_of_their_own(spark):
+    assert "A-Z" not in js.BOUNDARY
+    texts = [("a1", True), ("éa1é", True), ("_a1", False), ("a1_", False), ("Za1", False), ("a19", False), ("-a1-", True), ("ſa1", True)]
+    rows = spark.createDataFrame([(t,) for t, _ in texts], "t string")
+    for ignore_case in (False, True):
+        assert [r[0] for r in rows.coalesce(1).select(js.matches(F.col("t"), r"(?:)\ba1\b", ignore_case)).collect()] == [w for _, w in texts]
