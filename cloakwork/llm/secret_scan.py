@@ -6,11 +6,17 @@ or capitals and small letters other than a first capital; others look like words
 each candidate whole, with the characters around it: one-hot character classes, a convolution,
 the maxima of its filters before, in and after the candidate, and a logistic unit; a candidate
 longer than WITHIN is read in overlapping pieces, whose maxima are taken together. It is
-trained in numpy on generated candidates and a bounded sample of the corpus's, labelled by
-the rules' findings, whose own key words give way to other contexts in half of the sample, so that it learns the look of a
-secret too, as what it can add has no key word before it. On held-out candidates the scores are calibrated by a logistic curve, and the
+trained on all different candidates of the table, labelled by the rules' findings, and on generated ones. Key words give way to other
+contexts in half of them, so that it learns the look of a secret too, as what it can add has no key word before it.
+A quarter of all is held out; on these the scores are calibrated by a logistic curve, and the
 threshold is the highest that still finds RECALL of the labelled ones: one for candidates
 with a key word in the BEFORE characters before them, and one for others.
+
+Training: the driver begins with the generated candidates. The table's are dealt by hash to shards of about SHARD_ROWS, whose
+number grows with them. In each of ROUNDS rounds the tasks take every shard through the network
+that the round began with, a step for every STEP_ROWS of its rows and some generated ones, and the next round begins with the mean of
+the shards' networks. Only sums of weights and of the calibration reach the driver. Shards, their order and sums are
+the same however Spark splits the table.
 Candidates that touch no rule's finding and reach it are added as kind ``model``.
 
 Defined results: a null or empty text has no findings; equal rows get equal results; extra
@@ -21,8 +27,8 @@ if need be on the generated candidates alone.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +43,12 @@ KINDS = ("assign", "access", "hex", "model")
 
 LEAST, BEFORE, WITHIN, AFTER = 8, 24, 64, 8
 WIDTH, FILTERS = 5, 16
-#: A small sample is passed over more often, for at least STEPS steps.
-LABELLED_ROWS, GENERATED, EPOCHS, STEPS, STEP_ROWS = 4_000, 1_500, 6, 400, 64
+GENERATED, EPOCHS, STEPS = 1_500, 6, 384
+ROUNDS, SHARD_ROWS, STEP_ROWS, STEP_GENERATED = 3, 16_384, 128, 32
+#: The generated candidates weigh as much as the table's do by number in their class, but at least this share.
+GENERATED_SHARE = 0.25
+#: Sums over shards are of integers, so that their order is no matter.
+UNIT = 2.0**32
 RECALL = 0.95
 
 HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
@@ -107,30 +117,40 @@ def encode(chunk: textops.Chunk, found: textops.Words) -> tuple[np.ndarray, np.n
     padded = np.concatenate([np.zeros(BEFORE, np.uint8), CLASS[chunk.data] | np.where(CAPITAL[chunk.data], 64, 0).astype(np.uint8), np.zeros(LENGTH, np.uint8)])
     pieces = 1 + -(-np.maximum(found.ends - found.starts - WITHIN, 0) // (WITHIN - WIDTH + 1))
     first = np.cumsum(pieces) - pieces
-    out = np.zeros((int(pieces.sum()), LENGTH), np.uint8)
-    for at, k, s, e, r in zip(first.tolist(), pieces.tolist(), found.starts.tolist(), found.ends.tolist(), found.row.tolist(), strict=True):
-        b, a = min(BEFORE, s - chunk.offsets[r]), min(AFTER, chunk.offsets[r + 1] - e)
-        out[at : at + k, BEFORE - b : BEFORE] = padded[BEFORE + s - b : BEFORE + s]
-        out[at : at + k, BEFORE + WITHIN : BEFORE + WITHIN + a] = padded[BEFORE + e : BEFORE + e + a]
-        for i in range(k):
-            begin = min(s + i * (WITHIN - WIDTH + 1), max(e - WITHIN, s))
-            n = min(e - begin, WITHIN)
-            out[at + i, BEFORE : BEFORE + n] = padded[BEFORE + begin : BEFORE + begin + n]
+    own = np.repeat(np.arange(len(pieces)), pieces)
+    s, e, row = found.starts[own], found.ends[own], found.row[own]
+    begin = np.minimum(s + (np.arange(len(own)) - first[own]) * (WITHIN - WIDTH + 1), np.maximum(e - WITHIN, s))
+    out = np.zeros((len(own), LENGTH), np.uint8)
+    for at, width, start, least, most in (
+        (0, BEFORE, s - BEFORE, np.maximum(BEFORE - s + chunk.offsets[row], 0), np.full(len(own), BEFORE)),
+        (BEFORE, WITHIN, begin, np.zeros(len(own), int), e - begin),
+        (BEFORE + WITHIN, AFTER, e, np.zeros(len(own), int), chunk.offsets[row + 1] - e),
+    ):
+        place = np.arange(width)
+        shown = (place >= least[:, None]) & (place < most[:, None])
+        out[:, at : at + width] = np.where(shown, padded[BEFORE + start[:, None] + place], 0)
     return out, first
 
 
-def one_hot(x: np.ndarray) -> np.ndarray:
-    out = np.zeros((*x.shape, CLASSES + 1), np.float32)
-    np.put_along_axis(out, (x & 63).astype(np.int64)[..., None], 1, -1)
-    out[..., CLASSES] = x >= 64
+def announced(x: np.ndarray) -> np.ndarray:
+    """Has the encoded candidate a key word before it?"""
+    shown = np.full((len(x), BEFORE + 1), 0x0A, np.uint8)
+    shown[:, :BEFORE] = SHOWN[x[:, :BEFORE]]
+    out = np.zeros(len(x), bool)
+    out[[m.start() // (BEFORE + 1) for m in KEY_WORD.finditer(shown.tobytes())]] = True
     return out
 
 
-def announced(x: np.ndarray) -> np.ndarray:
-    """Has the encoded candidate a key word before it?"""
-    return np.array([KEY_WORD.search(r.tobytes()) is not None for r in SHOWN[x[:, :BEFORE]]], bool)
+def chance(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z))
 
 
+def lowest(n: int) -> int:
+    """The place, of n ascending scores, of the highest threshold that finds RECALL of them."""
+    return int((1 - RECALL) * n)
+
+
+WEIGHTS = ("kernel", "bias", "dense", "shift")
 PARTS = ((0, BEFORE), (BEFORE - WIDTH + 1, BEFORE + WITHIN), (BEFORE + WITHIN - WIDTH + 1, LENGTH - WIDTH + 1))
 
 
@@ -150,72 +170,133 @@ class Network:
         rng = np.random.default_rng(seed)
         return cls(rng.normal(0, 0.2, (WIDTH * (CLASSES + 1), FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, FILTERS * len(PARTS)), 0.0)
 
-    def forward(self, x: np.ndarray) -> tuple:
-        hot = one_hot(x)
-        windows = np.concatenate([hot[:, k : LENGTH - WIDTH + 1 + k] for k in range(WIDTH)], -1)
-        conv = np.maximum(windows @ self.kernel.astype(np.float32) + self.bias.astype(np.float32), 0)
-        tops = [conv[:, a:b].argmax(1) + a for a, b in PARTS]
-        pooled = np.concatenate([np.take_along_axis(conv, t[:, None], 1)[:, 0] for t in tops], 1)
-        return windows, tops, pooled, pooled @ self.dense + self.shift
+    def forward(self, x: np.ndarray, tops: list[np.ndarray] | None = None) -> np.ndarray:
+        """The maxima of each part's filters; their places are added to ``tops``. The convolution of one-hot
+        classes is a sum of the kernel's rows, looked up for each place."""
+        rows = self.kernel.astype(np.float32).reshape(WIDTH, CLASSES + 1, FILTERS)
+        table = np.zeros((WIDTH, 128, FILTERS), np.float32)
+        table[:, :CLASSES] = rows[:, :CLASSES]
+        table[:, 64 : 64 + CLASSES] = rows[:, :CLASSES] + rows[:, CLASSES:]
+        at, places = np.ascontiguousarray(x.T).astype(np.intp), LENGTH - WIDTH + 1
+        conv = table[0].take(at[:places], 0)
+        for k in range(1, WIDTH):
+            conv += table[k].take(at[k : k + places], 0)
+        if tops is not None:
+            tops += [conv[a:b].argmax(0) + a for a, b in PARTS]
+        return np.maximum(np.concatenate([conv[a:b].max(0) for a, b in PARTS], 1) + np.tile(self.bias.astype(np.float32), len(PARTS)), 0)
 
     def logits(self, x: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
         """Of each row, or of each candidate whose rows begin at ``first``: its pieces' maxima."""
         if not len(x):
             return np.empty(0)
-        pooled = np.concatenate([self.forward(x[i : i + 256])[2] for i in range(0, len(x), 256)])
-        return (pooled if first is None else np.maximum.reduceat(pooled, first)) @ self.dense + self.shift
+        pooled = np.concatenate([self.forward(x[i : i + 128]) for i in range(0, len(x), 128)])
+        return ((pooled if first is None else np.maximum.reduceat(pooled, first)) * self.dense).sum(1) + self.shift
 
     def probability(self, x: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * self.logits(x, first) + self.offset)))
+        return chance(self.slope * self.logits(x, first) + self.offset)
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighed log loss."""
+        tops: list[np.ndarray] = []
+        pooled = self.forward(x, tops)
+        g = (chance(pooled @ self.dense + self.shift) - y) * weight
+        back = np.outer(g, self.dense) * (pooled > 0)
+        top = np.concatenate(tops, 1)[:, :, None] + np.arange(WIDTH)
+        codes = x[np.arange(len(x))[:, None, None], top].astype(np.intp)
+        place = (codes + 128 * np.arange(WIDTH)) * FILTERS + np.tile(np.arange(FILTERS), len(PARTS))[:, None]
+        sums = np.bincount(place.ravel(), np.repeat(back.ravel(), WIDTH), WIDTH * 128 * FILTERS).reshape(WIDTH, 128, FILTERS)
+        kernel = np.concatenate([sums[:, :CLASSES] + sums[:, 64 : 64 + CLASSES], sums[:, 64:].sum(1, keepdims=True)], 1)
+        return {"kernel": kernel.reshape(self.kernel.shape), "bias": back.reshape(-1, len(PARTS), FILTERS).sum((0, 1)), "dense": pooled.T @ g, "shift": g.sum()}
+
+    def descend(self, steps: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float = 0.005) -> None:
+        """Adam over steps of (x, y, weight)."""
+        m, v = ({n: np.zeros_like(np.asarray(getattr(self, n), float)) for n in WEIGHTS} for _ in range(2))
+        for step, (x, y, weight) in enumerate(steps, 1):
+            for n, grad in self.gradients(x, y, weight).items():
+                m[n] = 0.9 * m[n] + 0.1 * grad
+                v[n] = 0.999 * v[n] + 0.001 * np.square(grad)
+                setattr(self, n, getattr(self, n) - rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.999**step)) + 1e-8))
 
     def train(self, x: np.ndarray, y: np.ndarray, seed: int = 5) -> None:
-        """Adam on the log loss, classes weighed alike."""
+        """Steps over the rows, classes weighed alike."""
         rng = np.random.default_rng(seed)
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
-        names = ("kernel", "bias", "dense", "shift")
-        m, v = ({n: np.zeros_like(np.asarray(getattr(self, n), float)) for n in names} for _ in range(2))
-        step = 0
-        for _ in range(max(EPOCHS, -(-STEPS * STEP_ROWS // len(y)))):
-            order = rng.permutation(len(y))
-            for i in range(0, len(y), STEP_ROWS):
-                own = order[i : i + STEP_ROWS]
-                windows, tops, pooled, z = self.forward(x[own])
-                g = (1 / (1 + np.exp(-z)) - y[own]) * weight[own] / len(own)
-                grads = {"dense": pooled.T @ g, "shift": g.sum(), "kernel": np.zeros_like(self.kernel), "bias": np.zeros(FILTERS)}
-                back = np.outer(g, self.dense) * (pooled > 0)
-                for k, top in enumerate(tops):
-                    part = back[:, k * FILTERS : (k + 1) * FILTERS]
-                    picked = np.take_along_axis(windows, top[:, :, None], 1)  # [n, filters, window]
-                    grads["kernel"] += np.einsum("nf,nfw->wf", part, picked)
-                    grads["bias"] += part.sum(0)
-                step += 1
-                for n in names:
-                    m[n] = 0.9 * m[n] + 0.1 * grads[n]
-                    v[n] = 0.999 * v[n] + 0.001 * np.square(grads[n])
-                    setattr(self, n, getattr(self, n) - 0.005 * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.999**step)) + 1e-8))
+        orders = (rng.permutation(len(y)) for _ in range(max(EPOCHS, -(-STEPS * STEP_ROWS // len(y)))))
+        steps = (order[i : i + STEP_ROWS] for order in orders for i in range(0, len(y), STEP_ROWS))
+        self.descend((x[own], y[own], weight[own] / len(own)) for own in steps)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([np.ravel(getattr(self, n)) for n in WEIGHTS])
+
+    def with_weights(self, flat: np.ndarray) -> Network:
+        ends = np.cumsum([np.size(getattr(self, n)) for n in WEIGHTS])
+        parts = [part.reshape(np.shape(getattr(self, n))) for n, part in zip(WEIGHTS, np.split(flat, ends[:-1]), strict=True)]
+        return replace(self, **{**dict(zip(WEIGHTS, parts, strict=True)), "shift": float(flat[-1])})
+
+    def curve(self, moments: Callable[[float, float], tuple[float, ...]]) -> None:
+        """A logistic curve over held-out logits, by the sums of ``moments``: with p of curve (a, b) and w = p(1-p), those of
+        wzz, wz, w, (p-y)z, p-y and the log loss. A step that makes the loss greater is halved."""
+        at = np.array([1.0, 0.0])
+        wzz, wz, w, ez, e, loss = moments(*at)
+        for _ in range(50):
+            step = np.linalg.solve([[wzz + 1, wz], [wz, w + 0.1]], [ez + at[0] - 1, e + 0.1 * at[1]])
+            while np.abs(step).max() >= 1e-6:
+                a, b = (float(v) for v in at - step)
+                wzz, wz, w, ez, e, new = moments(a, b)
+                new += (a - 1) ** 2 / 2 + b**2 / 20
+                if new <= loss:
+                    break
+                step = step / 2
+            else:
+                break
+            at, loss = np.array([a, b]), new
+        self.slope, self.offset = (float(v) for v in at)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """A logistic curve over held-out logits, then the recall-constrained threshold."""
+        """The curve over held-out logits, then the recall-constrained thresholds."""
         z = self.logits(x)
-        a, b = 1.0, 0.0
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-(a * z + b)))
+
+        def moments(a: float, b: float) -> tuple[float, ...]:
+            p = chance(a * z + b)
             w = p * (1 - p) + 1e-9
-            h = np.array([[(w * z * z).sum() + 1, (w * z).sum()], [(w * z).sum(), w.sum() + 0.1]])
-            step = np.linalg.solve(h, [((p - y) * z).sum() + a - 1, (p - y).sum() + 0.1 * b])
-            a, b = a - step[0], b - step[1]
-            if np.abs(step).max() < 1e-8:
-                break
-        self.slope, self.offset = float(a), float(b)
+            return (w * z * z).sum(), (w * z).sum(), w.sum(), ((p - y) * z).sum(), (p - y).sum(), (np.logaddexp(0, a * z + b) - y * (a * z + b)).sum()
+
+        self.curve(moments)
         p, with_word, cuts = self.probability(x), announced(x), []
         for k in (False, True):
             found = np.sort(p[(y == 1) & (with_word == k)])
             found = found if len(found) else np.sort(p[y == 1])
-            cuts.append(float(found[int((1 - RECALL) * len(found))]) if len(found) else 1.0)
+            cuts.append(float(found[lowest(len(found))]) if len(found) else 1.0)
         self.thresholds = tuple(cuts)
         taken = p >= np.where(with_word, cuts[1], cuts[0])
         self.precision = float(y[taken].mean()) if taken.any() else 0.0
 
+    def calibrate_on(self, scores: DataFrame) -> None:
+        """The same, of a stored table (z, y, announced) of any size."""
+        y, z = F.col("y"), F.col("z")
+
+        def moments(a: float, b: float) -> tuple[float, ...]:
+            t = a * z + b
+            p = 1 / (1 + F.exp(-t))
+            w = p * (1 - p) + 1e-9
+            loss = F.greatest(t, F.lit(0.0)) + F.log1p(F.exp(-F.abs(t))) - y * t
+            exact = [F.sum(v.cast("decimal(28,12)")).cast("double") for v in (w * z * z, w * z, w, (p - y) * z, p - y, loss)]
+            return tuple(scores.agg(*exact).first())
+
+        self.curve(moments)
+        scores, cuts = scores.withColumn("score", self.slope * z + self.offset), []
+        for k in (False, True):
+            for found in (scores.where((y == 1) & (F.col("announced") == k)), scores.where(y == 1)):
+                n = found.count()
+                if n:
+                    cuts.append(found.orderBy("score").offset(lowest(n)).first()["score"])
+                    break
+            else:
+                cuts.append(np.inf)
+        taken = scores.where(F.col("score") >= F.when(F.col("announced"), cuts[1]).otherwise(cuts[0]))
+        self.precision = taken.agg(F.avg("y")).first()[0] or 0.0
+        self.thresholds = tuple(float(c) for c in chance(np.array(cuts)))
+
     def reached(self, x: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
         return self.probability(x, first) >= np.where(announced(x if first is None else x[first]), self.thresholds[1], self.thresholds[0])
 
@@ -273,24 +354,110 @@ def generated(n: int = GENERATED, seed: int = 17) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(xs), np.concatenate(ys).astype(float)
 
 
-def fit(docs: DataFrame, bound: int = LABELLED_ROWS) -> Network:
-    """At most ``bound`` distinct candidates of each label, of the least hashes, reach the
-    driver."""
-    rows = jobs.stored(docs.select("text").mapInArrow(_labelled, "x binary, y int").dropDuplicates())
-    got = [rows.where(F.col("y") == k).orderBy(F.xxhash64("x"), "x").limit(bound).collect() for k in (0, 1)]
-    both = sorted((bytes(r["x"]), r["y"]) for part in got for r in part)
-    made, made_y = generated()
-    x = np.concatenate([np.frombuffer(b"".join(b for b, _ in both), np.uint8).reshape(-1, made.shape[1]), made])
-    y = np.concatenate([np.array([k for _, k in both], float), made_y])
+def pack(shard: pa.Table) -> pa.Table:
+    """A shard (shard, hash, x, y) as one row, in the order of hashes: what trains, and what is held out. In half of the candidates
+    the context is that of the last one before them that is no secret."""
+    shard = shard.sort_by([("hash", "ascending"), ("x", "ascending"), ("y", "ascending")])
+    x = np.frombuffer(b"".join(shard["x"].to_pylist()), np.uint8).reshape(-1, LENGTH).copy()
+    y, h = shard["y"].to_numpy().astype(np.uint8), shard["hash"].to_numpy()
+    last = np.maximum.accumulate(np.where(y == 0, np.arange(len(y)), -1))
+    before = np.concatenate(([-1], last[:-1]))
+    swapped = np.flatnonzero((before >= 0) & (h >> 8 & 1 == 1))
+    x[swapped, :BEFORE] = x[:, :BEFORE][before[swapped]]
+    held = h & 3 == 0
+    return pa.table({"shard": shard["shard"].slice(0, 1), **{n: pa.array([part.tobytes()], pa.binary()) for n, part in (("x", x[~held]), ("y", y[~held]), ("x_held", x[held]), ("y_held", y[held]))}})
+
+
+PACKED = "shard long, x binary, y binary, x_held binary, y_held binary"
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for shard, x, y in zip(*batch.columns, strict=True):
+            yield shard.as_py(), np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, LENGTH), np.frombuffer(y.as_buffer(), np.uint8)
+
+
+def shard_steps(shard: int, x: np.ndarray, y: np.ndarray, made: tuple[np.ndarray, np.ndarray], per_row: np.ndarray, made_share: np.ndarray, passes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Steps over a shard's rows, each with as many generated ones of both classes in turn. A row weighs as its class tells
+    (``per_row``), the generated ones of a class together ``made_share``; so do all rows of the table in as many steps."""
+    rng = np.random.default_rng([7, shard])
+    turns = [rng.permutation(np.flatnonzero(made[1] == k)) for k in (0, 1)]
+    contexts, each, done = np.flatnonzero(y == 0), STEP_GENERATED // 2, 0
+    for _ in range(passes):
+        order = rng.permutation(len(y))
+        for own in np.array_split(order, max(1, round(len(y) / STEP_ROWS))):
+            chosen = np.concatenate([t.take(range(done, done + each), mode="wrap") for t in turns])
+            added = made[0][chosen]
+            if len(contexts):
+                swapped = np.flatnonzero(rng.random(len(added)) < 0.5)
+                added[swapped, :BEFORE] = x[rng.choice(contexts, len(swapped)), :BEFORE]
+            done += each
+            yield np.concatenate([x[own], added]), np.concatenate([y[own], np.repeat([0, 1], each)]), np.concatenate([per_row[y[own]] * (STEP_ROWS / len(own)), np.repeat(made_share / each, each)])
+
+
+def round_of(packed: DataFrame, network: Network, made: tuple[np.ndarray, np.ndarray], per_row: np.ndarray, made_share: np.ndarray, rate: float, passes: int) -> Network:
+    """The mean of the networks that each shard makes of this one."""
+    held = packed.sparkSession.sparkContext.broadcast((network, made))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, own_made = held.value
+        sums = np.zeros(start.flat().size + 1, np.int64)
+        for shard, x, y in unpacked(batches):
+            if len(y):
+                own = replace(start)
+                own.descend(shard_steps(shard, x, y, own_made, per_row, made_share, passes), rate)
+                sums += np.append(np.rint(own.flat() * UNIT).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], ["at", "total"])
+
+    sums = packed.select("shard", "x", "y").mapInArrow(run, "at int, total long").groupBy("at").agg(F.sum("total").alias("total")).orderBy("at").collect()
+    *totals, shards = (r["total"] for r in sums)
+    return network.with_weights(np.array(totals, float) / UNIT / shards)
+
+
+def scored(packed: DataFrame, network: Network, made: DataFrame) -> DataFrame:
+    """(z, y, announced) of all candidates that were held out."""
+    held = packed.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x, y in unpacked(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(held.value.logits(x)), pa.array(y.astype(np.int32)), pa.array(announced(x))], ["z", "y", "announced"])
+
+    rows = packed.select("shard", F.col("x_held").alias("x"), F.col("y_held").alias("y")).unionByName(made)
+    return rows.mapInArrow(run, "z double, y int, announced boolean")
+
+
+def fit(docs: DataFrame) -> Network:
+    """The network of all different candidates of the documents, (x, y), and of the generated ones."""
+    x, y = generated()
     rng = np.random.default_rng(11)
     order = rng.permutation(len(y))
     held, own = order[: len(y) // 4], order[len(y) // 4 :]
     # What stands before a candidate that is no secret takes the place of half of the contexts.
     swapped = np.flatnonzero(rng.random(len(x)) < 0.5)
+    plain = x.copy()
     x[swapped, :BEFORE] = x[rng.choice(np.flatnonzero(y == 0), len(swapped)), :BEFORE]
     network = Network.new()
     network.train(x[own], y[own])
-    network.calibrate(x[held], y[held])
+    rows = jobs.stored(docs.select("text").mapInArrow(_labelled, "x binary, y int").dropDuplicates())
+    numbers = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not numbers:
+        network.calibrate(x[held], y[held])
+        return network
+    total = sum(numbers.values())
+    shards = max(1, total // SHARD_ROWS)
+    hashed = rows.select(F.pmod(F.xxhash64("x"), F.lit(shards)).alias("shard"), F.xxhash64("x", F.lit(1)).alias("hash"), "x", "y")
+    packed = jobs.stored(hashed.repartition(max(min(shards, 256), shards // 64), "shard").groupBy("shard").applyInArrow(pack, PACKED))
+    jobs.drop(rows)
+    n, made_n = np.array([numbers.get(k, 0) for k in (0, 1)]), np.array([(y[own] == k).sum() for k in (0, 1)])
+    share = np.maximum(GENERATED_SHARE, made_n / (made_n + n))
+    per_row = 0.5 * (1 - share) * total / np.maximum(n, 1) / STEP_ROWS
+    passes = -(-STEPS * STEP_ROWS // (ROUNDS * min(total, SHARD_ROWS)))
+    for k in range(ROUNDS):
+        network = round_of(packed, network, (plain[own], y[own]), per_row, 0.5 * share, 0.005 / (1 + k), passes)
+    made = docs.sparkSession.createDataFrame([(-1, bytearray(x[held].tobytes()), bytearray(y[held].astype(np.uint8).tobytes()))], "shard long, x binary, y binary")
+    scores = jobs.stored(scored(packed, network, made))
+    network.calibrate_on(scores)
+    jobs.drop(packed, scores)
     return network
 
 
